@@ -6,11 +6,14 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifloom.llm import chat, hilbert
+from motifloom.llm import chat, hilbert, langid, quality, tokencount
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
+        "op1_language_id": langid.op1_language_id,
+        "op2_quality": quality.op2_quality,
+        "op4_token_counts": tokencount.op4_token_counts,
         "op6_chat_format": chat.op6_chat_format,
         "op7_hilbert_shards": hilbert.op7_hilbert_shards,
     }
