@@ -6,20 +6,25 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifloom.llm import chat, hilbert, langid, quality, tokencount
+from motifloom.llm import chat, decontaminate, hilbert, langid, packing, quality, tokencount, tokenids, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": langid.op1_language_id,
         "op2_quality": quality.op2_quality,
+        "op3_token_ids": tokenids.op3_token_ids,
         "op4_token_counts": tokencount.op4_token_counts,
+        "op5_exact_top_k": topk.op5_exact_top_k,
         "op6_chat_format": chat.op6_chat_format,
         "op7_hilbert_shards": hilbert.op7_hilbert_shards,
+        "op8_decontaminate": decontaminate.op8_decontaminate,
+        "op9_lexical_packing": packing.op9_lexical_packing,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op5_exact_top_k": topk.OP5_SQL,
         "op6_chat_format": chat.OP6_SQL,
     }
