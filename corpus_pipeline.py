@@ -1,15 +1,81 @@
-"""The corpus pipeline: each stage hands what it keeps to the next."""
+"""The corpus pipeline: quality, language, near duplicates, benchmark leaks, then packing.
+
+Each stage takes what the stage before it kept, written as Parquet and read
+again, and hands on the columns of ``documents``; the last one returns the pieces
+of the packed sequences.
+"""
 
 from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
+
+from motifloom.llm.common import table, written
+from motifloom.llm.decontaminate import leaks_of, indexes
+from motifloom.llm.jaccard import jaccard_join
+from motifloom.llm.langid import UNDETERMINED, language_of, train_languages
+from motifloom.llm.packing import pack_documents
+from motifloom.llm.quality import THRESHOLD, quality_of, train_quality
+
+COLUMNS = ["doc_id", "text", "lang", "source", "n_chars"]
+#: Posterior below which a document has no language it can be said to be in.
+SURE = 0.5
+
+
+def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents whose quality score is at least the classifier's threshold."""
+    model = train_quality(docs, table(spark, sf_dir, "labels"))
+    return docs.select(COLUMNS).where(quality_of(spark, model, F.col("text")) >= THRESHOLD)
+
+
+def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents with a language that the model is sure of."""
+    language = language_of(spark, train_languages(docs), F.col("text"))
+    told = docs.select(*COLUMNS, language.alias("__language"))
+    return told.where((F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= SURE)).select(COLUMNS)
+
+
+def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """The document with the smallest id of each group of near duplicates.
+
+    Rows without an id stand for themselves and stay; of rows that repeat the
+    kept id one stays, the first in the order of their columns.
+    """
+    kept = jaccard_join(docs).where("doc_id = class_id").select("doc_id").distinct()
+    named = docs.select(COLUMNS).join(kept, "doc_id", "left_semi")
+    first = named.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
+    return first.select(COLUMNS).unionByName(docs.select(COLUMNS).where("doc_id IS NULL"))
+
+
+def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Documents without a passage of the benchmark."""
+    out = docs.select(COLUMNS)
+    for index in indexes(table(spark, sf_dir, "benchmark")):
+        out = out.where(F.size(leaks_of(spark, index, F.col("text"))) == 0)
+    return out
+
+
+def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
+    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    return pack_documents(docs)
+
+
+STAGES = [
+    ("quality", keep_good),
+    ("language", keep_known_language),
+    ("near_duplicates", keep_one_of_each),
+    ("decontamination", drop_leaks),
+    ("packing", pack),
+]
 
-STAGES: list = []
+#: SQL can express neither the classifiers nor the packing; the tests hold each stage against a plain version.
 ORACLE_SQL = None
 
 
 def run(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = spark.read.parquet(f"{sf_dir}/documents.parquet")
-    for _, stage in STAGES:
+    docs = table(spark, sf_dir, "documents")
+    for k, (name, stage) in enumerate(STAGES):
         docs = stage(spark, docs, sf_dir)
+        if k < len(STAGES) - 1:
+            docs = written(docs, f"stage-{name}")
     return docs

@@ -6,7 +6,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-from motifloom.llm import chat, decontaminate, hilbert, langid, packing, quality, tokencount, tokenids, topk
+from motifloom.llm import chat, decontaminate, hilbert, jaccard, langid, packing, quality, tokencount, tokenids, topk
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
@@ -20,6 +20,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op7_hilbert_shards": hilbert.op7_hilbert_shards,
         "op8_decontaminate": decontaminate.op8_decontaminate,
         "op9_lexical_packing": packing.op9_lexical_packing,
+        "op10_ngram_jaccard": jaccard.op10_ngram_jaccard,
     }
 
 
@@ -27,4 +28,5 @@ def oracle_sql() -> dict[str, str]:
     return {
         "op5_exact_top_k": topk.OP5_SQL,
         "op6_chat_format": chat.OP6_SQL,
+        "op10_ngram_jaccard": jaccard.OP10_SQL,
     }
