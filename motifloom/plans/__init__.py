@@ -1 +1 @@
-
+"""Strategies and lazy enumeration of motifs and motiflets."""

@@ -1 +1 @@
-
+"""Where series come from and where results go."""

@@ -1 +1 @@
-
+"""Series built from streams of events."""
