@@ -103,8 +103,8 @@ def _rotations(sample: list) -> dict[int, np.ndarray]:
     """For each dimension the right singular vectors of its sampled rows, strongest first."""
     out = {}
     for dim in {r["dim"] for r in sample}:
-        rows = np.array([np.frombuffer(r["v"], "<f8") for r in sample if r["dim"] == dim]).reshape(-1, dim)
-        out[dim] = np.linalg.svd(rows, full_matrices=True)[2].T if dim else np.zeros((0, 0))
+        rows = [np.frombuffer(r["v"], "<f8") for r in sample if r["dim"] == dim]
+        out[dim] = np.linalg.svd(np.array(rows), full_matrices=True)[2].T if dim else np.zeros((0, 0))
     return out
 
 
