@@ -23,7 +23,7 @@ UNIT = re.compile(f"[{BLANK}]*[^{BLANK}]+|[{BLANK}]+")
 #: What keeps a text from the short way: white space but single spaces and line ends, and what only Python takes for white space.
 ODD_BLANK = re.compile(f"[\t\x0b-\r\x1c-\x1f{WIDE_BLANK}]")
 FAR_BLANK = re.compile(f"[\x1c-\x1f{WIDE_BLANK}]")
-#: Units remembered, and characters of new units that go to the library at once.
+#: Units of each of two generations of the memory, and characters of new units that go to the library at once.
 REMEMBERED, LIBRARY_CHARS = 400_000, 200_000
 BYTES, WORDS, WHOLE = "bytes", "words", "whole"
 
@@ -46,6 +46,7 @@ class UnitEncoder:
         for added in spec.get("added_tokens", ()):
             self.width[added["id"]] = len(added["content"].encode())
         self.memory: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
         self.heads: dict[str, bytes] = {}
 
     def encode_library(self, texts: list[str]) -> list[bytes]:
@@ -100,10 +101,14 @@ class UnitEncoder:
             new = list(heads - self.heads.keys())
             self.heads.update(zip(new, self.encode_library(new)))
         used = set().union(*(p if self.mode == WORDS else p[1:] for p in parts if p is not None))
-        new = list(used - self.memory.keys())
+        fresh = used - self.memory.keys()
+        if len(self.memory) + len(fresh) > REMEMBERED:  # what is not used again falls out with the older generation
+            self.older, self.memory = self.memory, {}
+            fresh = used
+        again = fresh & self.older.keys()
+        self.memory.update(zip(again, map(self.older.__getitem__, again)))
+        new = list(fresh - again)
         if new:
-            if len(self.memory) + len(new) > REMEMBERED:
-                self.memory = {u: self.memory[u] for u in used if u in self.memory}
             if self.mode == WORDS:
                 self.learn(new, new, " ")
             else:
