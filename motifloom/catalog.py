@@ -5,7 +5,6 @@ Doubles are rounded to six digits before anything is ordered by them, on both si
 
 from __future__ import annotations
 
-import tempfile
 from collections.abc import Callable
 
 import numpy as np
@@ -19,6 +18,7 @@ from motifloom.operators import evaluate, greedy, lsh, measures, motiflets, pair
 from motifloom.operators import windows as W
 from motifloom.plans import planner
 from motifloom.sources import series as S
+from motifloom.sources.storage import scratch
 from motifloom.streaming import series_stream
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -847,6 +847,6 @@ def _(spark, sf):
 @query("stream_series_build", "SELECT date_trunc('hour', ts) AS slot, round(sum(value), 2) AS s, count(*) AS n FROM events GROUP BY 1")
 def _(spark, sf):
     schema = "event_id long, ts timestamp_ntz, user_id long, event_type string, value double, props string"
-    base = tempfile.mkdtemp(prefix="motifloom-stream-")
+    base = scratch(spark, "stream")
     out = series_stream.build_series(spark, sf, schema, f"{base}/checkpoint", f"{base}/sums", glob="events.parquet")
     return out.select(F.col("slot").cast("timestamp_ntz").alias("slot"), F.round("s", 2).alias("s"), "n")
