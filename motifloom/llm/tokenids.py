@@ -37,37 +37,42 @@ COUNT = np.zeros(16, np.int64)
 for _s, (_n, _) in LAYOUT.items():
     COUNT[_s] = _n
 COUNT[ESCAPE] = 1
+#: Bits of each number of two bytes.
+WIDTHS = np.frexp(np.arange(1 << 16, dtype=np.float64))[1].astype(np.uint8)
 
 
 def pack(ids: np.ndarray) -> np.ndarray:
     """Words of a sequence of unsigned ids; the last word may have room left."""
-    ids = np.ascontiguousarray(ids, np.uint64)
     n = len(ids)
-    choice = np.zeros(n, np.int8)  # the escape, where nothing else fits
-    pending = np.ones(n, bool)
-    at = np.arange(n)
-    for s, (count, bits) in LAYOUT.items():
-        wide = ids >> np.uint64(bits) != 0
-        if count > 1 and wide.all():
-            continue
-        over = np.concatenate([[0], np.cumsum(wide)])
-        fits = pending & (over[np.minimum(at + count, n)] == over[at])
-        choice[fits] = s
-        pending &= ~fits
-    hop = (at + COUNT[choice]).tolist()
-    starts, i = [], 0
+    if ids.dtype.itemsize <= 2:
+        widths = WIDTHS[ids]
+    else:
+        ids = np.ascontiguousarray(ids, np.uint64)
+        high = ids >> np.uint64(32)
+        widths = np.where(high > 0, 32 + np.frexp(high.astype(np.float64))[1], np.frexp((ids & np.uint64(0xFFFFFFFF)).astype(np.float64))[1]).astype(np.uint8)
+    choice = np.zeros(n, np.uint8)  # the escape, where nothing else fits
+    choice[widths <= 60] = 15
+    most, reach = widths, 1  # widest of the ``reach`` ids from each place on; what lies behind the end has no bits
+    for s in range(14, 1, -1):
+        count, bits = LAYOUT[s]
+        while reach < count:
+            step = min(reach, count - reach)
+            most = np.maximum(most, np.concatenate([most[step:], np.zeros(min(step, n), np.uint8)]))
+            reach += step
+        choice[most <= bits] = s
+    hop, starts, i = COUNT[choice].astype(np.uint8).tobytes(), [], 0
     while i < n:
         starts.append(i)
-        i = hop[i]
+        i += hop[i]
     starts = np.array(starts, np.int64)
     chosen = choice[starts]
     place = np.cumsum(1 + (chosen == ESCAPE)) - 1 - (chosen == ESCAPE)
     words = np.zeros(n and int(place[-1]) + 1 + int(chosen[-1] == ESCAPE), np.uint64)
-    padded = np.concatenate([ids, np.zeros(60, np.uint64)])
+    padded = np.concatenate([ids, np.zeros(60, ids.dtype)])
     for s, (count, bits) in LAYOUT.items():
         own = np.flatnonzero(chosen == s)
         if len(own):
-            values = padded[starts[own][:, None] + np.arange(count)]
+            values = padded[starts[own][:, None] + np.arange(count)].astype(np.uint64)
             shifted = values << (np.arange(count, dtype=np.uint64) * np.uint64(bits))
             words[place[own]] = np.bitwise_or.reduce(shifted, axis=1) | np.uint64(s << 60)
     own = np.flatnonzero(chosen == ESCAPE)
