@@ -19,7 +19,7 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
-from motifloom.llm.common import partitions, remove_path, shared_path, table, written
+from motifloom.llm.common import partitions, shared_path, table, written
 from motifloom.llm.tokenids import filesystem
 
 #: Rows the rotation is fitted on and longest rows the first scores come from; neither changes a result.
@@ -29,10 +29,6 @@ PARTITION_ROWS, CANDIDATE_BLOCK, QUERY_BLOCK, LEADING = 65_536, 4096, 1024, 0.37
 EXACT = float(1 << 53)
 
 
-def _vectors(column: pa.Array, dim: int) -> np.ndarray:
-    return np.frombuffer(b"".join(column.to_pylist()), "<f8").reshape(len(column), dim)
-
-
 def _products(queries: np.ndarray, rows: np.ndarray) -> np.ndarray:
     """Exact integer inner products of integral vectors."""
     most = np.abs(queries).max(initial=0) * np.abs(rows).max(initial=0) * max(queries.shape[1], 1)
