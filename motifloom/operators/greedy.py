@@ -59,7 +59,8 @@ def top_motifs(candidates: DataFrame, k: int, ez: int) -> DataFrame:
     """
     spark = candidates.sparkSession
     rows, chosen = [], {}
-    ranked = candidates.select("series_id", F.round("d", 6).alias("d"), "a", "b").orderBy("d", "a", "b", "series_id")
+    candidates = candidates.select("series_id", F.round("d", 6).alias("d"), "a", "b").persist()  # counted, sampled for the sort, and sorted
+    ranked = candidates.orderBy("d", "a", "b", "series_id")
     total = candidates.select("series_id").distinct().count()
     for r in ranked.toLocalIterator():
         own = chosen.setdefault(r["series_id"], [])

@@ -77,10 +77,6 @@ def _blocks(series: DataFrame, w: int, tile: int, fold, schema: str) -> DataFram
     return _tile_table(series, w, tile).groupBy("series_id", "ta", "tb").applyInArrow(run, schema)
 
 
-def _distances(za: np.ndarray, zb: np.ndarray, w: int) -> np.ndarray:
-    return np.sqrt(np.maximum(0.0, 2.0 * w - 2.0 * (za @ zb.T)))
-
-
 def _exact(za: np.ndarray, zb: np.ndarray) -> np.ndarray:
     return np.sqrt(((za - zb) ** 2).sum(axis=-1))
 
@@ -97,11 +93,13 @@ def matrix_profile(series: DataFrame, w: int, ez: int, tier: str = "expression",
     def fold(a, za, b, zb):  # noqa: ANN001, ANN202
         out = ([], [], [])
         if len(a) and len(b):
-            d = _distances(za, zb, w)
-            d[np.abs(a[:, None] - b[None, :]) < ez] = np.inf
-            for i, zi, j, zj, m in ((a, za, b, zb, d), (b, zb, a, za, d.T)):
-                at = m.argmin(axis=1)
-                ok = np.isfinite(m[np.arange(len(i)), at])
+            g = za @ zb.T  # the larger the product, the nearer
+            if b[0] - a[-1] < ez:
+                g[np.abs(a[:, None] - b[None, :]) < ez] = -np.inf
+            for i, zi, j, zj, axis in ((a, za, b, zb, 1), (b, zb, a, za, 0)):
+                at = g.argmax(axis=axis)
+                best = g[np.arange(len(i)), at] if axis else g[at, np.arange(len(i))]
+                ok = np.isfinite(best)
                 out[0].extend(i[ok].tolist())
                 out[1].extend(np.round(_exact(zi[ok], zj[at[ok]]), 6).tolist())
                 out[2].extend(j[at[ok]].tolist())
@@ -118,8 +116,9 @@ def pairs_within(series: DataFrame, w: int, ez: int, bound: float, tile: int = K
     def fold(a, za, b, zb):  # noqa: ANN001, ANN202
         if not len(a) or not len(b):
             return [pa.array([], pa.int64()), pa.array([], pa.int64()), pa.array([], pa.float64())]
-        d = _distances(za, zb, w)
-        i, j = np.nonzero((b[None, :] - a[:, None] >= ez) & (d <= bound + 1e-5))
+        i, j = np.nonzero(za @ zb.T >= w - (bound + 1e-5) ** 2 / 2)
+        apart = b[j] - a[i] >= ez
+        i, j = i[apart], j[apart]
         exact = _exact(za[i], zb[j])
         ok = exact <= bound
         return [pa.array(a[i[ok]], pa.int64()), pa.array(b[j[ok]], pa.int64()), pa.array(exact[ok], pa.float64())]
