@@ -64,15 +64,14 @@ def document_frequencies(pieces: DataFrame, kind: str) -> tuple[np.ndarray, int,
     """Pieces that hold each token id, their number and mean length, over all of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held, n, total = np.zeros(1, np.int64), 0, 0
+        held, n, total = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
             for rest in batch.column(0):
-                ids = np.frombuffer(rest.as_buffer(), kind)
+                ids = np.sort(np.frombuffer(rest.as_buffer(), kind))
                 if len(ids):
-                    own = np.bincount(ids) > 0
-                    if len(own) > len(held):
-                        held = np.concatenate([held, np.zeros(len(own) - len(held), np.int64)])
-                    held[: len(own)] += own
+                    if ids[-1] >= len(held):
+                        held = np.append(held, np.zeros(int(ids[-1]) + 1 - len(held), np.int64))
+                    held[ids[np.append(True, ids[1:] != ids[:-1])]] += 1
                     n, total = n + 1, total + len(ids)
         there = np.flatnonzero(held)
         yield pa.record_batch(
@@ -93,11 +92,12 @@ class ShardIndex:
     """BM25 postings of a shard's pieces."""
 
     def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        found = [np.unique(p, return_counts=True) for p in pieces]
-        sizes = np.array([len(u) for u, _ in found])
-        owner = np.repeat(np.arange(len(pieces)), sizes)
-        terms = np.concatenate([u for u, _ in found]).astype(np.int64)
-        tf = np.concatenate([c for _, c in found]).astype(float)
+        every = np.concatenate(pieces).astype(np.int64) | np.repeat(np.arange(len(pieces)) << 32, [len(p) for p in pieces])
+        every.sort()
+        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
+        owner, terms = every[first] >> 32, every[first] & 0xFFFFFFFF
+        tf = np.diff(np.append(first, len(every))).astype(float)
+        sizes = np.bincount(owner, minlength=len(pieces))
         length = np.array([len(p) for p in pieces], float)[owner]
         weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
         self.queries, at = [], 0
