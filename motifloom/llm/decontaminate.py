@@ -4,10 +4,12 @@ Texts and items are sequences of words.  A CGK walk reads a sequence with a
 random bit for each step and word: the word is written out at every step and
 the walk moves on where the bit is 1.  Two sequences a few edits apart give
 outputs a small Hamming distance apart, for their walks fall into step again.
+A walk has three steps for each word, enough to read its window to the end.
 Each table samples some steps of a walk of its own; windows of an item's size
 that agree with the item on all sampled steps of a table are checked by exact
-edit distance.  The number of tables is chosen for a target recall at the
-largest distance that counts as a leak.
+edit distance, and so are the places around a leak.  The number of tables is
+chosen for a target recall at the largest distance that counts as a leak, as the
+mean over patterns of edits.
 """
 
 from __future__ import annotations
@@ -26,6 +28,8 @@ WORD = re.compile(r"\w+")
 MAX_EDITS, TARGET_RECALL, SAMPLED = 0.2, 0.99, 2
 #: Items and words of an index at most; a larger benchmark is searched index by index.
 INDEX_ITEMS, INDEX_WORDS = 20_000, 2_000_000
+#: Steps of a walk for each word of its window, kinds of edit patterns that tables are chosen over.
+WALK, PATTERNS = 3, 5
 BATCH_WORDS = 400_000
 MATCH = "array<struct<item_id:bigint,start:bigint,distance:int>>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
@@ -41,34 +45,53 @@ def _mixed(x: np.ndarray) -> np.ndarray:
     return x ^ (x >> np.uint64(31))
 
 
+def shares_of(tableno: int) -> np.ndarray:
+    """Steps that a table samples, as shares of a window's size between 0 and ``WALK``.
+
+    Walks end at twice the size on average and write padding from there, so draws
+    are repeated until one step at least stands before that.
+    """
+    rng = np.random.default_rng(1000 + tableno)
+    while True:
+        shares = rng.uniform(0.0, WALK, SAMPLED)
+        if shares.min() < 2:
+            return shares
+
+
 def signatures(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tableno: int, draws: np.ndarray | None = None) -> np.ndarray:
     """Signatures of windows of a word-id sequence in one table: the sampled outputs of their walks.
 
     A walk that has read its whole window writes padding.  The steps sampled are
-    fixed shares of the window's size, so equal sizes sample equal steps.
+    fixed shares of the window's size, so equal sizes sample equal steps.  A step
+    depends on the word and the step's number only: walks that meet stay
+    together, and windows that begin at the same word share a walk.
     """
-    rng = np.random.default_rng(1000 + tableno)
-    share = rng.uniform(0.0, 1.0, SAMPLED)
-    order = np.argsort(-sizes, kind="stable")
-    sizes, at = sizes[order], starts[order]
-    steps, stop, padded = np.sort((share[:, None] * sizes).astype(np.int64), axis=0), at + sizes, np.append(words, -1)
     draws = draws_of(words) if draws is None else draws
     out = _mixed(sizes.astype(np.uint64) + np.uint64(tableno))
-    last = -steps[-1] if len(sizes) else steps
-    for j in range(int(steps.max(initial=-1)) + 1):
-        n = int(np.searchsorted(last, -j, "right"))  # windows that are still sampled; longer ones stand first
-        here = at[:n]
-        inside = here < stop[:n]
-        here = np.where(inside, here, len(words))
-        for s in steps:
-            a, b = np.searchsorted(-s[:n], [-j, -j + 1])
-            if a < b:
-                out[a:b] = _mixed(out[a:b] * _MIX + padded[here[a:b]].astype(np.uint64))
-        bits = (draws[here] ^ np.uint64(0xA24BAED4963EE407 * (tableno * 1009 + j + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD1342543DE82EF95)
-        at[:n] += (bits >> np.uint64(63)).astype(np.int64) & inside
-    back = np.empty_like(out)
-    back[order] = out
-    return back
+    if not len(sizes):
+        return out
+    begins, own = np.unique(starts, return_inverse=True)
+    lengths, group = np.unique(sizes, return_inverse=True)
+    members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
+    steps = np.sort((shares_of(tableno)[:, None] * lengths).astype(np.int64), axis=0)
+    wanted: dict[int, list[int]] = {}
+    for k in range(len(lengths)):
+        for s in steps[:, k].tolist():
+            wanted.setdefault(s, []).append(k)
+    padded = np.append(words, -1)
+    now, walk = begins, np.arange(len(begins))  # where the walks are, and which of them each beginning follows
+    for j in range(int(steps.max()) + 1):
+        if j & (j - 1) == 0 or j in wanted:
+            apart = np.append(True, now[1:] != now[:-1])  # walks keep their order, so those that have met stand together
+            walk, now = (np.cumsum(apart) - 1)[walk], now[apart]
+        for k in wanted.get(j, ()):
+            mine = members[k]
+            here = now[walk[own[mine]]]
+            here = np.where(here < starts[mine] + lengths[k], here, len(words))
+            out[mine] = _mixed(out[mine] * _MIX + padded[here].astype(np.uint64))
+        bits = (draws[now] ^ np.uint64(0xA24BAED4963EE407 * (tableno * 1009 + j + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD1342543DE82EF95)
+        now = np.minimum(now + (bits >> np.uint64(63)).astype(np.int64), len(words))
+    return out
 
 
 def draws_of(words: np.ndarray) -> np.ndarray:
@@ -78,6 +101,8 @@ def draws_of(words: np.ndarray) -> np.ndarray:
 
 def edit_distances(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
     """For each row the least number of word edits that make the item a prefix of it."""
+    if len(item) <= 64:
+        return _bit_distances(item, texts)
     steps = np.arange(texts.shape[1] + 1)
     row = np.broadcast_to(steps, (len(texts), len(steps)))
     for i, w in enumerate(item, 1):
@@ -88,29 +113,81 @@ def edit_distances(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
     return row.min(axis=1)
 
 
-def tables_for(items: list[np.ndarray], target: float = TARGET_RECALL, trials: int = 400) -> int:
-    """Tables after which an item with as many random edits as may count as a leak is a candidate with probability ``target``."""
+def _bit_distances(item: np.ndarray, texts: np.ndarray) -> np.ndarray:
+    """The same for items of up to 64 words, with a column of the table as bits of two words (Myers)."""
+    one, top = np.uint64(1), np.uint64(len(item) - 1)
+    known, at = np.unique(item, return_inverse=True)
+    masks = np.zeros(len(known), np.uint64)
+    np.bitwise_or.at(masks, at, one << np.arange(len(item), dtype=np.uint64))
+    up, down = np.full(len(texts), ~np.uint64(0)), np.zeros(len(texts), np.uint64)
+    score = np.full(len(texts), len(item))
+    best = score.copy()
+    for w in texts.T:
+        place = np.minimum(np.searchsorted(known, w), len(known) - 1)
+        same = np.where(known[place] == w, masks[place], np.uint64(0))
+        across = (((same & up) + up) ^ up) | same
+        more, less = down | ~(across | up), up & across
+        score += ((more >> top) & one).astype(np.int64) - ((less >> top) & one).astype(np.int64)
+        best = np.minimum(best, score)
+        more, diagonal = (more << one) | one, same | down
+        up, down = (less << one) | ~(diagonal | more), more & diagonal
+    return best
+
+
+def edited(item: np.ndarray, edits: int, pattern: int, rng: np.random.Generator) -> list[int]:
+    """The item after word edits of one pattern: of any kind and anywhere, in front, at the back, insertions only, deletions only."""
+    out = item.tolist()
+    for k in range(edits):
+        kind = (int(rng.integers(3)), int(rng.integers(3)), int(rng.integers(3)), 1, 2)[pattern]
+        at = (int(rng.integers(len(out))), min(k, len(out) - 1), max(len(out) - 1 - k, 0), int(rng.integers(len(out))), int(rng.integers(len(out))))[pattern]
+        if kind == 0:
+            out[at] = -2 - k
+        elif kind == 1:
+            out.insert(at, -2 - k)
+        elif len(out) > 1:
+            del out[at]
+    return out
+
+
+def hit_rates(items: list[np.ndarray], trials: int = 400, tables: int = 128) -> np.ndarray:
+    """For each of ``trials`` items with as many edits as may count as a leak: the share of tables in which it is a candidate.
+
+    It is one where a window near by that is within the allowed edits agrees with the item.
+    """
     rng = np.random.default_rng(5)
+    words, starts, sizes, owner, originals, at = [], [], [], [], [], 0
+    for t in range(trials):
+        item = items[int(rng.integers(len(items)))]
+        m, most = len(item), int(len(item) * MAX_EDITS)
+        changed = edited(item, most, t % PATTERNS, rng)
+        # other words around it, all different
+        text = np.array([*range(-1000, -1000 - most, -1), *changed, *range(-2000, -2000 - 2 * m - 2 * most, -1)], np.int64)
+        places = np.arange(2 * most + 1)
+        near = places[edit_distances(item, text[places[:, None] + np.arange(m + most)]) <= most]
+        words += [text, item]
+        starts += [*(at + near).tolist(), at + len(text)]
+        sizes += [m] * (len(near) + 1)
+        owner += [t] * (len(near) + 1)
+        originals.append(len(starts) - 1)
+        at += len(text) + m
+    joined, first, size, own, last = np.concatenate(words), np.array(starts), np.array(sizes), np.array(owner), np.array(originals)
+    hits, draws, other = np.zeros(trials), draws_of(joined), np.ones(len(first), bool)
+    other[last] = False
+    for t in range(tables):
+        got = signatures(joined, first, size, 10_000 + t, draws)
+        hits += np.bincount(own, (got == got[last][own]) & other, trials) > 0
+    return hits / tables
+
+
+def tables_for(items: list[np.ndarray], target: float = TARGET_RECALL) -> int:
+    """Tables after which the mean probability of being a candidate, over items with as many edits as may count as a leak, is ``target``."""
     items = [i for i in items if int(len(i) * MAX_EDITS) > 0]
     if not items:
         return 1
-    hits = 0
-    for t in range(trials):
-        item = items[t % len(items)]
-        changed = item.tolist()
-        for _ in range(int(len(item) * MAX_EDITS)):
-            at, kind = int(rng.integers(len(changed))), int(rng.integers(3))
-            if kind == 0:
-                changed[at] = -2
-            elif kind == 1:
-                changed.insert(at, -2)
-            elif len(changed) > 1:
-                del changed[at]
-        other = np.array((changed + [-3] * len(item))[: len(item)], np.int64)
-        size, zero = np.array([len(item)]), np.zeros(1, np.int64)
-        hits += bool(signatures(item, zero, size, 10_000 + t)[0] == signatures(other, zero, size, 10_000 + t)[0])
-    p = min(max(hits / trials, 0.02), 0.999)
-    return max(1, int(np.ceil(np.log(1 - target) / np.log(1 - p))))
+    missed, tables = 1 - np.maximum(hit_rates(items), 0.004), 1  # a rate of none seen in the trials is still not 0
+    while 1 - np.mean(missed**tables) < target:
+        tables += 1
+    return tables
 
 
 @dataclass
@@ -192,7 +269,22 @@ class BenchmarkIndex:
 
 
     def _verify(self, k: int, starts: np.ndarray, words: np.ndarray, ends: np.ndarray, sizes: np.ndarray, best: list[dict[int, tuple[int, int]]]) -> None:
-        """Exact distances of an item's candidates; a candidate with too few of its words is out before."""
+        """Exact distances of an item's candidates and of the places around its leaks, among which the best may be."""
+        most = self.edits[k]
+        far = self._distances(k, starts, words, ends)
+        hits = starts[far <= most]
+        if not len(hits):
+            return
+        docs = np.searchsorted(ends, hits, "right")
+        around = hits[:, None] + np.arange(-most, most + 1)
+        around = np.unique(around[(around >= (ends - sizes)[docs][:, None]) & (around < ends[docs][:, None])])
+        far = self._distances(k, around, words, ends)
+        for start, d, doc in zip(around.tolist(), far.tolist(), np.searchsorted(ends, around, "right").tolist()):
+            if d <= most and d < best[doc].get(k, (1 << 30, 0))[0]:
+                best[doc][k] = (d, int(start - ends[doc] + sizes[doc]))
+
+    def _distances(self, k: int, starts: np.ndarray, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        """Exact distances of an item at places of the texts; one with too few of its words counts as far."""
         item, most = self.items[k], self.edits[k]
         docs = np.searchsorted(ends, starts, "right")
         places = starts[:, None] + np.arange(len(item) + most)
@@ -200,13 +292,10 @@ class BenchmarkIndex:
         flags = np.zeros(len(self.vocabulary) + 2, bool)
         flags[item] = True
         near = np.flatnonzero(flags[texts].sum(axis=1) >= len(item) - most)
-        if not len(near):
-            return
-        far = edit_distances(item, texts[near])
-        for n, d in zip(near.tolist(), far.tolist()):
-            doc = int(docs[n])
-            if d <= most and d < best[doc].get(k, (1 << 30, 0))[0]:
-                best[doc][k] = (d, int(starts[n] - ends[doc] + sizes[doc]))
+        out = np.full(len(starts), len(item) + most + 1)
+        if len(near):
+            out[near] = edit_distances(item, texts[near])
+        return out
 
 
 def build_index(rows: list[tuple[int, str | None]], target: float = TARGET_RECALL) -> BenchmarkIndex:

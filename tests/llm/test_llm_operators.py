@@ -297,6 +297,40 @@ def test_a_large_benchmark_is_searched_index_by_index(spark, monkeypatch):
     assert min(got, key=lambda m: m["distance"]).asDict() == {"item_id": 3, "start": 2, "distance": 0}
 
 
+def test_leaks_at_the_limit_match_brute_force():
+    """A fifth of an item's words edited: all over, in front, at the back, by insertions, by deletions."""
+    rng = random.Random(81)
+    vocabulary = [f"w{k}" for k in range(300)]
+    items = [words(rng, vocabulary, rng.randint(15, 60)).split() for _ in range(60)]
+    index = decontaminate.build_index([(k, " ".join(i)) for k, i in enumerate(items)])
+    texts = []
+    for k in range(400):
+        own = list(items[k % 60])
+        most = len(own) // 5
+        for e in range(most):
+            place = [rng.randrange(len(own)), e, len(own) - 1 - e, rng.randrange(len(own)), rng.randrange(len(own))][k % 5]
+            kind = [rng.randrange(3), 0, 0, 1, 2][k % 5]
+            own[place : place + (kind != 1)] = [] if kind == 2 else [f"new{k}x{e}"]
+        texts.append(words(rng, vocabulary, 15).split() + own + words(rng, vocabulary, 15).split())
+    expected, missed = {}, []
+    for k, text in enumerate(texts):
+        item = items[k % 60]
+        size = len(item) + len(item) // 5
+        rows = np.array([[hash(w) for w in text[s : s + size]] + [0] * (size - len(text[s : s + size])) for s in range(len(text))])
+        far = decontaminate.edit_distances(np.array([hash(w) for w in item]), rows).tolist()
+        if k % 20 == 0:
+            assert far[14:17] == [min(plain_distance(item, text[s : e]) for e in range(s, min(s + size, len(text)) + 1)) for s in range(14, 17)]
+        expected[k] = (far.index(min(far)), min(far))
+        assert min(far) <= len(item) // 5
+    for k, leaks in enumerate(index.search([" ".join(t) for t in texts])):
+        found = {m["item_id"]: (m["start"], m["distance"]) for m in leaks}
+        if k % 60 not in found:
+            missed.append(k)
+        else:
+            assert found[k % 60][1] == expected[k][1]
+    assert len(missed) <= 0.02 * len(texts)
+
+
 # packing
 
 
