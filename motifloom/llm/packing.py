@@ -1,8 +1,10 @@
 """Lexical retrieval packing of documents into sequences of a fixed length.
 
 Whole windows of long documents become sequences of their own.  What is left of
-each document is a piece; pieces are dealt to shards, and each shard holds a
-BM25 inverted index of its pieces over token ids.  The longest unused piece
+each document is a piece.  Documents are sorted by the most frequent of their
+strongest BM25 terms, so that lexical neighbours stand together, and runs of that
+order are shards; each shard holds a BM25 inverted index of its pieces over token
+ids.  The longest unused piece
 seeds a sequence, its strongest terms are the query, and the unused neighbours
 that the index returns fill the window in order of their score; the best one that
 is too long for the last gap is cut to it, and the rest of it stays in the index.
@@ -19,12 +21,14 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import table, written
+from motifloom.llm.common import partitions, table, written
 from motifloom.llm.encode import encoder, text_slices
 
 WINDOW = 2048
 #: Documents of a shard's index on average, terms of a query, neighbours looked at for a window.
 SHARD_DOCS, QUERY_TERMS, NEIGHBOURS = 2048, 24, 64
+#: Terms by which documents are brought together.
+KEY_TERMS = 6
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -33,8 +37,8 @@ def crc_of(ids: np.ndarray) -> int:
     return zlib.crc32(ids.astype("<u4").tobytes())
 
 
-def tokenised(df: DataFrame, *, doc: str, text: str, vocabulary: str, end_id: int | None, window: int) -> DataFrame:
-    """``doc_id, n, whole (crc32 of each full window), rest (ids behind them), deal``; ``deal`` numbers rows evenly."""
+def tokenised(df: DataFrame, *, doc: str, text: str, vocabulary: str, end_id: int | None) -> DataFrame:
+    """``doc_id, ids, deal``; ``deal`` numbers rows evenly."""
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
@@ -42,32 +46,39 @@ def tokenised(df: DataFrame, *, doc: str, text: str, vocabulary: str, end_id: in
         deal, row = (TaskContext.get().partitionId() * 0x9E3779B1) & 0x7FFFFFFF, 0
         for batch in batches:
             for begin, texts in text_slices(batch.column(1)):
-                coded = [np.frombuffer(c + end, own.kind) for c in own.encode(texts)]
-                whole = [[crc_of(c[k : k + window]) for k in range(0, len(c) // window * window, window)] for c in coded]
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(begin, len(texts)),
-                        pa.array([len(c) for c in coded], pa.int64()),
-                        pa.array(whole, pa.list_(pa.int64())),
-                        pa.array([c[len(c) // window * window :].tobytes() for c in coded], pa.binary()),
+                        pa.array([c + end for c in own.encode(texts)], pa.binary()),
                         pa.array([deal + row + k for k in range(len(texts))], pa.int64()),
                     ],
-                    names=["doc_id", "n", "whole", "rest", "deal"],
+                    names=["doc_id", "ids", "deal"],
                 )
                 row += len(texts)
 
     rows = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows.mapInArrow(encode, "doc_id long, n long, whole array<long>, rest binary, deal long")
+    return rows.mapInArrow(encode, "doc_id long, ids binary, deal long")
 
 
-def document_frequencies(pieces: DataFrame, kind: str) -> tuple[np.ndarray, int, float]:
+def lexical_key(ids: np.ndarray, held: np.ndarray, idf: np.ndarray, mean: float) -> bytes:
+    """Of a document's strongest terms that other documents hold, the most frequent ones; they sort as bytes."""
+    terms, tf = np.unique(ids, return_counts=True)
+    shared = held[terms] > 1
+    terms, tf = terms[shared], tf[shared]
+    weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / max(mean, 1e-9)))
+    best = terms[np.lexsort((terms, -weight))[:QUERY_TERMS]]
+    return best[np.lexsort((best, -held[best]))[:KEY_TERMS]].astype(">u4").tobytes()
+
+
+def document_frequencies(pieces: DataFrame, kind: str, window: int) -> tuple[np.ndarray, int, float]:
     """Pieces that hold each token id, their number and mean length, over all of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, total = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
-            for rest in batch.column(0):
-                ids = np.sort(np.frombuffer(rest.as_buffer(), kind))
+            for text in batch.column(0):
+                ids = np.frombuffer(text.as_buffer(), kind)
+                ids = np.sort(ids[len(ids) // window * window :])
                 if len(ids):
                     if ids[-1] >= len(held):
                         held = np.append(held, np.zeros(int(ids[-1]) + 1 - len(held), np.int64))
@@ -79,7 +90,7 @@ def document_frequencies(pieces: DataFrame, kind: str) -> tuple[np.ndarray, int,
         )
 
     # one row for each id of the vocabulary at most
-    got = pieces.select("rest").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    got = pieces.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by = {r["id"]: r["n"] for r in got}
     n, total = by.pop(-2, 0), by.pop(-1, 0)
     held = np.zeros(max(by, default=0) + 1)
@@ -182,38 +193,57 @@ def pack_documents(
     Returns ``doc_id, start, length, ids_crc32, doc_tokens, sequence_id, offset``,
     one row a piece.  A null text is empty and has the end id alone; repeated rows
     and ids are documents of their own; other columns are dropped; an empty
-    input gives no rows.  Rows are dealt to shards by their number, so no key
-    makes a shard large, and BM25 counts cover the pieces of all shards.  Only the last
-    sequence of a shard can have room left.
+    input gives no rows.  Shards are runs of the
+    lexical order, cut by number of documents, so no key makes a shard large, and BM25
+    counts cover the pieces of all shards.  Only the last sequence of a shard can
+    have room left.
     """
     kind = encoder(vocabulary).kind.str
-    rows = written(tokenised(df, doc=doc, text=text, vocabulary=vocabulary, end_id=end_id, window=window), "pack-ids")
-    held, n, mean = document_frequencies(rows, kind)
+    rows = written(tokenised(df, doc=doc, text=text, vocabulary=vocabulary, end_id=end_id), "pack-ids")
+    counts, n, mean = document_frequencies(rows, kind, window)
     shards = max(1, -(-rows.count() // shard_docs))
-    # bounded by the ids of the vocabulary
-    idf = df.sparkSession.sparkContext.broadcast(np.log1p((n - held + 0.5) / (held + 0.5)))
-
-    def pack(group: pa.Table) -> pa.Table:
-        group = group.sort_by([("doc_id", "ascending"), ("deal", "ascending")])
-        docs, tokens = group["doc_id"].to_pylist(), group["n"].to_pylist()
-        base, out = group["shard"][0].as_py() << 32, []
-        for d, n_, whole in zip(docs, tokens, group["whole"].to_pylist()):
-            for k, crc in enumerate(whole):
-                out.append((d, k * window, window, crc, n_, base, 0))
+    # both bounded by the ids of the vocabulary
+    held = df.sparkSession.sparkContext.broadcast(np.append(counts, np.zeros(max(0, (1 << 16) - len(counts)))))
+    idf = df.sparkSession.sparkContext.broadcast(np.log1p((n - held.value + 0.5) / (held.value + 0.5)))
+
+    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            keys = [lexical_key(np.frombuffer(i.as_buffer(), kind), held.value, idf.value, mean) for i in batch.column(1)]
+            yield pa.record_batch([*batch.columns, pa.array(keys, pa.binary())], names=["doc_id", "ids", "deal", "near"])
+
+    def pack(docs: list[int | None], coded: list[np.ndarray], base: int) -> tuple[pa.RecordBatch, int]:
+        out = []
+        for d, c in zip(docs, coded):
+            for k in range(0, len(c) // window * window, window):
+                out.append((d, k, window, crc_of(c[k : k + window]), len(c), base, 0))
                 base += 1
-        rests = [np.frombuffer(r, kind) for r in group["rest"].to_pylist()]
+        rests = [c[len(c) // window * window :] for c in coded]
         for sequence in fill_windows(rests, idf.value, mean, window):
             at = 0
             for k, begin, length in sequence:
-                first = tokens[k] - len(rests[k]) + begin
-                out.append((docs[k], first, length, crc_of(rests[k][begin : begin + length]), tokens[k], base, at))
+                first = len(coded[k]) - len(rests[k]) + begin
+                out.append((docs[k], first, length, crc_of(rests[k][begin : begin + length]), len(coded[k]), base, at))
                 at += length
             base += 1
         names = ["doc_id", "start", "length", "ids_crc32", "doc_tokens", "sequence_id", "offset"]
-        return pa.table({c: pa.array([r[i] for r in out], pa.int64()) for i, c in enumerate(names)})
+        return pa.record_batch([pa.array([r[i] for r in out], pa.int64()) for i in range(len(names))], names=names), base
 
-    dealt = rows.withColumn("shard", F.pmod("deal", F.lit(shards)))
-    return dealt.groupBy("shard").applyInArrow(pack, PIECES)
+    def pack_runs(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        docs, coded, base = [], [], TaskContext.get().partitionId() << 40
+        for batch in batches:
+            docs += batch.column(0).to_pylist()
+            coded += [np.frombuffer(i, kind) for i in batch.column(1).to_pylist()]
+            while len(docs) >= 2 * shard_docs:  # what is left at the end makes a shard of full size too
+                out, base = pack(docs[:shard_docs], coded[:shard_docs], base)
+                del docs[:shard_docs], coded[:shard_docs]
+                yield out
+        if docs:
+            yield pack(docs, coded, base)[0]
+
+    keyed = written(rows.mapInArrow(key, "doc_id long, ids binary, deal long, near binary"), "pack-keys")
+    order = ["near", "doc_id", "deal"]
+    near = keyed.repartitionByRange(min(shards, partitions(df.sparkSession)), *order).sortWithinPartitions(*order)
+    return near.select("doc_id", "ids").mapInArrow(pack_runs, PIECES)
 
 
 def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:

@@ -370,6 +370,18 @@ def test_packing_covers_every_id_once(spark):
     assert packing.pack_documents(empty(spark)).count() == 0
 
 
+def test_neighbours_of_all_the_corpus_share_windows(spark):
+    rng = random.Random(91)
+    lines = ["river water fish boat stream bank", "music song guitar piano sound band", "school teacher student class book lesson", "bread butter cheese milk salt sugar"]
+    lines += ["doctor hospital patient nurse health blood", "king queen castle army sword battle", "planet star moon sun orbit space", "market price money trade stock profit"]
+    topic = [rng.randrange(8) for _ in range(320)]
+    texts = [(k, words(rng, lines[topic[k]].split(), 30), "en") for k in range(320)]
+    rows = packing.pack_documents(table(spark, texts), window=256, shard_docs=40).collect()
+    held = check_pieces(rows, texts, 256)
+    most = [max(sum(r["length"] for r in part if topic[r["doc_id"]] == t) for t in range(8)) for part in held.values()]
+    assert sum(most) > 0.8 * sum(r["length"] for r in rows)
+
+
 def test_windows_prefer_lexical_neighbours():
     rng = np.random.default_rng(4)
     pieces = [rng.integers(100 * (k % 2), 100 * (k % 2) + 80, 50) for k in range(40)]
