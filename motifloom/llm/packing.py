@@ -3,8 +3,8 @@
 Whole windows of long documents become sequences of their own.  What is left of
 each document is a piece.  Documents are sorted by the most frequent of their
 strongest BM25 terms, so that lexical neighbours stand together, and runs of that
-order are shards; each shard holds a BM25 inverted index of its pieces over token
-ids.  The longest unused piece
+order are shards; each shard holds a BM25 inverted index of its documents, whole, over
+token ids.  The longest unused piece
 seeds a sequence, its strongest terms are the query, and the unused neighbours
 that the index returns fill the window in order of their score; the best one that
 is too long for the last gap is cut to it, and the rest of it stays in the index.
@@ -70,15 +70,14 @@ def lexical_key(ids: np.ndarray, held: np.ndarray, idf: np.ndarray, mean: float)
     return best[np.lexsort((best, -held[best]))[:KEY_TERMS]].astype(">u4").tobytes()
 
 
-def document_frequencies(pieces: DataFrame, kind: str, window: int) -> tuple[np.ndarray, int, float]:
-    """Pieces that hold each token id, their number and mean length, over all of them."""
+def document_frequencies(texts: DataFrame, kind: str) -> tuple[np.ndarray, int, float]:
+    """Documents that hold each token id, their number and mean length, over all of them."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, total = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
             for text in batch.column(0):
-                ids = np.frombuffer(text.as_buffer(), kind)
-                ids = np.sort(ids[len(ids) // window * window :])
+                ids = np.sort(np.frombuffer(text.as_buffer(), kind))
                 if len(ids):
                     if ids[-1] >= len(held):
                         held = np.append(held, np.zeros(int(ids[-1]) + 1 - len(held), np.int64))
@@ -90,7 +89,7 @@ def document_frequencies(pieces: DataFrame, kind: str, window: int) -> tuple[np.
         )
 
     # one row for each id of the vocabulary at most
-    got = pieces.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
+    got = texts.select("ids").mapInArrow(count, "id long, n long").groupBy("id").agg(F.sum("n").alias("n")).collect()
     by = {r["id"]: r["n"] for r in got}
     n, total = by.pop(-2, 0), by.pop(-1, 0)
     held = np.zeros(max(by, default=0) + 1)
@@ -100,7 +99,7 @@ def document_frequencies(pieces: DataFrame, kind: str, window: int) -> tuple[np.
 
 
 class ShardIndex:
-    """BM25 postings of a shard's pieces."""
+    """BM25 postings of a shard's documents, each as a whole."""
 
     def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
         every = np.concatenate(pieces).astype(np.int64) | np.repeat(np.arange(len(pieces)) << 32, [len(p) for p in pieces])
@@ -137,11 +136,14 @@ class ShardIndex:
         return found[np.lexsort((found, -self.scores[found]))]
 
 
-def fill_windows(pieces: list[np.ndarray], idf: np.ndarray, mean: float, window: int) -> list[list[tuple[int, int, int]]]:
-    """Sequences of (piece, from, length); each id of each piece lies in exactly one."""
+def fill_windows(pieces: list[np.ndarray], idf: np.ndarray, mean: float, window: int, texts: list[np.ndarray] | None = None) -> list[list[tuple[int, int, int]]]:
+    """Sequences of (piece, from, length); each id of each piece lies in exactly one.
+
+    Neighbours are those of ``texts``, the documents that the pieces are left of, or else of the pieces.
+    """
     if not pieces:
         return []
-    index = ShardIndex(pieces, idf, mean)
+    index = ShardIndex(pieces if texts is None else texts, idf, mean)
     left = np.array([len(p) for p in pieces])
     done, used = np.zeros(len(pieces), np.int64), left == 0
     order = np.lexsort((np.arange(len(pieces)), -left)).tolist()
@@ -195,12 +197,12 @@ def pack_documents(
     and ids are documents of their own; other columns are dropped; an empty
     input gives no rows.  Shards are runs of the
     lexical order, cut by number of documents, so no key makes a shard large, and BM25
-    counts cover the pieces of all shards.  Only the last sequence of a shard can
+    counts cover the whole documents of all shards.  Only the last sequence of a shard can
     have room left.
     """
     kind = encoder(vocabulary).kind.str
     rows = written(tokenised(df, doc=doc, text=text, vocabulary=vocabulary, end_id=end_id), "pack-ids")
-    counts, n, mean = document_frequencies(rows, kind, window)
+    counts, n, mean = document_frequencies(rows, kind)
     shards = max(1, -(-rows.count() // shard_docs))
     # both bounded by the ids of the vocabulary
     held = df.sparkSession.sparkContext.broadcast(np.append(counts, np.zeros(max(0, (1 << 16) - len(counts)))))
@@ -218,7 +220,7 @@ def pack_documents(
                 out.append((d, k, window, crc_of(c[k : k + window]), len(c), base, 0))
                 base += 1
         rests = [c[len(c) // window * window :] for c in coded]
-        for sequence in fill_windows(rests, idf.value, mean, window):
+        for sequence in fill_windows(rests, idf.value, mean, window, coded):
             at = 0
             for k, begin, length in sequence:
                 first = len(coded[k]) - len(rests[k]) + begin

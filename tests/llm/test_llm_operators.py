@@ -389,6 +389,17 @@ def test_windows_prefer_lexical_neighbours():
     for sequence in packing.fill_windows(pieces, idf, 50.0, 200)[:5]:
         assert len({k % 2 for k, _, _ in sequence}) == 1
 
+def test_bm25_counts_cover_whole_documents(spark):
+    rng = np.random.default_rng(5)
+    heads = [rng.integers(100 * (k % 2), 100 * (k % 2) + 80, 300) for k in range(40)]
+    rests = [rng.integers(200, 280, 50) for _ in heads]
+    for sequence in packing.fill_windows(rests, np.ones(300), 350.0, 200, [np.append(h, r) for h, r in zip(heads, rests)])[:5]:
+        assert len({k % 2 for k, _, _ in sequence}) == 1
+    coded = spark.createDataFrame([(np.array([7] * 300 + [9], "<u2").tobytes(),), (np.array([9, 9], "<u2").tobytes(),)], "ids binary")
+    held, n, mean = packing.document_frequencies(coded, "<u2")
+    assert (held[7], held[9], n, mean) == (1, 2, 2, 151.5)
+
+
 
 # n-gram join
 
