@@ -25,8 +25,8 @@ from motifloom.llm.common import partitions, table, written
 from motifloom.llm.encode import encoder, text_slices
 
 WINDOW = 2048
-#: Documents of a shard's index on average, terms of a query, neighbours looked at for a window.
-SHARD_DOCS, QUERY_TERMS, NEIGHBOURS = 2048, 24, 64
+#: Documents of a shard's index on average, terms of a query.
+SHARD_DOCS, QUERY_TERMS = 2048, 24
 #: Terms by which documents are brought together.
 KEY_TERMS = 6
 K1, B = 1.2, 0.75
@@ -131,8 +131,6 @@ class ShardIndex:
         self.scores[used] = 0
         self.scores[seed] = 0
         found = np.flatnonzero(self.scores > 0)
-        if len(found) > NEIGHBOURS:
-            found = found[np.argpartition(-self.scores[found], NEIGHBOURS)[:NEIGHBOURS]]
         return found[np.lexsort((found, -self.scores[found]))]
 
 

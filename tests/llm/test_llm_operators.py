@@ -400,6 +400,13 @@ def test_bm25_counts_cover_whole_documents(spark):
     assert (held[7], held[9], n, mean) == (1, 2, 2, 151.5)
 
 
+def test_short_pieces_fill_windows_with_neighbours_only():
+    rng = np.random.default_rng(6)
+    pieces = [rng.integers(100 * (k % 2), 100 * (k % 2) + 8, 4) for k in range(400)]
+    for sequence in packing.fill_windows(pieces, np.ones(300), 4.0, 400)[:2]:
+        assert len(sequence) == 100 and len({k % 2 for k, _, _ in sequence}) == 1
+
+
 
 # n-gram join
 
