@@ -13,9 +13,10 @@ them.
 Texts are cut into chunks.  A chunk is a map from the state before it to the
 state after it and a token count.  Word starts and characters without a piece
 lead to the same state from anywhere, so a chunk's map is constant behind its
-first such symbol.  All chunks run in lockstep from there; then maps compose in a
-prefix scan: the heads of chunks run from the states that the chunks before
-them have settled on, again in lockstep.
+first such symbol.  All chunks run in lockstep from there; then the heads of
+chunks run from the states that the chunks before them have settled on, again in
+lockstep.  Maps of open heads are not built: chunks without such a symbol run one
+after another.
 """
 
 from __future__ import annotations
