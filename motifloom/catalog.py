@@ -582,13 +582,22 @@ def _(spark, sf):
     return planner.motifs(f5(spark, sf), WP, 4, WP, "lsh", delta=0.01).select("a", "b", "distance")
 
 
-@query("motiflets_lsh")
-def _(spark, sf):
-    found = list(planner.MotifletsIterator(f5(spark, sf), WP, 3, 1, WP, 0.01, fraction_threshold=0.002, stop_on_threshold=True))
+def _motiflets5(spark, sf, stop):
+    found = list(planner.MotifletsIterator(f5(spark, sf), WP, 3, 1, WP, 0.01, fraction_threshold=0.002, stop_on_threshold=stop))
     rows = [(m.support, list(m.indices), m.extent, m.confirmed) for m in found]
     return spark.createDataFrame(rows, "support int, indices array<long>, extent double, confirmed boolean")
 
 
+@query("motiflets_lsh")
+def _(spark, sf):
+    return _motiflets5(spark, sf, False)
+
+
+@query("motiflets_lsh_early_stop")
+def _(spark, sf):
+    return _motiflets5(spark, sf, True)
+
+
 # other methods
 
 

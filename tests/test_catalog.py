@@ -29,6 +29,13 @@ def test_lazy_motiflets_start_with_the_closest_pair(spark):
     assert pair["confirmed"] and [i % 100 for i in pair["indices"]] == [0, 0]
 
 
+def test_lazy_motiflets_are_the_exact_ones(spark):
+    got = {r["support"]: r for r in catalog.queries()["motiflets_lsh"](spark, FOLDER).collect()}
+    exact = catalog.motiflets.motiflets_exact(catalog.f5(spark, FOLDER), catalog.WP, 3, catalog.WP).collect()
+    assert sorted(got) == [2, 3] and all(r["confirmed"] for r in got.values())
+    assert {s: round(r["extent"], 5) for s, r in got.items()} == {r["support"]: round(r["extent"], 5) for r in exact}
+
+
 def test_collision_probability_falls_with_distance(spark):
     p = [r["p"] for r in catalog.queries()["lsh_collision_probability"](spark, FOLDER).orderBy("distance").collect()]
     assert all(0 < y < x < 1 for x, y in zip(p, p[1:]))
