@@ -186,16 +186,51 @@ def test_top_k_with_ties_and_broken_vectors(spark):
     assert topk.exact_top_k(df.where("false"), F.col("vec_id") % 50 == 0).count() == 0
 
 
-def test_top_k_bounds_prune_without_loss(monkeypatch):
-    rng = np.random.default_rng(7)
-    rows = np.floor(256 * rng.normal(size=(3000, 16)) * rng.lognormal(0, 1, (3000, 1)))
-    ids = np.arange(3000)
-    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 128)
+def exact_share(rows, monkeypatch, queries=40):
+    """Share of the pairs that got an exact product; the results are held against all products."""
+    ids = np.arange(len(rows))
+    monkeypatch.setattr(topk, "CANDIDATE_BLOCK", 512)
     own = topk.Candidates(ids, rows, np.linalg.svd(rows, full_matrices=True)[2].T)
-    for q, found, scores in own.search(ids[:40], rows[:40], np.full(40, -np.inf), 5):
-        exact = rows @ rows[q]
-        best = sorted((-int(exact[i]), i) for i in range(3000) if i != q)[:5]
-        assert list(zip((-scores).tolist(), found.tolist())) == best
+    best = own.search(ids[:queries], rows[:queries], np.full(queries, -np.inf), 5)
+    exact = rows[:queries] @ rows.T
+    for q in range(queries):
+        mine = best.of == q
+        assert list(zip((-best.scores[mine]).tolist(), best.ids[mine].tolist())) == sorted((-int(exact[q, i]), i) for i in ids if i != q)[:5]
+    return own.exact / (queries * len(rows))
+
+
+def test_top_k_bounds_prune_pairs_without_loss(monkeypatch):
+    rng = np.random.default_rng(7)
+    spread = np.floor(256 * rng.normal(size=(3000, 16)) * rng.lognormal(0, 1, (3000, 1)))
+    centres = rng.normal(size=(30, 64))
+    clustered = centres[rng.integers(0, 30, 6000)] + 0.25 * rng.normal(size=(6000, 64))
+    clustered = np.floor(256 * clustered / np.linalg.norm(clustered, axis=1, keepdims=True))
+    alike = rng.normal(size=(6000, 64))
+    alike = np.floor(256 * alike / np.linalg.norm(alike, axis=1, keepdims=True))
+    shares = {"lengths differ": exact_share(spread, monkeypatch), "clusters": exact_share(clustered, monkeypatch), "no structure": exact_share(alike, monkeypatch)}
+    print("share of exact products:", shares)
+    assert shares["lengths differ"] < 0.2 and shares["clusters"] < 0.1 and shares["no structure"] < 0.3
+
+
+def test_top_k_of_a_query_repeated_over_many_blocks(spark):
+    rng = random.Random(61)
+    vectors = [(k, [rng.gauss(0, 1) for _ in range(8)]) for k in range(120)]
+    rows = vectors + [vectors[50]] * 2999
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    got = topk.exact_top_k(df, F.col("vec_id") % 50 == 0).groupBy("query_id", "rank", "vec_id", "score").count().collect()
+    fifty = {r["rank"]: r for r in got if r["query_id"] == 50}
+    alone = [r for r in brute_top(vectors, 5) if r[0] == 50]
+    assert sorted((50, r["rank"], r["vec_id"], r["score"]) for r in fifty.values()) == alone and {r["count"] for r in fifty.values()} == {3000}
+    exact = brute_top(rows[:120] + [vectors[50]] * 9, 5)
+    assert sorted((r["query_id"], r["rank"], r["vec_id"], r["score"]) for r in got if r["query_id"] != 50) == [r for r in exact if r[0] != 50]
+
+
+def test_top_k_beyond_the_range_of_doubles(spark):
+    vectors = [(50, [2.0**40, 3.0]), (1, [2.0**40, 1.0]), (2, [2.0**20, -7.0]), (3, [-(2.0**40), 5.0])]
+    df = spark.createDataFrame(vectors, "vec_id long, embedding array<double>")
+    got = [(r["vec_id"], r["score"]) for r in topk.exact_top_k(df, F.col("vec_id") % 50 == 0).orderBy("rank").collect()]
+    exact = lambda v: min(max(sum(int(256 * a) * int(256 * b) for a, b in zip(vectors[0][1], v)), -(1 << 63)), (1 << 63) - 1)
+    assert got == [(i, exact(v)) for i, v in vectors[1:]]
 
 
 # chats
