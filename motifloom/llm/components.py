@@ -8,6 +8,19 @@ from pyspark.sql import functions as F
 from motifloom.llm.common import written
 
 
+#: Edges of a key from which it may count as hot; hot keys have more than a thousandth of all edges each, so they are 1000 at most.
+HOT, HOT_KEYS = 64, 1000
+
+
+def _with_least(edges: DataFrame, key: str, value: str, total: int) -> DataFrame:
+    """Edges with ``m``, the least ``value`` of their ``key``; edges of hot keys, such as the centre of a star, are not shuffled by it."""
+    least = edges.groupBy(key).agg(F.min(value).alias("m"), F.count(F.lit(1)).alias("n"))
+    bound = max(HOT, total // HOT_KEYS)
+    hot = F.broadcast(least.where(F.col("n") > bound).select(key, "m"))  # HOT_KEYS rows at most
+    few = edges.join(hot.select(key), key, "left_anti").join(least.where(F.col("n") <= bound).select(key, "m"), key)
+    return few.unionByName(edges.join(hot, key))
+
+
 def connected_components(edges: DataFrame) -> DataFrame:
     """``node, root`` for every node of the edges ``a, b``: root is the smallest node of its component.
 
@@ -24,13 +37,10 @@ def connected_components(edges: DataFrame) -> DataFrame:
             break
         seen = (mark["n"], mark["s"])
         both = now.union(now.select("b", "a"))
-        least = both.groupBy("a").agg(F.least(F.min("b"), F.first("a")).alias("m"))
-        large = both.where("b > a").join(least, "a").where("b <> m").select(F.col("m").alias("a"), "b").distinct()
+        large = _with_least(both, "a", "b", 2 * mark["n"]).where("b > a").select(F.least("m", "a").alias("a"), "b").where("b <> a").distinct()
         # now a < b: each b's smaller neighbours and b itself point at the smallest of them
-        small = large.groupBy("b").agg(F.min("a").alias("m"))
-        now = written(
-            large.join(small, "b").select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "edges"
-        )
+        small = _with_least(large, "b", "a", 2 * mark["n"])
+        now = written(small.select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "edges")
     return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(
         now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     ).groupBy("node").agg(F.min("root").alias("root"))

@@ -3,7 +3,7 @@
 Documents with one n-gram set form a class, and classes are joined.  Bands and rows
 are chosen for a target recall at the threshold.  Classes that share a band hash
 are candidates: as pairs where few share it; where many do, their hot groups are
-dealt out in blocks and each pair of blocks is compared as a product of sparse
+dealt out in blocks of like set sizes and each pair of blocks whose sizes allow a link is compared as a product of sparse
 sets, which emits a row for each class and block pair and never the pairs.
 """
 
@@ -15,7 +15,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import xxhash
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifloom.llm.common import table, written
@@ -24,19 +24,21 @@ from motifloom.llm.components import connected_components
 WORD = re.compile(r"\w+")
 NGRAM, THRESHOLD, TARGET_RECALL = 5, 0.8, 0.9995
 #: Rows of MinHash values at most; classes that share a band hash and are still paired off; classes of a block.
-MAX_HASHES, PAIRED, BLOCK = 256, 24, 256
+MAX_HASHES, PAIRED, BLOCK = 256, 24, 512
 #: Hashes of words that a worker remembers, and n-grams hashed at once.
 REMEMBERED, SLICE = 300_000, 4096
 
 
 def choose_bands(threshold: float, target: float, most: int = MAX_HASHES) -> tuple[int, int]:
-    """Bands and rows: the most selective banding within ``most`` hashes that reaches the target recall at the threshold."""
+    """Bands and rows: the most selective banding within ``most`` hashes that reaches the target recall at the threshold; refused where none does."""
+    if not 0 < threshold <= 1:
+        raise ValueError("the threshold must lie above 0 and not above 1")
     for rows in range(most, 0, -1):
         p = threshold**rows
-        bands = 1 if p >= 1 else int(np.ceil(np.log1p(-target) / np.log1p(-p)))
+        bands = 1 if p >= 1 else np.ceil(np.log1p(-target) / np.log1p(-p)) if p > 1e-9 else np.inf
         if bands * rows <= most:
-            return bands, rows
-    return most, 1
+            return int(bands), rows
+    raise ValueError(f"no banding of {most} hashes finds pairs of similarity {threshold} with probability {target}")
 
 
 def _mixed(x: np.ndarray) -> np.ndarray:
@@ -116,7 +118,7 @@ def _compare_blocks(threshold: float):  # noqa: ANN202
     def compare(group: pa.Table) -> pa.Table:
         """Links of each class of one pair of blocks: how many documents, and a class that stands for its linked ones."""
         lo, hi = group["lo"][0].as_py(), group["hi"][0].as_py()
-        side = group["block"].to_numpy()
+        side = np.array(group["block"].to_pylist(), object)
         c, n = group["c"].to_numpy(), group["n"].to_numpy()
         sets = [np.frombuffer(x, np.uint64) for x in group["grams"].to_pylist()]
         a, b = np.flatnonzero(side == lo), np.flatnonzero(side == hi)
@@ -173,8 +175,13 @@ def _bridges(linked: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     return np.array([o[0] for o in out], np.int64), np.array([o[1] for o in out], np.int64)
 
 
+def row_hashes(doc: Column, text: Column) -> list[Column]:
+    """128 bits that name a row by its id and text, ``h1`` and ``h2``."""
+    return [F.xxhash64(doc.isNull(), doc, text).alias("h1"), F.xxhash64(F.lit(7), text, doc).alias("h2")]
+
+
 def ngram_classes(df: DataFrame, *, doc: str, text: str, n: int, bands: int, rows: int) -> DataFrame:
-    """``doc_id, key (digest of the n-gram set, null without words), grams (their number), bands``."""
+    """``doc_id, h1, h2, key (digest of the n-gram set, null without words), grams (their number), bands``."""
 
     def shingle(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         hashes = MinHash(bands, rows)
@@ -185,66 +192,56 @@ def ngram_classes(df: DataFrame, *, doc: str, text: str, n: int, bands: int, row
                 yield pa.record_batch(
                     [
                         part.column(0),
+                        part.column(2),
+                        part.column(3),
                         pa.array([xxhash.xxh3_128_digest(s.tobytes()) if len(s) else None for s in sets], pa.binary()),
                         pa.array([len(s) for s in sets], pa.int64()),
                         pa.array([hashes.band_hashes(s) if len(s) else None for s in sets], pa.list_(pa.int64())),
                     ],
-                    names=["doc_id", "key", "grams", "bands"],
+                    names=["doc_id", "h1", "h2", "key", "grams", "bands"],
                 )
 
-    rows_ = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
-    return rows_.mapInArrow(shingle, "doc_id long, key binary, grams long, bands array<long>")
+    rows_ = df.select(F.col(doc).alias("doc_id"), F.col(text).alias("text"), *row_hashes(F.col(doc), F.col(text)))
+    return rows_.mapInArrow(shingle, "doc_id long, h1 long, h2 long, key binary, grams long, bands array<long>")
 
 
-def jaccard_join(
-    df: DataFrame, *, doc: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, target: float = TARGET_RECALL
-) -> DataFrame:
-    """One row a document: ``doc_id, class_id, n_links``.
+def _linked_classes(source: DataFrame, n: int, threshold: float, target: float) -> tuple[DataFrame, DataFrame]:
+    """Rows ``doc_id, h1, h2, key`` of a table ``doc_id, text``, and classes ``key, rep, n, root, links``.
 
-    Documents are linked where the Jaccard similarity of their sets of word
-    ``n``-grams (lower case, runs of word characters) is at least ``threshold``.
-    ``n_links`` counts the other documents a document is linked to, copies
-    included; ``class_id`` is the smallest id of all documents that links lead to, over any
-    number of steps, and the document's own id where there is none.  Texts of
-    fewer than ``n`` words have one n-gram; null texts and texts without words
-    are linked to nothing.  Rows with one id are documents of their own and get
-    their text's class; a null id is kept, and is a class id only where all of a class are null.
-    Other columns are not read; an empty input gives no rows.  A pair at the
-    threshold is found with probability ``target``, a closer one with more, and
-    no pair below the threshold is returned.
+    ``rep`` is the first row of a class by id, nulls last; classes that links
+    join have one ``root``; ``links`` counts the documents of other classes linked to a class.
     """
     bands, rows = choose_bands(threshold, target)
-    source = df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text"))
     docs = written(ngram_classes(source, doc="doc_id", text="text", n=n, bands=bands, rows=rows), "join-docs")
-    kinds = docs.where("key IS NOT NULL").groupBy("key").agg(F.min("doc_id").alias("rep"), F.count(F.lit(1)).alias("n"), F.first("bands").alias("bands"))
+    first = F.struct(F.col("doc_id").isNull().alias("nameless"), "doc_id", "h1", "h2")
+    kinds = docs.where("key IS NOT NULL").groupBy("key").agg(F.min(first).alias("rep"), F.count(F.lit(1)).alias("n"), F.first("grams").alias("grams"), F.first("bands").alias("bands"))
     kinds = written(kinds.withColumn("c", F.monotonically_increasing_id()), "join-classes")
-    banded = kinds.select("c", F.explode("bands").alias("band"))
+    banded = kinds.select("c", "grams", F.explode("bands").alias("band"))
     shared = banded.groupBy("band").agg(F.count(F.lit(1)).alias("m"), F.min("c").alias("head")).where("m > 1")
     members = written(banded.join(shared, "band"), "join-members")
 
-    # full n-gram sets of the candidates, from the text of one document of each class
-    wanted = members.select("c").distinct().join(kinds.select("c", "rep", "key", "n"), "c")
+    # full n-gram sets of the candidates, from the text of one row of each class; copies of that row fall together before they are shuffled
+    wanted = members.select("c").distinct().join(kinds.select("c", "rep.h1", "rep.h2", "n"), "c")
 
     def grams_of(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             for at in range(0, batch.num_rows, 256):
                 part = batch.slice(at, 256)
-                sets = [ngram_set(t.as_py(), n).tobytes() for t in part.column(3)]
-                keys = part.column(1).to_pylist()
-                # an id may stand for several texts: only that of the class counts
-                keep = pa.array([xxhash.xxh3_128_digest(s) == k for s, k in zip(sets, keys)])
-                yield pa.record_batch([part.column(0), part.column(2), pa.array(sets, pa.binary())], names=["c", "n", "grams"]).filter(keep)
+                sets = [ngram_set(t.as_py(), n).tobytes() for t in part.column(2)]
+                yield pa.record_batch([part.column(0), part.column(1), pa.array(sets, pa.binary())], names=["c", "n", "grams"])
 
-    texts = wanted.join(source, F.col("rep").eqNullSafe(source["doc_id"])).select("c", "key", "n", "text")
-    sets = texts.mapInArrow(grams_of, "c long, n long, grams binary")
-    sets = written(sets.groupBy("c").agg(F.max("n").alias("n"), F.max("grams").alias("grams")), "join-sets")
+    named = source.select("text", *row_hashes(F.col("doc_id"), F.col("text"))).groupBy("h1", "h2").agg(F.first("text").alias("text"))
+    texts = named.join(wanted, ["h1", "h2"]).select("c", "n", "text")
+    sets = written(texts.mapInArrow(grams_of, "c long, n long, grams binary"), "join-sets")
 
     hot = connected_components(members.where(F.col("m") > PAIRED).select(F.col("head").alias("a"), F.col("c").alias("b")))
     hot = written(hot.withColumnRenamed("node", "c"), "join-hot")
 
-    # few classes share the band hash: pairs, but for those that the blocks compare
-    few = members.where(F.col("m") <= PAIRED).groupBy("band").agg(F.sort_array(F.collect_set("c")).alias("cs"))
-    ordered = F.flatten(F.transform("cs", lambda x, i: F.transform(F.slice(F.col("cs"), i + 2, F.size("cs")), lambda y: F.struct(x.alias("a"), y.alias("b")))))
+    # few classes share the band hash: pairs whose set sizes allow a link, but for those that the blocks compare
+    few = members.where(F.col("m") <= PAIRED).groupBy("band").agg(F.sort_array(F.collect_set(F.struct("c", "grams"))).alias("cs"))
+    like = lambda x, y: F.least(x["grams"], y["grams"]) >= threshold * F.greatest(x["grams"], y["grams"]) - 1e-6
+    behind = lambda x, i: F.filter(F.slice(F.col("cs"), i + 2, F.size("cs")), lambda y: like(x, y))
+    ordered = F.flatten(F.transform("cs", lambda x, i: F.transform(behind(x, i), lambda y: F.struct(x["c"].alias("a"), y["c"].alias("b")))))
     pairs = few.select(F.explode(ordered).alias("p")).select("p.a", "p.b").distinct()
     la, lb = hot.select(F.col("c").alias("a"), F.col("root").alias("ra")), hot.select(F.col("c").alias("b"), F.col("root").alias("rb"))
     pairs = pairs.join(la, "a", "left").join(lb, "b", "left").where("ra IS NULL OR rb IS NULL OR ra <> rb").select("a", "b")
@@ -262,11 +259,20 @@ def jaccard_join(
     close = pairs.join(sa, "a").join(sb, "b").select("a", "b", "na", "nb", "ga", "gb")
     close = written(close.mapInArrow(verify, "a long, b long, na long, nb long"), "join-pairs")
 
-    # many do: blocks of each hot group against each other, every pair of classes in exactly one block pair
-    sizes = hot.groupBy("root").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks"))
-    dealt = hot.join(sizes, "root").join(sets, "c").withColumn("block", F.pmod(F.xxhash64("c"), F.col("blocks")))
-    dealt = dealt.withColumn("other", F.explode(F.sequence(F.lit(0).cast("long"), F.col("blocks") - 1)))
-    dealt = dealt.select("root", F.least("block", "other").alias("lo"), F.greatest("block", "other").alias("hi"), "block", "c", "n", "grams")
+    # many do: blocks of each hot group against each other.  Set sizes fall into steps by the threshold's ratio, and linked
+    # classes lie in one step or in two that adjoin; every such pair of classes is in exactly one block pair
+    step = F.floor(F.log(F.octet_length("grams") / 8) / F.log(F.lit(1 / threshold)) + 1e-9) if 0 < threshold < 1 else F.octet_length("grams")
+    stepped = hot.join(sets, "c").withColumn("step", step.cast("long"))
+    sizes = written(stepped.groupBy("root", "step").agg(F.ceil(F.count(F.lit(1)) / BLOCK).alias("blocks")), "join-sizes")
+    beside = sizes.join(sizes.select("root", F.col("step").alias("near"), F.col("blocks").alias("many")), "root").where("abs(near - step) <= 1")
+    beside = beside.groupBy("root", "step", "blocks").agg(F.collect_list(F.struct("near", "many")).alias("beside"))  # three at most
+    dealt = stepped.join(beside, ["root", "step"]).withColumn("block", F.struct("step", F.pmod(F.xxhash64("c"), F.col("blocks")).alias("part")))
+    others = F.flatten(F.transform("beside", lambda s: F.transform(F.sequence(F.lit(0).cast("long"), s["many"] - 1), lambda p: F.struct(s["near"].alias("step"), p.alias("part")))))
+    dealt = dealt.withColumn("other", F.explode(others))
+    name = lambda b: F.concat_ws("/", b["step"], b["part"])
+    dealt = dealt.select(
+        "root", name(F.least("block", "other")).alias("lo"), name(F.greatest("block", "other")).alias("hi"), name(F.col("block")).alias("block"), "c", "n", "grams"
+    )
     inside = written(dealt.groupBy("root", "lo", "hi").applyInArrow(_compare_blocks(threshold), "c long, links long, to long"), "join-blocks")
 
     links = (
@@ -278,10 +284,30 @@ def jaccard_join(
     )
     groups = connected_components(close.select("a", "b").unionByName(inside.select(F.col("c").alias("a"), F.col("to").alias("b"))))
     groups = groups.withColumnRenamed("node", "c")
-    labelled = kinds.select("c", "key", "rep", "n").join(groups, "c", "left").withColumn("root", F.coalesce("root", "c"))
-    named = labelled.groupBy("root").agg(F.min("rep").alias("class_id"))
-    answer = labelled.join(named, "root").join(links, "c", "left")
-    answer = answer.select("key", "class_id", (F.col("n") - 1 + F.coalesce("links", F.lit(0))).alias("n_links"))
+    labelled = kinds.select("c", "key", "rep", "n").join(groups, "c", "left").join(links, "c", "left")
+    return docs, labelled.select("key", "rep", "n", F.coalesce("root", "c").alias("root"), F.coalesce("links", F.lit(0)).alias("links"))
+
+
+def jaccard_join(
+    df: DataFrame, *, doc: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, target: float = TARGET_RECALL
+) -> DataFrame:
+    """One row a document: ``doc_id, class_id, n_links``.
+
+    Documents are linked where the Jaccard similarity of their sets of word
+    ``n``-grams (lower case, runs of word characters) is at least ``threshold``.
+    ``n_links`` counts the other documents a document is linked to, copies
+    included; ``class_id`` is the smallest id of all documents that links lead to, over any
+    number of steps, and the document's own id where there is none.  Texts of
+    fewer than ``n`` words have one n-gram; null texts and texts without words
+    are linked to nothing.  Rows with one id are documents of their own and get
+    their text's class; a null id is kept, and is a class id only where all of a class are null.
+    Other columns are not read; an empty input gives no rows.  A pair at the
+    threshold is found with probability ``target``, a closer one with more, and
+    no pair below the threshold is returned.  A threshold at which ``MAX_HASHES`` cannot reach the target is refused.
+    """
+    docs, classes = _linked_classes(df.select(F.col(doc).cast("long").alias("doc_id"), F.col(text).cast("string").alias("text")), n, threshold, target)
+    named = classes.groupBy("root").agg(F.min("rep").alias("first"))
+    answer = classes.join(named, "root").select("key", F.col("first.doc_id").alias("class_id"), (F.col("n") - 1 + F.col("links")).alias("n_links"))
     return (
         docs.select("doc_id", "key")
         .join(answer, "key", "left")
@@ -289,7 +315,29 @@ def jaccard_join(
     )
 
 
+def one_of_each(
+    df: DataFrame, *, doc: str = "doc_id", text: str = "text", n: int = NGRAM, threshold: float = THRESHOLD, target: float = TARGET_RECALL
+) -> DataFrame:
+    """The rows of ``df`` with one row of each group of documents that links of :func:`jaccard_join` join.
+
+    The row that stays has the smallest id of its group, nulls last; of rows that
+    repeat its id and text one stays, the first in the order of its columns, which must be orderable.  Rows are judged
+    one by one, so rows that share an id stay or go by their own texts.  Rows
+    without words (null, empty, marks alone) copy nothing and all stay.  All columns are kept
+    whatever their names; an empty input gives no rows.
+    """
+    doc_, text_ = F.col(doc).cast("long"), F.col(text).cast("string")
+    docs, classes = _linked_classes(df.select(doc_.alias("doc_id"), text_.alias("text")), n, threshold, target)
+    first = classes.groupBy("root").agg(F.min("rep").alias("rep")).select("rep.h1", "rep.h2")
+    stay = first.unionByName(docs.where("key IS NULL").select("h1", "h2").distinct())
+    worded = F.coalesce(text_.rlike(r"[\p{L}\p{N}_]"), F.lit(False))
+    rows = df.where(worded).select(*row_hashes(doc_, text_), F.struct(*df.columns).alias("row"))
+    one = rows.groupBy("h1", "h2").agg(F.min("row").alias("row"))  # copies of a row fall together before they are shuffled
+    return one.join(stay, ["h1", "h2"], "left_semi").select("row.*").unionByName(df.where(~worded))
+
+
 def op10_ngram_jaccard(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Classes and numbers of links of all documents; nulls, ties, repeats, long and empty texts and empty tables as in :func:`jaccard_join`."""
     return jaccard_join(table(spark, sf_dir, "documents"))
 
 

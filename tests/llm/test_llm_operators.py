@@ -494,7 +494,41 @@ def test_join_of_nothing(spark):
     assert 1 - (1 - 0.8**rows) ** bands >= 0.9995 and bands * rows <= jaccard.MAX_HASHES
 
 
+def test_join_refuses_what_no_banding_reaches():
+    for threshold in (0.01, 0.0, 1.5):
+        with pytest.raises(ValueError):
+            jaccard.choose_bands(threshold, 0.9995)
+
+
+def test_join_of_many_null_ids(spark):
+    texts = [(None, "the same text under no id at all")] * 5000 + [(None, f"text number {k} under no id at all") for k in range(50)] + [(3, "the same text under no id at all")]
+    got = jaccard.jaccard_join(table(spark, [(i, t, None) for i, t in texts])).groupBy("doc_id", "class_id", "n_links").count().collect()
+    assert sorted((tuple(r) for r in got), key=repr) == sorted([(3, 3, 5000, 1), (None, 3, 5000, 5000), (None, None, 0, 50)], key=repr)
+
+
+def test_one_of_each_judges_rows_and_not_ids(spark):
+    a, c, p, q = (f"{w} one two three four five six seven {w}" for w in ("a", "c", "p", "q"))
+    rows = [(3, a, "x"), (7, a, "x"), (7, c, "x"), (9, p, "x"), (9, q, "x"), (9, q, "y"), (None, a, "x"), (None, "b " + c, "x"), (None, None, "x"), (None, None, "x"), (4, " - ", "x"), (4, " - ", "x")]
+    kept = jaccard.one_of_each(table(spark, rows))
+    assert kept.columns == table(spark, rows).columns
+    expected = [(3, a, "x"), (7, c, "x"), (9, p, "x"), (9, q, "x"), (None, None, "x"), (None, None, "x"), (4, " - ", "x"), (4, " - ", "x")]
+    assert sorted(((r["doc_id"], r["text"], r["lang"]) for r in kept.collect()), key=repr) == sorted(expected, key=repr)
+    assert jaccard.one_of_each(empty(spark)).count() == 0
+
+
 def test_components_of_paths_and_stars(spark):
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (500, 501), (501, 500)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)} | {500: 500, 501: 500}
+
+
+def test_components_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(components, "HOT", 2)
+    monkeypatch.setattr(components, "HOT_KEYS", 10)
+    rng, label = random.Random(11), list(range(300))
+    edges = [(0, k) for k in range(1, 60)] + [(k, 299) for k in range(200, 260)] + [(rng.randrange(300), rng.randrange(300)) for _ in range(60)]
+    for _ in range(300):
+        for a, b in edges:
+            label[a] = label[b] = min(label[a], label[b])
+    got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
+    assert got == {k: label[k] for e in edges if e[0] != e[1] for k in e}
