@@ -12,7 +12,7 @@ from pyspark.sql import functions as F
 
 from motifloom.llm.common import table, written
 from motifloom.llm.decontaminate import leaks_of, indexes
-from motifloom.llm.jaccard import jaccard_join
+from motifloom.llm.jaccard import one_of_each
 from motifloom.llm.langid import UNDETERMINED, language_of, train_languages
 from motifloom.llm.packing import pack_documents
 from motifloom.llm.quality import THRESHOLD, quality_of, train_quality
@@ -36,15 +36,14 @@ def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Da
 
 
 def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """The document with the smallest id of each group of near duplicates.
+    """One document of each group of near duplicates, the one with the smallest id.
 
-    Rows without an id stand for themselves and stay; of rows that repeat the
-    kept id one stays, the first in the order of their columns.
+    Rows are judged one by one: rows that share an id stay or go by their own
+    texts, null ids come last, of repeats of the row that stays one stays, the
+    first in the order of its columns.  Null texts and texts without words copy
+    nothing and stay.  An empty table gives no rows; other columns than those of ``documents`` are dropped.
     """
-    kept = jaccard_join(docs).where("doc_id = class_id").select("doc_id").distinct()
-    named = docs.select(COLUMNS).join(kept, "doc_id", "left_semi")
-    first = named.groupBy("doc_id").agg(F.min(F.struct("text", "lang", "source", "n_chars")).alias("row")).select("doc_id", "row.*")
-    return first.select(COLUMNS).unionByName(docs.select(COLUMNS).where("doc_id IS NULL"))
+    return one_of_each(docs.select(COLUMNS))
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
