@@ -13,10 +13,13 @@ them.
 Texts are cut into chunks.  A chunk is a map from the state before it to the
 state after it and a token count.  Word starts and characters without a piece
 lead to the same state from anywhere, so a chunk's map is constant behind its
-first such symbol.  All chunks run in lockstep from there; then the heads of
-chunks run from the states that the chunks before them have settled on, again in
-lockstep.  Maps of open heads are not built: chunks without such a symbol run one
-after another.
+first such symbol, and all chunks run in lockstep from there.  Chunks without
+such a symbol get maps over a pool of states: first over the state that a run-up
+through the symbols in front of them ends in, then, where that was not it, over
+the states that the chunks before them are seen to end in.  The maps of a run of such
+chunks are composed by a parallel prefix scan, in as many rounds as the run's
+length has binary digits; it gives the state before every chunk.  Heads in front
+of a chunk's first such symbol then run from those states, again in lockstep.
 """
 
 from __future__ import annotations
@@ -33,6 +36,8 @@ from motifloom.llm.common import table
 
 SPACE = "▁"
 CHUNK = 256
+#: Symbols of a run-up, and entries of a chunk's map from which on only the state that is known to stand before it is added.
+RUN_UP, TRIED = 64, 16
 #: Characters that run through the transducer at once, and transitions after which it is forgotten and begun anew.
 BATCH_CHARS, MAX_TRANSITIONS = 2_000_000, 1_500_000
 UNSYNCED, ROOT = 0, 1
@@ -81,6 +86,61 @@ class PairTable:
         self.used += 1
 
 
+class Unfit(ValueError):
+    """A model that the transducer does not compile, or a text that it cannot follow and the library must count."""
+
+
+def _fields(message: bytes) -> dict[int, list]:
+    """Values of a serialised protocol buffer by field number: integers, and bytes for anything longer."""
+
+    def varint(at: int) -> tuple[int, int]:
+        value = shift = 0
+        while True:
+            byte = message[at]
+            value, shift, at = value | (byte & 127) << shift, shift + 7, at + 1
+            if byte < 128:
+                return value, at
+
+    out: dict[int, list] = {}
+    at = 0
+    while at < len(message):
+        tag, at = varint(at)
+        if tag & 7 == 0:
+            value, at = varint(at)
+        else:
+            size, at = varint(at) if tag & 7 == 2 else ({1: 8, 5: 4}[tag & 7], at)
+            value, at = message[at : at + size], at + size
+        out.setdefault(tag >> 3, []).append(value)
+    return out
+
+
+def check_model(serialised: bytes) -> None:
+    """Refuse a sentencepiece model that is not BPE with byte fallback, unchanged text and a space in front.
+
+    Fixed values: field numbers and defaults of the public model format (trainer 2: type 3, suffix spaces 24, byte
+    fallback 35; normaliser 3: character map 2, space in front 3, fewer spaces 4, escaped spaces 5, rules 6; pieces 1: type 3).
+    """
+    model = _fields(serialised)
+    trainer, text = (_fields(b"".join(model.get(k, []))) for k in (2, 3))
+    flag = lambda fields, k, default: fields.get(k, [default])[-1]
+    wrong = [
+        why
+        for why, bad in (
+            ("it is not a BPE model", flag(trainer, 3, 1) != 2),
+            ("it has no byte fallback", not flag(trainer, 35, 0)),
+            ("its spaces stand behind words", bool(flag(trainer, 24, 0))),
+            ("it maps characters", bool(flag(text, 2, b"") or flag(text, 6, b""))),
+            ("it puts no space in front", not flag(text, 3, 1)),
+            ("it removes spaces", bool(flag(text, 4, 1))),
+            ("it does not escape spaces", not flag(text, 5, 1)),
+            ("it has pieces that users defined", any(flag(_fields(p), 3, 1) == 4 for p in model.get(1, []))),
+        )
+        if bad
+    ]
+    if wrong:
+        raise Unfit("the transducer compiles BPE models with byte fallback and unchanged texts; of this one, " + ", ".join(wrong))
+
+
 class CountingTransducer:
     """Counts the tokens that a sentencepiece BPE model with byte fallback gives for whole texts."""
 
@@ -89,6 +149,7 @@ class CountingTransducer:
 
         self.library = sentencepiece.SentencePieceProcessor(model_file=model_file)
         lib = self.library
+        check_model(lib.serialized_model_proto())
         self.scores = {
             lib.id_to_piece(i): lib.get_score(i)
             for i in range(lib.get_piece_size())
@@ -97,7 +158,7 @@ class CountingTransducer:
         chars = sorted({c for p in self.scores for c in p})
         inner = [p for p in self.scores if SPACE in p.lstrip(SPACE) or (p.startswith(SPACE * 2) and p.strip(SPACE))]
         if inner or any(c not in self.scores for c in chars) or not any(lib.is_byte(i) for i in range(lib.get_piece_size())):
-            raise ValueError("the model is not of the kind that this transducer compiles: BPE with byte fallback, spaces only in front")
+            raise Unfit("the transducer compiles models whose spaces stand in front of pieces and whose characters are pieces")
         # a piece that BPE itself would not keep whole is never emitted
         self.kids: list[dict[str, int]] = [{}]
         self.ends: list[str | None] = [None]
@@ -196,7 +257,7 @@ class CountingTransducer:
             if self.kids[nxt]:
                 grown.append((nxt, last, count))
         if token is None:
-            raise ValueError("no token ends here; the model is not a BPE model")
+            raise Unfit("no token ends here")
         piece, delta = token
         return self.state((*((n, last, c - delta) for n, last, c in grown), (0, piece, 0))), delta
 
@@ -229,16 +290,22 @@ class CountingTransducer:
             extra += before(m - 1)
             shift = before(m) - 1 - before(m - 1)
             if not -RUN_CLASSES // 2 <= shift < RUN_CLASSES // 2:
-                raise ValueError("a run of spaces changes the count by more than its symbols can say")
+                raise Unfit("a run of spaces changes the count by more than its symbols can say")
             out[b] = 5 + RUN_CLASSES // 2 + shift
         keep = np.ones(len(out), bool)
         keep[:-1] &= ~(space[:-1] & space[1:])
         return out[keep], extra
 
     def count(self, texts: list[str]) -> np.ndarray:
-        """Tokens of each text."""
+        """Tokens of each text; what the transducer cannot follow is counted by the library."""
         if self.table.used > MAX_TRANSITIONS:
             self.reset()
+        try:
+            return self._count(texts)
+        except Unfit:
+            return np.array([len(x) for x in self.library.encode(texts)], np.int64)
+
+    def _count(self, texts: list[str]) -> np.ndarray:
         total = np.zeros(len(texts), np.int64)
         lanes: list[np.ndarray] = []
         doc: list[int] = []
@@ -262,19 +329,60 @@ class CountingTransducer:
         # constant part of each chunk's map: from its first synchronising symbol to its end
         end, counts = self.run(grid, head, lengths, np.zeros(len(lanes), np.int64))
         total += np.bincount(docs, counts, len(texts)).astype(np.int64)
-        # heads: a chunk's state before it is the state behind the chunk before it in its text
-        open_ = np.flatnonzero(head > 0)
-        known = has.copy()
-        while len(open_):
-            ready = open_[known[open_ - 1]]
-            got, counts = self.run(grid[ready], np.zeros(len(ready), np.int64), head[ready], end[ready - 1])
-            total += np.bincount(docs[ready], counts, len(texts)).astype(np.int64)
-            whole = ready[~has[ready]]
-            end[whole] = got[~has[ready]]
-            known[whole] = True
-            open_ = open_[~np.isin(open_, ready)]
+        # a text begins with a space, so a run of chunks without such a symbol always follows a chunk with one
+        without = np.flatnonzero(~has)
+        for chunks in np.split(without, np.flatnonzero(np.diff(without) > 1) + 1) if len(without) else ():
+            end[chunks], counts = self.scan(grid, lengths, chunks, int(end[chunks[0] - 1]))
+            total[docs[chunks[0]]] += counts
+        heads = np.flatnonzero(has & (head > 0))
+        _, counts = self.run(grid[heads], np.zeros(len(heads), np.int64), head[heads], end[heads - 1])
+        total += np.bincount(docs[heads], counts, len(texts)).astype(np.int64)
         return total
 
+    def scan(self, grid: np.ndarray, lengths: np.ndarray, chunks: np.ndarray, start: int) -> tuple[np.ndarray, int]:
+        """End states of a run of open chunks that begins in ``start``, and the tokens of them all.
+
+        A chunk's map is a row of entries: a state before it, the state behind it, and the tokens between.
+        """
+        n = len(chunks)
+        used = np.zeros(n, np.int64)
+        before, behind, counts = np.full((n, 1), -1), np.full((n, 1), -1), np.zeros((n, 1), np.int64)
+
+        def learn(rows: np.ndarray, states: np.ndarray) -> None:
+            """More entries of the chunks' maps; ``rows`` ascend."""
+            nonlocal before, behind, counts
+            ends, got = self.run(grid[chunks[rows]], np.zeros(len(rows), np.int64), lengths[chunks[rows]], states)
+            first = np.append(True, rows[1:] != rows[:-1])
+            at = used[rows] + np.arange(len(rows)) - np.maximum.accumulate(np.where(first, np.arange(len(rows)), 0))
+            more = ((0, 0), (0, max(int(at.max()) + 1 - before.shape[1], 0)))
+            before, behind, counts = np.pad(before, more, constant_values=-1), np.pad(behind, more, constant_values=-1), np.pad(counts, more)
+            before[rows, at], behind[rows, at], counts[rows, at] = states, ends, got
+            used[rows] = at + 1  # the last of a row's entries is written last
+
+        ahead = chunks[:-1]
+        guess, _ = self.run(grid[ahead], np.maximum(lengths[ahead] - RUN_UP, 0), lengths[ahead], np.full(n - 1, ROOT))
+        learn(np.arange(n), np.append(start, guess).astype(np.int64))
+        while True:
+            come, go, tokens, reach = before.copy(), behind.copy(), counts.copy(), 1
+            while reach < n:  # chunk j's map becomes that of the ``2 * reach`` chunks up to j
+                meet = (go[:-reach, :, None] == come[reach:, None, :]) & (go[:-reach, :, None] >= 0)
+                known, at = meet.any(axis=2), meet.argmax(axis=2)
+                end = np.where(known, np.take_along_axis(go[reach:], at, axis=1), -1)
+                total = np.where(known, tokens[:-reach] + np.take_along_axis(tokens[reach:], at, axis=1), 0)
+                come[reach:], go[reach:], tokens[reach:] = come[:-reach].copy(), end, total
+                reach *= 2
+            open_ = np.flatnonzero(go[:, 0] < 0)
+            if not len(open_):
+                return go[:, 0], int(tokens[-1, 0])
+            # where maps do not meet: the states that one chunk ends in and the next has no entry for
+            asked = (behind[:-1] >= 0) & ~(behind[:-1, :, None] == before[1:, None, :]).any(axis=2)
+            asked[: open_[0] - 1] = False
+            asked[used[1:] >= TRIED] = False
+            rows, k = np.nonzero(asked)
+            needed = np.append(np.stack([rows + 1, behind[rows, k]], axis=1), [[open_[0], go[open_[0] - 1, 0]]], axis=0)
+            needed = np.unique(needed, axis=0)
+            learn(needed[:, 0], needed[:, 1])
+
     def run(self, grid: np.ndarray, begin: np.ndarray, stop: np.ndarray, states: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
         """Lanes from column ``begin`` to before ``stop`` in lockstep: end states and counts."""
         order = np.argsort(begin - stop, kind="stable")
@@ -312,7 +420,7 @@ def count_tokens(df: DataFrame, *, doc: str = "doc_id", text: str = "text", mode
     """``doc_id, n_bytes, n_tokens`` of every whole text.
 
     ``model`` names a public vocabulary or is the path of a sentencepiece BPE
-    model with byte fallback.  A null or empty text has neither bytes nor tokens.
+    model with byte fallback that leaves texts unchanged; other models are refused.  A null or empty text has neither bytes nor tokens.
     Repeated rows are kept; other columns are dropped and cannot clash; an empty
     input gives no rows.  Texts of any length are counted whole, in chunks.
     """
@@ -343,4 +451,5 @@ LIMIT = 4096
 
 
 def op4_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Bytes and tokens of every document; nulls, repeats, long and empty texts and empty tables as in :func:`count_tokens`."""
     return count_tokens(table(spark, sf_dir, "documents")).withColumn("over_limit", F.col("n_tokens") > LIMIT)

@@ -153,6 +153,49 @@ def test_transducer_counts_as_the_library_does(spark):
     assert tokencount.count_tokens(empty(spark)).count() == 0
 
 
+def test_runs_of_open_chunks_are_composed_by_a_scan():
+    import time
+
+    own = tokencount.CountingTransducer(tokencount.vocabulary("piece_bpe_32k.model"))
+    rng = random.Random(51)
+    letters = [c for c in "etaoinshrdluabcdefg"]
+    texts = ["a" * n for n in (255, 256, 257, 511, 5000, 40_001)] + ["ab" * 9000, "the" * 7000, "日本語テキスト" * 3000, "x y" + "zq" * 4000 + " end " + "w" * 3000]
+    texts += ["".join(rng.choice(letters) for _ in range(rng.randint(200, 9000))) for _ in range(30)]
+    assert own.count(texts).tolist() == [len(x) for x in own.library.encode(texts)]
+    long = ["".join(rng.choice(letters[:6]) for _ in range(400_000)) for _ in range(2)]
+    own.count(long)  # states are made once
+    begin = time.perf_counter()
+    got = own.count(long).tolist()
+    seconds = time.perf_counter() - begin
+    print("seconds for 800000 characters without spaces:", round(seconds, 2))
+    assert got == [len(x) for x in own.library.encode(long)] and seconds < 3  # under half a second on an idle machine
+
+
+def bare_model(kind, charsmap=b"", spaces=0, fallback=1):
+    """A model's trainer and normaliser alone, serialised."""
+    part = lambda number, body: bytes([number << 3 | 2, len(body)]) + body
+    trainer = bytes([3 << 3, kind, 0x98, 0x02, fallback])
+    text = (part(2, charsmap) if charsmap else b"") + bytes([4 << 3, spaces])
+    return part(2, trainer) + part(3, text)
+
+
+def test_models_of_other_kinds_are_refused():
+    tokencount.check_model(bare_model(2))
+    for other in (bare_model(1), bare_model(2, b"nfkc"), bare_model(2, b"", 1), bare_model(2, b"", 0, 0), bare_model(3), b""):
+        with pytest.raises(tokencount.Unfit):
+            tokencount.check_model(other)
+
+
+def test_texts_that_the_transducer_cannot_follow_go_to_the_library(monkeypatch):
+    own = tokencount.CountingTransducer(tokencount.vocabulary("piece_bpe_32k.model"))
+
+    def refuse(text):
+        raise tokencount.Unfit("no")
+
+    monkeypatch.setattr(own, "symbols", refuse)
+    assert own.count(["some text", ""]).tolist() == [len(x) for x in own.library.encode(["some text", ""])]
+
+
 def test_forgetting_the_transducer_does_not_change_counts(monkeypatch):
     own = tokencount.CountingTransducer(tokencount.vocabulary("piece_bpe_32k.model"))
     texts = ["the quick brown fox", "jumps over the lazy dog", LONG[:5000]]
