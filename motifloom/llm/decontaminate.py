@@ -8,29 +8,43 @@ A walk has three steps for each word, enough to read its window to the end.
 Each table samples some steps of a walk of its own; windows of an item's size
 that agree with the item on all sampled steps of a table are checked by exact
 edit distance, and so are the places around a leak.  The number of tables is
-chosen for a target recall at the largest distance that counts as a leak, as the
-mean over patterns of edits.
+chosen for each class of item sizes, by running them on edited items, for a target recall at the largest distance that
+counts as a leak.
+
+Windows are hashed where a leak may begin: of ``e + 1`` words of an item, ``e``
+edits leave one as it is, so an item's rarest ``e + 1`` words say by
+their places in a text where its windows are, and a window must hold all but
+``e`` of the item's words.  Neither loses a leak.
 """
 
 from __future__ import annotations
 
+import pickle
 import re
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
+from itertools import repeat
 
 import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import table
+from motifloom.llm.common import shared_path, table
+from motifloom.llm.tokenids import filesystem
 
 WORD = re.compile(r"\w+")
 #: Share of an item's words that may be edited, recall wanted at that share, steps sampled by a table.
 MAX_EDITS, TARGET_RECALL, SAMPLED = 0.2, 0.99, 2
 #: Items and words of an index at most; a larger benchmark is searched index by index.
-INDEX_ITEMS, INDEX_WORDS = 20_000, 2_000_000
+INDEX_ITEMS, INDEX_WORDS = 20_000, 500_000
 #: Steps of a walk for each word of its window, kinds of edit patterns that tables are chosen over.
 WALK, PATTERNS = 3, 5
-BATCH_WORDS = 400_000
+#: Edited items that tables are tried on, share of them that must be met (over the target, for trials are a sample),
+#: tables at most, and ratio of sizes in a class.
+TRIALS, MET, MOST_TABLES, SIZE_RATIO = 400, 0.995, 512, 1.25
+#: Words of texts searched at once, windows looked at together, and indexes that a worker keeps between batches.
+BATCH_WORDS, WINDOWS, HELD = 400_000, 200_000, 2
 MATCH = "array<struct<item_id:bigint,start:bigint,distance:int>>"
 _MIX = np.uint64(0x9E3779B97F4A7C15)
 
@@ -58,11 +72,11 @@ def shares_of(tableno: int) -> np.ndarray:
             return shares
 
 
-def signatures(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tableno: int, draws: np.ndarray | None = None) -> np.ndarray:
+def signatures(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, stops: np.ndarray, tableno: int, draws: np.ndarray | None = None) -> np.ndarray:
     """Signatures of windows of a word-id sequence in one table: the sampled outputs of their walks.
 
-    A walk that has read its whole window writes padding.  The steps sampled are
-    fixed shares of the window's size, so equal sizes sample equal steps.  A step
+    A window ends at its size or at ``stops``, the end of its text; a walk that has read it writes padding.
+    The steps sampled are fixed shares of the window's size, so equal sizes sample equal steps.  A step
     depends on the word and the step's number only: walks that meet stay
     together, and windows that begin at the same word share a walk.
     """
@@ -74,6 +88,7 @@ def signatures(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tableno
     lengths, group = np.unique(sizes, return_inverse=True)
     members = np.split(np.argsort(group, kind="stable"), np.cumsum(np.bincount(group))[:-1])
     steps = np.sort((shares_of(tableno)[:, None] * lengths).astype(np.int64), axis=0)
+    stops = np.minimum(stops, starts + sizes)
     wanted: dict[int, list[int]] = {}
     for k in range(len(lengths)):
         for s in steps[:, k].tolist():
@@ -84,10 +99,10 @@ def signatures(words: np.ndarray, starts: np.ndarray, sizes: np.ndarray, tableno
         if j & (j - 1) == 0 or j in wanted:
             apart = np.append(True, now[1:] != now[:-1])  # walks keep their order, so those that have met stand together
             walk, now = (np.cumsum(apart) - 1)[walk], now[apart]
-        for k in wanted.get(j, ()):
-            mine = members[k]
+        if j in wanted:
+            mine = np.concatenate([members[k] for k in wanted[j]])
             here = now[walk[own[mine]]]
-            here = np.where(here < starts[mine] + lengths[k], here, len(words))
+            here = np.where(here < stops[mine], here, len(words))
             out[mine] = _mixed(out[mine] * _MIX + padded[here].astype(np.uint64))
         bits = (draws[now] ^ np.uint64(0xA24BAED4963EE407 * (tableno * 1009 + j + 1) & 0xFFFFFFFFFFFFFFFF)) * np.uint64(0xD1342543DE82EF95)
         now = np.minimum(now + (bits >> np.uint64(63)).astype(np.int64), len(words))
@@ -149,45 +164,37 @@ def edited(item: np.ndarray, edits: int, pattern: int, rng: np.random.Generator)
     return out
 
 
-def hit_rates(items: list[np.ndarray], trials: int = 400, tables: int = 128) -> np.ndarray:
-    """For each of ``trials`` items with as many edits as may count as a leak: the share of tables in which it is a candidate.
+def tables_for(items: list[np.ndarray]) -> int:
+    """Tables after which edited copies of items of one class of sizes are candidates as often as wanted.
 
-    It is one where a window near by that is within the allowed edits agrees with the item.
+    Every trial has as many edits as may count as a leak and other words around it, and is met in a table where a
+    the copy's window agrees with the item.
     """
     rng = np.random.default_rng(5)
-    words, starts, sizes, owner, originals, at = [], [], [], [], [], 0
-    for t in range(trials):
+    words, starts, sizes, stops, at = [], [], [], [], 0
+    for t in range(TRIALS):
         item = items[int(rng.integers(len(items)))]
         m, most = len(item), int(len(item) * MAX_EDITS)
+        if not most:
+            return 1  # nothing may be edited, and equal windows agree in every table
         changed = edited(item, most, t % PATTERNS, rng)
-        # other words around it, all different
-        text = np.array([*range(-1000, -1000 - most, -1), *changed, *range(-2000, -2000 - 2 * m - 2 * most, -1)], np.int64)
-        places = np.arange(2 * most + 1)
-        near = places[edit_distances(item, text[places[:, None] + np.arange(m + most)]) <= most]
+        text = np.array([*range(-1000, -1000 - most, -1), *changed, *range(-100_000, -100_000 - 2 * m - 2 * most, -1)], np.int64)
+        # the place of the copy itself; places beside it are within the allowed edits only where some edits undo each other
         words += [text, item]
-        starts += [*(at + near).tolist(), at + len(text)]
-        sizes += [m] * (len(near) + 1)
-        owner += [t] * (len(near) + 1)
-        originals.append(len(starts) - 1)
+        starts += [at + most, at + len(text)]
+        stops += [at + len(text), at + len(text) + m]
+        sizes += [m, m]
         at += len(text) + m
-    joined, first, size, own, last = np.concatenate(words), np.array(starts), np.array(sizes), np.array(owner), np.array(originals)
-    hits, draws, other = np.zeros(trials), draws_of(joined), np.ones(len(first), bool)
-    other[last] = False
-    for t in range(tables):
-        got = signatures(joined, first, size, 10_000 + t, draws)
-        hits += np.bincount(own, (got == got[last][own]) & other, trials) > 0
-    return hits / tables
-
-
-def tables_for(items: list[np.ndarray], target: float = TARGET_RECALL) -> int:
-    """Tables after which the mean probability of being a candidate, over items with as many edits as may count as a leak, is ``target``."""
-    items = [i for i in items if int(len(i) * MAX_EDITS) > 0]
-    if not items:
-        return 1
-    missed, tables = 1 - np.maximum(hit_rates(items), 0.004), 1  # a rate of none seen in the trials is still not 0
-    while 1 - np.mean(missed**tables) < target:
-        tables += 1
-    return tables
+    joined, first, size, stop = np.concatenate(words), np.array(starts), np.array(sizes), np.array(stops)
+    met, draws = np.zeros(TRIALS, bool), draws_of(joined)
+    for tables in range(1, MOST_TABLES + 1):
+        open_ = np.flatnonzero(~met)
+        both = np.concatenate([2 * open_, 2 * open_ + 1])
+        got = signatures(joined, first[both], size[both], stop[both], tables - 1, draws)
+        met[open_] = got[: len(open_)] == got[len(open_) :]
+        if met.mean() >= MET:
+            return tables
+    return MOST_TABLES
 
 
 @dataclass
@@ -197,36 +204,75 @@ class BenchmarkIndex:
     ids: list[int]
     items: list[np.ndarray]
     vocabulary: dict[str, int]
-    tables: int
+    seen: np.ndarray | None = field(default=None, repr=False)
 
     def __post_init__(self) -> None:
-        self.edits = [int(len(i) * MAX_EDITS) for i in self.items]
-        self.sizes = sorted({len(i) for i in self.items})
-        self.held = {}  # words of the items of a size
-        for m in self.sizes:
-            flags = np.zeros(len(self.vocabulary) + 2, bool)
-            flags[np.concatenate([i for i in self.items if len(i) == m])] = True
-            self.held[m] = flags
-        self.lookup: list[dict[int, list[int]]] = []
-        for t in range(self.tables):
-            own: dict[int, list[int]] = {}
-            if self.items:
-                sizes = np.array([len(i) for i in self.items])
-                for k, s in enumerate(signatures(np.concatenate(self.items), np.cumsum(sizes) - sizes, sizes, t).tolist()):
-                    own.setdefault(s, []).append(k)
-            self.lookup.append(own)
-        self.keys = [np.array(sorted(own), np.uint64) for own in self.lookup]
-
-    def windows(self, words: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
-        """Windows of every item size that hold enough of that size's words: fewer could not be within the allowed edits."""
-        starts, sizes, count, at = [], [], np.zeros(len(words) + 1, np.int32), np.arange(len(words))
-        for m in self.sizes:
-            np.cumsum(self.held[m][words], out=count[1:])
-            stop = np.minimum(at + m, ends)  # ``ends``: first position behind each word's own text
-            found = np.flatnonzero(count[stop] - count[:-1] >= m - int(m * MAX_EDITS))
-            starts.append(found)
-            sizes.append(np.full(len(found), m))
-        return np.concatenate(starts), np.concatenate(sizes)
+        self.sizes = np.array([len(i) for i in self.items], np.int64)
+        self.edits = (self.sizes * MAX_EDITS).astype(np.int64)
+        self.flat = np.concatenate(self.items) if self.items else np.zeros(0, np.int64)
+        self.begins = np.cumsum(self.sizes) - self.sizes
+        kinds = (np.log(np.maximum(self.sizes, 1)) / np.log(SIZE_RATIO)).astype(np.int64)
+        self.tables = np.zeros(len(self.items), np.int64)
+        for kind in np.unique(kinds).tolist():
+            mine = np.flatnonzero(kinds == kind)
+            self.tables[mine] = tables_for([self.items[k] for k in mine.tolist()])
+        draws = draws_of(self.flat)
+        self.own = [signatures(self.flat, self.begins, self.sizes, self.begins + self.sizes, t, draws) for t in range(int(self.tables.max(initial=0)))]
+        self.used = 0
+
+    def anchors(self, words: np.ndarray) -> None:
+        """For each item its ``e + 1`` rarest words of the texts so far; any choice is right, and it is made anew as texts double."""
+        own = np.bincount(words, minlength=len(self.vocabulary) + 2)
+        self.seen = own if self.seen is None else self.seen + own
+        if self.used and self.seen.sum() < 2 * self.used:
+            return
+        self.used = int(self.seen.sum())
+        owner = np.repeat(np.arange(len(self.items)), self.sizes)
+        order = np.lexsort((self.seen[self.flat], owner))
+        rank = np.arange(len(order)) - np.repeat(self.begins, self.sizes)
+        chosen = order[rank <= self.edits[owner]]  # ``order`` keeps items together, so ranks are theirs
+        chosen = chosen[np.argsort(self.flat[chosen], kind="stable")]
+        self.anchor_items, self.anchor_places = owner[chosen], chosen - self.begins[owner[chosen]]
+        self.anchor_first = np.searchsorted(self.flat[chosen], np.arange(len(self.vocabulary) + 3))
+
+    def windows(self, words: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Items and starts of the windows that may be leaks; texts lie between ``begins`` and ``ends``."""
+        self.anchors(words)
+        many = np.diff(self.anchor_first)[words]
+        many[words == 0] = 0
+        places = np.flatnonzero(many)
+        span = 2 * int(self.edits.max(initial=0)) + 1
+        slices = np.split(places, np.flatnonzero(np.diff(np.cumsum(many[places]) * span // WINDOWS)) + 1)
+        found = [self._windows(words, part, many, begins, ends) for part in slices if len(part)]
+        keys = np.unique(np.concatenate(found)) if found else np.zeros(0, np.int64)
+        return keys // (len(words) + 1), keys % (len(words) + 1)
+
+    def _windows(self, words: np.ndarray, places: np.ndarray, many: np.ndarray, begins: np.ndarray, ends: np.ndarray) -> np.ndarray:
+        n = many[places]
+        at = np.repeat(self.anchor_first[words[places]] - np.cumsum(n) + n, n) + np.arange(n.sum())
+        places, items = np.repeat(places, n), self.anchor_items[at]
+        width = 2 * self.edits[items] + 1
+        ahead = np.arange(width.sum()) - np.repeat(np.cumsum(width) - width, width)
+        starts = np.repeat(places - self.anchor_places[at] - self.edits[items], width) + ahead
+        doc = np.repeat(np.searchsorted(ends, places, "right"), width)
+        inside = (starts >= begins[doc]) & (starts <= np.repeat(places, width))
+        keys = np.unique(np.repeat(items, width)[inside] * (len(words) + 1) + starts[inside])
+        items, starts = keys // (len(words) + 1), keys % (len(words) + 1)
+        # enough of the item's words in the window
+        keep, flags = np.zeros(len(keys), bool), np.zeros(len(self.vocabulary) + 2, bool)
+        cuts = np.flatnonzero(np.append(True, items[1:] != items[:-1])) if len(items) else np.zeros(0, np.int64)
+        for a, b in zip(cuts.tolist(), [*cuts[1:].tolist(), len(keys)]):
+            k = int(items[a])
+            m, item = int(self.sizes[k]), self.items[k]
+            flags[item] = True
+            for c in range(a, b, max(1, 4_000_000 // m)):
+                part = starts[c : min(c + max(1, 4_000_000 // m), b)]
+                stop = ends[np.searchsorted(ends, part, "right")]
+                there = part[:, None] + np.arange(m)
+                held = flags[words[np.minimum(there, len(words) - 1)]] & (there < stop[:, None])
+                keep[c : c + len(part)] = held.sum(axis=1) >= m - self.edits[k]
+            flags[item] = False
+        return keys[keep]
 
     def search(self, texts: list[str | None]) -> list[list[dict]]:
         """Leaks of each text: for each item its best place, the first of equals."""
@@ -234,10 +280,10 @@ class BenchmarkIndex:
         begin = 0
         while begin < len(texts):
             parts, total, k = [], 0, begin
-            get = self.vocabulary.get
             while k < len(texts) and total < BATCH_WORDS:
-                parts.append(np.array([get(w, 0) for w in words_of(texts[k])], np.int64))
-                total += len(parts[-1])
+                own = words_of(texts[k])
+                parts.append(np.fromiter(map(self.vocabulary.get, own, repeat(0)), np.int64, len(own)))
+                total += len(own)
                 k += 1
             out += self._search(parts)
             begin = k
@@ -247,30 +293,26 @@ class BenchmarkIndex:
         sizes = np.array([len(p) for p in parts])
         words, ends = np.concatenate(parts), np.cumsum(sizes)
         best: list[dict[int, tuple[int, int]]] = [{} for _ in parts]
-        if len(words) and self.sizes:
-            starts, spans = self.windows(words, np.repeat(ends, sizes))
-            draws = draws_of(words)
-            pairs: list[np.ndarray] = []
-            for t in range(self.tables if len(starts) else 0):
-                own = signatures(words, starts, spans, t, draws)
-                at = np.minimum(np.searchsorted(self.keys[t], own), len(self.keys[t]) - 1)
-                hits = np.flatnonzero(self.keys[t][at] == own)
-                for key in np.unique(own[hits]).tolist():
-                    same = starts[hits[own[hits] == np.uint64(key)]]
-                    pairs += [np.stack([np.full(len(same), k), same], axis=1) for k in self.lookup[t][key]]
-            if pairs:
-                found = np.unique(np.concatenate(pairs), axis=0)
-                cuts = np.flatnonzero(np.diff(found[:, 0])) + 1
-                for part in np.split(found, cuts):
-                    self._verify(int(part[0, 0]), part[:, 1], words, ends, sizes, best)
+        if len(words) and self.items:
+            items, starts = self.windows(words, ends - sizes, ends)
+            met, draws = np.zeros(len(items), bool), draws_of(words)
+            stops = ends[np.searchsorted(ends, starts, "right")]
+            for t, own in enumerate(self.own):
+                open_ = np.flatnonzero(~met & (self.tables[items] > t))
+                if not len(open_):
+                    break
+                got = signatures(words, starts[open_], self.sizes[items[open_]], stops[open_], t, draws)
+                met[open_[got == own[items[open_]]]] = True
+            items, starts = items[met], starts[met]
+            for part in np.split(np.arange(len(items)), np.flatnonzero(np.diff(items)) + 1) if len(items) else ():
+                self._verify(int(items[part[0]]), starts[part], words, ends, sizes, best)
         return [
             [{"item_id": self.ids[k], "start": s, "distance": d} for k, (d, s) in sorted(b.items(), key=lambda x: (self.ids[x[0]], x[0]))] for b in best
         ]
 
-
     def _verify(self, k: int, starts: np.ndarray, words: np.ndarray, ends: np.ndarray, sizes: np.ndarray, best: list[dict[int, tuple[int, int]]]) -> None:
         """Exact distances of an item's candidates and of the places around its leaks, among which the best may be."""
-        most = self.edits[k]
+        most = int(self.edits[k])
         far = self._distances(k, starts, words, ends)
         hits = starts[far <= most]
         if not len(hits):
@@ -285,20 +327,22 @@ class BenchmarkIndex:
 
     def _distances(self, k: int, starts: np.ndarray, words: np.ndarray, ends: np.ndarray) -> np.ndarray:
         """Exact distances of an item at places of the texts; one with too few of its words counts as far."""
-        item, most = self.items[k], self.edits[k]
-        docs = np.searchsorted(ends, starts, "right")
-        places = starts[:, None] + np.arange(len(item) + most)
-        texts = np.where(places < ends[docs][:, None], words[np.minimum(places, len(words) - 1)], -1)
+        item, most = self.items[k], int(self.edits[k])
         flags = np.zeros(len(self.vocabulary) + 2, bool)
         flags[item] = True
-        near = np.flatnonzero(flags[texts].sum(axis=1) >= len(item) - most)
         out = np.full(len(starts), len(item) + most + 1)
-        if len(near):
-            out[near] = edit_distances(item, texts[near])
+        for c in range(0, len(starts), max(1, 4_000_000 // len(item))):
+            part = starts[c : c + max(1, 4_000_000 // len(item))]
+            stop = ends[np.searchsorted(ends, part, "right")]
+            places = part[:, None] + np.arange(len(item) + most)
+            texts = np.where(places < stop[:, None], words[np.minimum(places, len(words) - 1)], -1)
+            near = np.flatnonzero(flags[texts].sum(axis=1) >= len(item) - most)
+            if len(near):
+                out[c + near] = edit_distances(item, texts[near])
         return out
 
 
-def build_index(rows: list[tuple[int, str | None]], target: float = TARGET_RECALL) -> BenchmarkIndex:
+def build_index(rows: list[tuple[int, str | None]]) -> BenchmarkIndex:
     vocabulary: dict[str, int] = {}
     ids, items = [], []
     for item, text in rows:
@@ -306,30 +350,69 @@ def build_index(rows: list[tuple[int, str | None]], target: float = TARGET_RECAL
         if item is not None and words:
             ids.append(item)
             items.append(np.array([vocabulary.setdefault(w, len(vocabulary) + 1) for w in words], np.int64))
-    return BenchmarkIndex(ids, items, vocabulary, tables_for(items, target))
-
-
-def indexes(benchmark: DataFrame, *, item: str = "item_id", text: str = "text"):  # noqa: ANN201
-    """Indexes that together hold every item once; each is small enough to be sent to all executors."""
-    rows, size = [], 0
-    for r in benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).alias("text")).orderBy("item", "text").toLocalIterator():
-        rows.append((r["item"], r["text"]))
-        size += len(words_of(r["text"]))
-        if len(rows) >= INDEX_ITEMS or size >= INDEX_WORDS:
-            yield build_index(rows)
-            rows, size = [], 0
-    if rows:
-        yield build_index(rows)
-
-
-def leaks_of(spark: SparkSession, index: BenchmarkIndex, text: Column) -> Column:
-    shared = spark.sparkContext.broadcast(index)  # bounded by INDEX_ITEMS and INDEX_WORDS
+    return BenchmarkIndex(ids, items, vocabulary)
+
+
+def index_benchmark(benchmark: DataFrame, *, item: str = "item_id", text: str = "text") -> str:
+    """Indexes that together hold every item once, made by the executors; the folder in the shared store that holds them."""
+    rows = benchmark.select(F.col(item).cast("long").alias("item"), F.col(text).cast("string").alias("text"))
+    most_items, most_words = INDEX_ITEMS, INDEX_WORDS
+
+    def build(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held, size = [], 0
+        for batch in batches:
+            for own in zip(batch.column(0).to_pylist(), batch.column(1).to_pylist()):
+                held.append(own)
+                size += len(words_of(own[1]))
+                if len(held) >= most_items or size >= most_words:
+                    yield pa.record_batch([pa.array([pickle.dumps(build_index(held))], pa.binary())], names=["pickled"])
+                    held, size = [], 0
+        if held:
+            yield pa.record_batch([pa.array([pickle.dumps(build_index(held))], pa.binary())], names=["pickled"])
+
+    path = shared_path(benchmark.sparkSession, "benchmark")
+    shards = max(1, -(-rows.count() // most_items))
+    rows.repartitionByRange(shards, "item", "text").sortWithinPartitions("item", "text").mapInArrow(build, "pickled binary").write.parquet(path)
+    return path
+
+
+_LOADED: dict[str, list[BenchmarkIndex]] = {}
+
+
+def load_indexes(path: str) -> Iterator[BenchmarkIndex]:
+    """The indexes of a folder one after another; the worker keeps them where they are few."""
+    import pyarrow.parquet as pq
+    from pyarrow import fs
+
+    if path in _LOADED:
+        yield from _LOADED[path]
+        return
+    store, folder = filesystem(path)
+    kept: list[BenchmarkIndex] = []
+    number = 0
+    for file in sorted(f.path for f in store.get_file_info(fs.FileSelector(folder)) if f.path.endswith(".parquet")):
+        with store.open_input_file(file) as source:
+            for part in pq.ParquetFile(source).iter_batches(batch_size=1):
+                index = pickle.loads(part.column(0)[0].as_py())
+                number += 1
+                kept = [*kept, index] if number <= HELD else []
+                yield index
+    if number <= HELD:
+        _LOADED.clear()
+        _LOADED[path] = kept
+
+
+def leaks_of(path: str, text: Column) -> Column:
+    """Array of (item_id, start, distance) of a text column, from the indexes of :func:`index_benchmark`; empty for null and empty texts."""
 
     @F.pandas_udf(MATCH)
     def search(texts):  # noqa: ANN001, ANN202
         import pandas as pd
 
-        return pd.Series(shared.value.search(list(texts)))
+        out: list[list[dict]] = [[] for _ in texts]
+        for index in load_indexes(path):
+            out = [a + b for a, b in zip(out, index.search(list(texts)))]
+        return pd.Series(out)
 
     return search(text.cast("string"))
 
@@ -344,19 +427,15 @@ def find_leaks(
     edited (items of under five words must occur as they are).  Words are runs of
     word characters in lower case.  Null and empty texts have no leaks; items
     with a null id or without words are no items; repeated items are found as
-    often as they stand in the benchmark.  A column named as ``result`` is replaced.
+    often as they stand in the benchmark; of places of equal distance the first counts; repeated rows stay.
+    Texts of any length are searched whole.  A column named as ``result`` is replaced; other names cannot clash; an
+    empty input gives no rows, and an empty benchmark empty arrays.
     """
-    parts = []
-    out = df
-    for k, index in enumerate(indexes(benchmark, item=item, text=item_text)):
-        name = f"__leaks_{k}"
-        out = out.withColumn(name, leaks_of(df.sparkSession, index, F.col(text)))
-        parts.append(F.col(name))
-    found = F.concat(*parts) if len(parts) > 1 else parts[0] if parts else F.array().cast(MATCH)
-    return out.withColumn(result, found).drop(*[f"__leaks_{k}" for k in range(len(parts))])
+    return df.withColumn(result, leaks_of(index_benchmark(benchmark, item=item, text=item_text), F.col(text)))
 
 
 def op8_decontaminate(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A row for each leak of each document; nulls, ties, repeats, long and empty texts and empty tables as in :func:`find_leaks`."""
     docs = table(spark, sf_dir, "documents").select("doc_id", "text")
     found = find_leaks(docs, table(spark, sf_dir, "benchmark"))
     return found.select("doc_id", F.explode("leaks").alias("leak")).select(

@@ -370,43 +370,56 @@ def test_leaks_are_found_within_the_allowed_edits(spark):
 def test_a_large_benchmark_is_searched_index_by_index(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "INDEX_ITEMS", 2)
     bench = spark.createDataFrame([(k, f"one two three four five six number{k} end{k}") for k in range(5)], "item_id long, text string")
-    docs = table(spark, [(1, "x y one two three four five six number3 end3 z", "en")])
-    got = decontaminate.find_leaks(docs, bench).first()["leaks"]
+    docs = table(spark, [(1, "x y one two three four five six number3 end3 z", "en")]).withColumn("__leaks_0", F.lit(5))
+    got = decontaminate.find_leaks(docs, bench).first()
+    assert got["__leaks_0"] == 5
+    got = got["leaks"]
     assert min(got, key=lambda m: m["distance"]).asDict() == {"item_id": 3, "start": 2, "distance": 0}
 
 
-def test_leaks_at_the_limit_match_brute_force():
+def edited_words(rng, item, pattern, k):
     """A fifth of an item's words edited: all over, in front, at the back, by insertions, by deletions."""
-    rng = random.Random(81)
-    vocabulary = [f"w{k}" for k in range(300)]
-    items = [words(rng, vocabulary, rng.randint(15, 60)).split() for _ in range(60)]
+    own = list(item)
+    for e in range(len(own) // 5):
+        place = [rng.randrange(len(own)), e, max(len(own) - 1 - e, 0), rng.randrange(len(own)), rng.randrange(len(own))][pattern]
+        kind = [rng.randrange(3), 0, 0, 1, 2][pattern]
+        own[place : place + (kind != 1)] = [] if kind == 2 else [f"new{k}x{e}"]
+    return own
+
+
+@pytest.mark.parametrize("size,copies", [(5, 200), (10, 200), (25, 200), (50, 150), (100, 60), (200, 30), (500, 15)])
+def test_leaks_at_the_limit_match_a_scan_of_all_windows(size, copies):
+    rng = random.Random(81 + size)
+    vocabulary = [f"w{k}" for k in range(800)]
+    items = [words(rng, vocabulary, size).split() for _ in range(20)]
     index = decontaminate.build_index([(k, " ".join(i)) for k, i in enumerate(items)])
-    texts = []
-    for k in range(400):
-        own = list(items[k % 60])
-        most = len(own) // 5
-        for e in range(most):
-            place = [rng.randrange(len(own)), e, len(own) - 1 - e, rng.randrange(len(own)), rng.randrange(len(own))][k % 5]
-            kind = [rng.randrange(3), 0, 0, 1, 2][k % 5]
-            own[place : place + (kind != 1)] = [] if kind == 2 else [f"new{k}x{e}"]
-        texts.append(words(rng, vocabulary, 15).split() + own + words(rng, vocabulary, 15).split())
-    expected, missed = {}, []
-    for k, text in enumerate(texts):
-        item = items[k % 60]
-        size = len(item) + len(item) // 5
-        rows = np.array([[hash(w) for w in text[s : s + size]] + [0] * (size - len(text[s : s + size])) for s in range(len(text))])
-        far = decontaminate.edit_distances(np.array([hash(w) for w in item]), rows).tolist()
-        if k % 20 == 0:
-            assert far[14:17] == [min(plain_distance(item, text[s : e]) for e in range(s, min(s + size, len(text)) + 1)) for s in range(14, 17)]
-        expected[k] = (far.index(min(far)), min(far))
-        assert min(far) <= len(item) // 5
+    texts, missed = [], []
+    for k in range(copies):
+        texts.append(words(rng, vocabulary, 15).split() + edited_words(rng, items[k % 20], k % 5, k) + words(rng, vocabulary, 15).split())
     for k, leaks in enumerate(index.search([" ".join(t) for t in texts])):
+        item, text = items[k % 20], texts[k]
+        span = size + size // 5
+        rows = np.array([[hash(w) for w in text[s : s + span]] + [0] * (span - len(text[s : s + span])) for s in range(len(text))])
+        far = decontaminate.edit_distances(np.array([hash(w) for w in item]), rows).tolist()
+        if k % 20 == 0 and size <= 50:
+            assert far[14:17] == [min(plain_distance(item, text[s:e]) for e in range(s, min(s + span, len(text)) + 1)) for s in range(14, 17)]
+        assert min(far) <= size // 5
         found = {m["item_id"]: (m["start"], m["distance"]) for m in leaks}
-        if k % 60 not in found:
+        if k % 20 not in found:
             missed.append(k)
         else:
-            assert found[k % 60][1] == expected[k][1]
-    assert len(missed) <= 0.02 * len(texts)
+            assert found[k % 20] == (far.index(min(far)), min(far))
+    print(f"items of {size} words: {copies - len(missed)} of {copies} copies at the limit found, {int(index.tables.max())} tables")
+    assert len(missed) <= 0.01 * copies
+
+
+def test_an_index_of_many_items_is_small():
+    import pickle
+
+    rng = random.Random(83)
+    vocabulary = [f"w{k}" for k in range(30_000)]
+    rows = [(k, words(rng, vocabulary, rng.choice((10, 20, 30)))) for k in range(20_000)]
+    assert len(pickle.dumps(decontaminate.build_index(rows))) < 100e6
 
 
 # packing

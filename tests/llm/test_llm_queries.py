@@ -41,7 +41,7 @@ def test_stages_of_the_pipeline_take_effect(spark):
     classes = {r["doc_id"]: r["class_id"] for r in jaccard.jaccard_join(docs.where(F.col("doc_id").isin(sorted(source)))).collect()}
     assert ids == set(classes.values())
     source, ids = kept["decontamination"]
-    index = next(decontaminate.indexes(common.table(spark, FOLDER, "benchmark")))
+    index = decontaminate.build_index([(r["item_id"], r["text"]) for r in common.table(spark, FOLDER, "benchmark").collect()])
     assert ids == {d for d in source if not index.search([texts[d]])[0]}
     source, ids = kept["language"]
     assert all(langid.WORD.search(texts[d]) for d in ids) and len(ids) > 0.95 * len(source)
