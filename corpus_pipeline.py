@@ -11,7 +11,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from motifloom.llm.common import table, written
-from motifloom.llm.decontaminate import leaks_of, indexes
+from motifloom.llm.decontaminate import index_benchmark, leaks_of
 from motifloom.llm.jaccard import one_of_each
 from motifloom.llm.langid import UNDETERMINED, language_of, train_languages
 from motifloom.llm.packing import pack_documents
@@ -47,11 +47,14 @@ def keep_one_of_each(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataF
 
 
 def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents without a passage of the benchmark."""
-    out = docs.select(COLUMNS)
-    for index in indexes(table(spark, sf_dir, "benchmark")):
-        out = out.where(F.size(leaks_of(spark, index, F.col("text"))) == 0)
-    return out
+    """Documents without a passage of the benchmark.
+
+    Null and empty texts hold none and stay, as do all rows where the benchmark is
+    empty; repeated rows are judged alike; an empty table gives no rows; other
+    columns than those of ``documents`` are dropped.
+    """
+    found = leaks_of(index_benchmark(table(spark, sf_dir, "benchmark")), F.col("text"))
+    return docs.select(COLUMNS).where(F.size(found) == 0)
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
