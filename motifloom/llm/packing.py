@@ -5,7 +5,7 @@ each document is a piece.  Documents are sorted by the most frequent of their
 strongest BM25 terms, so that lexical neighbours stand together, and runs of that
 order are shards; each shard holds a BM25 inverted index of its documents, whole, over
 token ids.  The longest unused piece
-seeds a sequence, its strongest terms are the query, and the unused neighbours
+seeds a sequence, all terms of its document are the query, and the unused neighbours
 that the index returns fill the window in order of their score; the best one that
 is too long for the last gap is cut to it, and the rest of it stays in the index.
 """
@@ -13,7 +13,8 @@ is too long for the last gap is cut to it, and the rest of it stays in the index
 from __future__ import annotations
 
 import zlib
-from collections.abc import Iterator
+from bisect import bisect_right
+from collections.abc import Iterator, Sequence
 
 import numpy as np
 import pyarrow as pa
@@ -25,10 +26,14 @@ from motifloom.llm.common import partitions, table, written
 from motifloom.llm.encode import encoder, text_slices
 
 WINDOW = 2048
-#: Documents of a shard's index on average, terms of a query.
-SHARD_DOCS, QUERY_TERMS = 2048, 24
-#: Terms by which documents are brought together.
-KEY_TERMS = 6
+#: Documents of a shard's index on average.
+SHARD_DOCS = 2048
+#: Strongest terms of a document, and how many of them, the most frequent ones, bring it together with others.
+STRONGEST, KEY_TERMS = 24, 6
+#: A term that a sixteenth of a shard's documents hold is a column of its matrix; seeds that are multiplied with it at once.
+COMMON, TOGETHER = 16, 128
+#: Documents for each partition that the cuts of the lexical order are found from; they decide where it is cut, not what is packed.
+CUT_DOCS = 200
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -60,14 +65,44 @@ def tokenised(df: DataFrame, *, doc: str, text: str, vocabulary: str, end_id: in
     return rows.mapInArrow(encode, "doc_id long, ids binary, deal long")
 
 
-def lexical_key(ids: np.ndarray, held: np.ndarray, idf: np.ndarray, mean: float) -> bytes:
-    """Of a document's strongest terms that other documents hold, the most frequent ones; they sort as bytes."""
-    terms, tf = np.unique(ids, return_counts=True)
+def term_rows(coded: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """Place of the document, term and frequency of each term of each document, in that order."""
+    sizes = [len(c) for c in coded]
+    flat = np.concatenate(coded) if coded else np.zeros(0, np.uint16)
+    small = len(coded) <= 1 << 16 and flat.dtype.itemsize <= 2
+    kind, bits = (np.uint32, 16) if small else (np.uint64, 32)
+    keys = np.repeat(np.arange(len(coded), dtype=kind) << kind(bits), sizes) | flat.astype(kind)
+    keys.sort()
+    first = np.flatnonzero(np.append(True, keys[1:] != keys[:-1])) if len(keys) else np.zeros(0, np.int64)
+    found = keys[first]
+    return (found >> kind(bits)).astype(np.int64), (found & kind((1 << bits) - 1)).astype(np.int64), np.diff(np.append(first, len(keys)))
+
+
+def bm25(owner: np.ndarray, terms: np.ndarray, tf: np.ndarray, sizes: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    return (idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * sizes[owner] / max(mean, 1e-9)))).astype(np.float32)
+
+
+def lexical_keys(coded: list[np.ndarray], held: np.ndarray, idf: np.ndarray, mean: float) -> np.ndarray:
+    """For each document the most frequent of its strongest terms that other documents hold: rows of KEY_TERMS, which sort as their bytes."""
+    owner, terms, tf = term_rows(coded)
     shared = held[terms] > 1
-    terms, tf = terms[shared], tf[shared]
-    weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * len(ids) / max(mean, 1e-9)))
-    best = terms[np.lexsort((terms, -weight))[:QUERY_TERMS]]
-    return best[np.lexsort((best, -held[best]))[:KEY_TERMS]].astype(">u4").tobytes()
+    owner, terms, tf = owner[shared], terms[shared], tf[shared]
+    weight = bm25(owner, terms, tf, np.array([len(c) for c in coded], float), idf, mean)
+
+    def leading(of: np.ndarray, most: int) -> np.ndarray:
+        first = np.append(True, of[1:] != of[:-1]) if len(of) else np.zeros(0, bool)
+        return np.arange(len(of)) - np.maximum.accumulate(np.where(first, np.arange(len(of)), 0)) < most
+
+    # positive floats sort as their bits
+    order = np.argsort(owner.astype(np.uint64) << np.uint64(32) | (np.uint64(0xFFFFFFFF) - weight.view(np.uint32)), kind="stable")
+    order = order[leading(owner[order], STRONGEST)]
+    owner, terms = owner[order], terms[order]
+    order = np.lexsort((terms, -held[terms], owner))
+    order = order[leading(owner[order], KEY_TERMS)]
+    out = np.zeros((len(coded), KEY_TERMS), ">u4")
+    at = np.arange(len(order)) - np.searchsorted(owner[order], owner[order])
+    out[owner[order], at] = terms[order]
+    return out
 
 
 def document_frequencies(texts: DataFrame, kind: str) -> tuple[np.ndarray, int, float]:
@@ -76,13 +111,11 @@ def document_frequencies(texts: DataFrame, kind: str) -> tuple[np.ndarray, int,
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         held, n, total = np.zeros(1 << 16, np.int64), 0, 0
         for batch in batches:
-            for text in batch.column(0):
-                ids = np.sort(np.frombuffer(text.as_buffer(), kind))
-                if len(ids):
-                    if ids[-1] >= len(held):
-                        held = np.append(held, np.zeros(int(ids[-1]) + 1 - len(held), np.int64))
-                    held[ids[np.append(True, ids[1:] != ids[:-1])]] += 1
-                    n, total = n + 1, total + len(ids)
+            for part in id_slices(batch.column(0), kind):
+                _, terms, _ = term_rows(part)
+                own = np.bincount(terms, minlength=len(held))
+                held = own + np.pad(held, (0, len(own) - len(held)))
+                n, total = n + sum(1 for c in part if len(c)), total + sum(len(c) for c in part)
         there = np.flatnonzero(held)
         yield pa.record_batch(
             [pa.array(np.concatenate([[-2, -1], there]), pa.int64()), pa.array(np.concatenate([[n, total], held[there]]), pa.int64())], names=["id", "n"]
@@ -98,40 +131,55 @@ def document_frequencies(texts: DataFrame, kind: str) -> tuple[np.ndarray, int,
     return held, n, total / max(n, 1)
 
 
+def id_slices(column: pa.Array, kind: str, limit: int = 1_000_000) -> Iterator[list[np.ndarray]]:
+    """Runs of a column of coded documents of about ``limit`` ids."""
+    part: list[np.ndarray] = []
+    size = 0
+    for k in range(len(column)):
+        part.append(np.frombuffer(column[k].as_buffer(), kind))
+        size += len(part[-1])
+        if size >= limit or k == len(column) - 1:
+            yield part
+            part, size = [], 0
+
+
 class ShardIndex:
-    """BM25 postings of a shard's documents, each as a whole."""
+    """BM25 postings of a shard's documents, each as a whole; terms that many of them hold are columns of a matrix instead."""
 
     def __init__(self, pieces: list[np.ndarray], idf: np.ndarray, mean: float) -> None:
-        every = np.concatenate(pieces).astype(np.int64) | np.repeat(np.arange(len(pieces)) << 32, [len(p) for p in pieces])
-        every.sort()
-        first = np.flatnonzero(np.append(True, every[1:] != every[:-1]))
-        owner, terms = every[first] >> 32, every[first] & 0xFFFFFFFF
-        tf = np.diff(np.append(first, len(every))).astype(float)
-        sizes = np.bincount(owner, minlength=len(pieces))
-        length = np.array([len(p) for p in pieces], float)[owner]
-        weight = idf[terms] * tf * (K1 + 1) / (tf + K1 * (1 - B + B * length / max(mean, 1e-9)))
-        self.queries, at = [], 0
-        for s in sizes.tolist():
-            own = weight[at : at + s]
-            best = np.argpartition(-own, QUERY_TERMS)[:QUERY_TERMS] if s > QUERY_TERMS else np.arange(s)
-            self.queries.append(terms[at + best])
-            at += s
-        order = np.argsort(terms, kind="stable")
+        owner, terms, tf = term_rows(pieces)
+        weight = bm25(owner, terms, tf, np.array([len(p) for p in pieces], float), idf, mean)
+        known, rank, own = np.unique(terms, return_inverse=True, return_counts=True)
+        often = own >= max(16, len(pieces) // COMMON)
+        common = often[rank]
+        self.weights = np.zeros((len(pieces), int(often.sum())), np.float32)
+        self.weights[owner[common], (np.cumsum(often) - 1)[rank[common]]] = weight[common]
+        owner, rank, weight = owner[~common], rank[~common], weight[~common]
+        self.places = np.append(0, np.cumsum(np.bincount(owner, minlength=len(pieces)))).tolist()
+        self.terms = rank  # rarer terms of the documents one after another
+        order = np.argsort(rank, kind="stable")
         self.owner, self.weight = owner[order], weight[order]
-        self.terms, first = np.unique(terms[order], return_index=True)
-        self.first = np.append(first, len(order))
-        self.scores = np.zeros(len(pieces))
-
-    def neighbours(self, seed: int, used: np.ndarray) -> np.ndarray:
-        """Unused pieces that share a query term with the seed, best first, ties in order of the pieces."""
-        self.scores[:] = 0
-        for k in np.searchsorted(self.terms, self.queries[seed]).tolist():
-            a, b = self.first[k], self.first[k + 1]
-            self.scores[self.owner[a:b]] += self.weight[a:b]
-        self.scores[used] = 0
-        self.scores[seed] = 0
-        found = np.flatnonzero(self.scores > 0)
-        return found[np.lexsort((found, -self.scores[found]))]
+        self.first = np.searchsorted(rank[order], np.arange(len(known) + 1))
+        self.block: dict[int, np.ndarray] = {}
+
+    def neighbours(self, seed: int, used: np.ndarray, ahead: Sequence[int] = ()) -> np.ndarray:
+        """Unused pieces that share a term with the seed, best first by all its terms, ties in order of the pieces.
+
+        The common terms' part is multiplied for some of the seeds ``ahead`` together.
+        """
+        if seed not in self.block:
+            seeds = [seed, *[k for k in ahead[: 2 * TOGETHER] if not used[k] and k != seed][: TOGETHER - 1]]
+            self.block = dict(zip(seeds, (self.weights[seeds] > 0).astype(np.float32) @ self.weights.T))
+        scores = self.block[seed].copy()
+        terms = self.terms[self.places[seed] : self.places[seed + 1]]
+        if len(terms):
+            begin, size = self.first[terms], self.first[terms + 1] - self.first[terms]
+            at = np.repeat(begin - np.cumsum(size) + size, size) + np.arange(size.sum())
+            scores += np.bincount(self.owner[at], self.weight[at], len(scores)).astype(np.float32)
+        scores[used] = 0
+        scores[seed] = 0
+        found = np.flatnonzero(scores)
+        return found[np.argsort(-scores[found], kind="stable")]
 
 
 def fill_windows(pieces: list[np.ndarray], idf: np.ndarray, mean: float, window: int, texts: list[np.ndarray] | None = None) -> list[list[tuple[int, int, int]]]:
@@ -142,39 +190,43 @@ def fill_windows(pieces: list[np.ndarray], idf: np.ndarray, mean: float, window:
     if not pieces:
         return []
     index = ShardIndex(pieces if texts is None else texts, idf, mean)
-    left = np.array([len(p) for p in pieces])
-    done, used = np.zeros(len(pieces), np.int64), left == 0
-    order = np.lexsort((np.arange(len(pieces)), -left)).tolist()
+    left, done = [len(p) for p in pieces], [0] * len(pieces)
+    used = np.array(left) == 0
+    order = np.lexsort((np.arange(len(pieces)), -np.array(left))).tolist()
     out: list[list[tuple[int, int, int]]] = []
 
     def take(k: int, room: int) -> int:
-        n = min(int(left[k]), room)
-        out[-1].append((k, int(done[k]), n))
+        n = min(left[k], room)
+        out[-1].append((k, done[k], n))
         done[k] += n
         left[k] -= n
-        used[k] = left[k] == 0
+        used[k] = not left[k]
         return room - n
 
     spare = 0
-    for seed in order:
-        if used[seed]:
+    for at, seed in enumerate(order):
+        if not left[seed]:
             continue
         out.append([])
         room = take(seed, window)
         if not room:
             continue
-        near = index.neighbours(seed, used).tolist()
+        near = index.neighbours(seed, used, order[at + 1 : at + 1 + 2 * TOGETHER]).tolist()
         for k in near:
             if left[k] <= room:
                 room = take(k, room)
+                if not room:
+                    break
         for k in near:
-            if room and not used[k]:
+            if not room:
+                break
+            if left[k]:
                 room = take(k, room)
         while room and spare < len(order):  # nothing left that is lexically near: the next unused pieces
-            if used[order[spare]]:
-                spare += 1
-            else:
+            if left[order[spare]]:
                 room = take(order[spare], room)
+            else:
+                spare += 1
     return out
 
 
@@ -201,15 +253,35 @@ def pack_documents(
     kind = encoder(vocabulary).kind.str
     rows = written(tokenised(df, doc=doc, text=text, vocabulary=vocabulary, end_id=end_id), "pack-ids")
     counts, n, mean = document_frequencies(rows, kind)
-    shards = max(1, -(-rows.count() // shard_docs))
+    total = rows.count()
+    shards = max(1, -(-total // shard_docs))
     # both bounded by the ids of the vocabulary
     held = df.sparkSession.sparkContext.broadcast(np.append(counts, np.zeros(max(0, (1 << 16) - len(counts)))))
     idf = df.sparkSession.sparkContext.broadcast(np.log1p((n - held.value + 0.5) / (held.value + 0.5)))
 
-    def key(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def placed(batch: pa.RecordBatch) -> list[bytes]:
+        """Places of documents in the lexical order, as bytes: key, id with nulls first, number of the row."""
+        out = []
+        for part in id_slices(batch.column(1), kind):
+            out += [k.tobytes() for k in lexical_keys(part, held.value, idf.value, mean)]
+        ids = [(0, 0) if d is None else (1, d + (1 << 63)) for d in batch.column(0).to_pylist()]
+        return [k + bytes([known]) + d.to_bytes(8, "big") + n.to_bytes(8, "big") for k, (known, d), n in zip(out, ids, batch.column(2).to_pylist())]
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            yield pa.record_batch([pa.array(placed(batch), pa.binary())], names=["place"])
+
+    parts = max(1, min(shards, partitions(df.sparkSession)))
+    wanted = parts * CUT_DOCS
+    drawn = rows if total <= wanted else rows.where(F.pmod(F.xxhash64("deal", "doc_id"), F.lit(1 << 40)) < int(wanted / total * (1 << 40)))
+    sample = sorted(r["place"] for r in drawn.mapInArrow(places, "place binary").collect()) if parts > 1 else []  # about CUT_DOCS for each partition
+    bounds = [sample[k * len(sample) // parts] for k in range(1, parts)] if sample else []
+
+    def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            keys = [lexical_key(np.frombuffer(i.as_buffer(), kind), held.value, idf.value, mean) for i in batch.column(1)]
-            yield pa.record_batch([*batch.columns, pa.array(keys, pa.binary())], names=["doc_id", "ids", "deal", "near"])
+            own = placed(batch)
+            numbers = pa.array([bisect_right(bounds, p) for p in own], pa.int32())
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(own, pa.binary()), numbers], names=["doc_id", "ids", "place", "number"])
 
     def pack(docs: list[int | None], coded: list[np.ndarray], base: int) -> tuple[pa.RecordBatch, int]:
         out = []
@@ -240,11 +312,10 @@ def pack_documents(
         if docs:
             yield pack(docs, coded, base)[0]
 
-    keyed = written(rows.mapInArrow(key, "doc_id long, ids binary, deal long, near binary"), "pack-keys")
-    order = ["near", "doc_id", "deal"]
-    near = keyed.repartitionByRange(min(shards, partitions(df.sparkSession)), *order).sortWithinPartitions(*order)
+    near = rows.mapInArrow(cut, "doc_id long, ids binary, place binary, number int").repartitionById(parts, "number").sortWithinPartitions("place")
     return near.select("doc_id", "ids").mapInArrow(pack_runs, PIECES)
 
 
 def op9_lexical_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Pieces of all documents; nulls, ties, repeats, long and empty texts and empty tables as in :func:`pack_documents`."""
     return pack_documents(table(spark, sf_dir, "documents"))

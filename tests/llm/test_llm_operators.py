@@ -473,6 +473,65 @@ def test_neighbours_of_all_the_corpus_share_windows(spark):
     assert sum(most) > 0.8 * sum(r["length"] for r in rows)
 
 
+def plain_bm25(texts, seed, idf, mean):
+    """Score of every text for all terms of the seed's, term by term."""
+    out = []
+    for text in texts:
+        score = 0.0
+        for term in set(texts[seed].tolist()):
+            tf = int((text == term).sum())
+            score += idf[term] * tf * (packing.K1 + 1) / (tf + packing.K1 * (1 - packing.B + packing.B * len(text) / mean)) if tf else 0.0
+        out.append(score)
+    return out
+
+
+@pytest.mark.parametrize("kind", [np.uint16, np.uint32])
+def test_neighbours_are_those_of_plain_bm25(kind):
+    rng = np.random.default_rng(12)
+    texts = [rng.zipf(1.4, rng.integers(1, 400)).clip(max=900).astype(kind) for _ in range(60)] + [np.zeros(0, kind)]
+    held = np.bincount(np.concatenate([np.unique(t) for t in texts]), minlength=1000)
+    idf, mean = np.log1p((60 - held + 0.5) / (held + 0.5)), float(np.mean([len(t) for t in texts]))
+    index, used = packing.ShardIndex(texts, idf, mean), rng.random(61) < 0.2
+    for seed in range(60):
+        scores = plain_bm25(texts, seed, idf, mean)
+        got = index.neighbours(seed, used).tolist()
+        assert set(got) == {k for k in range(61) if scores[k] > 0 and k != seed and not used[k]}
+        assert all(scores[a] >= scores[b] - 1e-4 for a, b in zip(got, got[1:]))
+
+
+def test_windows_are_filled_as_a_plain_greedy_fill_does():
+    rng = np.random.default_rng(13)
+    texts = [rng.zipf(1.5, rng.integers(1, 300)).clip(max=500).astype(np.uint16) for _ in range(80)]
+    idf, mean = np.linspace(3, 1, 600), 120.0
+    left, done = [len(t) for t in texts], [0] * 80
+    expected = []
+    for seed in sorted(range(80), key=lambda k: (-len(texts[k]), k)):
+        if not left[seed]:
+            continue
+        sequence, room = [], 500
+
+        def take(k):
+            nonlocal room
+            n = min(left[k], room)
+            sequence.append((k, done[k], n))
+            done[k], left[k], room = done[k] + n, left[k] - n, room - n
+
+        scores = plain_bm25(texts, seed, idf, mean)
+        take(seed)
+        ranked = [k for k in sorted(range(80), key=lambda k: (-scores[k], k)) if scores[k] > 0 and left[k] and k != seed]
+        for k in ranked:
+            if left[k] <= room:
+                take(k)
+        for k in ranked:
+            if room and left[k]:
+                take(k)
+        for k in sorted(range(80), key=lambda k: (-len(texts[k]), k)):
+            if room and left[k]:
+                take(k)
+        expected.append(sequence)
+    assert packing.fill_windows(texts, idf, mean, 500) == expected
+
+
 def test_windows_prefer_lexical_neighbours():
     rng = np.random.default_rng(4)
     pieces = [rng.integers(100 * (k % 2), 100 * (k % 2) + 80, 50) for k in range(40)]
