@@ -15,10 +15,12 @@ _OWNED: list[tuple[SparkSession, str]] = []
 def shared_dir(spark: SparkSession) -> str:
     """Folder that driver and executors both see, as ``spark.checkpoint.dir`` names it.
 
-    Only where the session names none (tests in local mode) a temporary folder is made and set.
+    Only in local mode, and where the session names none, a temporary folder is made and set; on a cluster that is refused.
     """
     named = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
     if not named:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
         spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="motifloom-"))
         named = spark.sparkContext.getCheckpointDir()
     return named.rstrip("/")
@@ -52,7 +54,21 @@ def written(df: DataFrame, name: str) -> DataFrame:
     spark = df.sparkSession
     path = shared_path(spark, name)
     df.write.parquet(path)
-    return spark.read.schema(df.schema).parquet(path)
+    out = spark.read.schema(df.schema).parquet(path)
+    out.written_path = path
+    return out
+
+
+def drop_written(*frames: DataFrame) -> None:
+    """Remove tables of :func:`written` that nothing reads any more."""
+    for df in frames:
+        remove_path(df.sparkSession, df.written_path)
+        _OWNED[:] = [own for own in _OWNED if own[1] != df.written_path]
+
+
+def drawn_share(share: Column | float, *columns: Column | str) -> Column:
+    """Whether a row is drawn with probability ``share``, by a hash of some columns over its whole range."""
+    return F.pmod(F.xxhash64(*columns), F.lit(1 << 62)).cast("double") < (share if isinstance(share, Column) else F.lit(float(share))) * float(1 << 62)
 
 
 def id_crc(column: str | Column) -> Column:

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import written
+from motifloom.llm.common import drop_written, written
 
 
 #: Edges of a key from which it may count as hot; hot keys have more than a thousandth of all edges each, so they are 1000 at most.
@@ -27,7 +27,7 @@ def connected_components(edges: DataFrame) -> DataFrame:
     Every round points each node's larger neighbours, then its smaller ones, at
     the smallest node beside it, which keeps components and needs a number of
     rounds that grows with the logarithm of the longest path.  The edges of each round are written
-    to the shared folder, so no lineage grows.  Nulls and loops are no edges.
+    to the shared folder, so no lineage grows, and those of the round before are removed.  Nulls and loops are no edges.
     """
     now = written(edges.select("a", "b").where("a <> b").select(F.least("a", "b").alias("a"), F.greatest("a", "b").alias("b")).distinct(), "edges")
     seen = None
@@ -40,7 +40,8 @@ def connected_components(edges: DataFrame) -> DataFrame:
         large = _with_least(both, "a", "b", 2 * mark["n"]).where("b > a").select(F.least("m", "a").alias("a"), "b").where("b <> a").distinct()
         # now a < b: each b's smaller neighbours and b itself point at the smallest of them
         small = _with_least(large, "b", "a", 2 * mark["n"])
-        now = written(small.select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "edges")
+        before, now = now, written(small.select("m", F.explode(F.array("a", "b")).alias("b")).where("m <> b").select(F.col("m").alias("a"), "b").distinct(), "edges")
+        drop_written(before)
     return now.groupBy(F.col("b").alias("node")).agg(F.min("a").alias("root")).unionByName(
         now.select(F.col("a").alias("node"), F.col("a").alias("root")).distinct()
     ).groupBy("node").agg(F.min("root").alias("root"))

@@ -17,8 +17,8 @@ from pyspark.sql.window import Window
 
 from motifloom.llm.common import partitions, table, written
 
-#: The curve is tabulated, two bytes a cell: dimensions times bits may not exceed this.
-MAX_INDEX_BITS = 16
+#: A curve's index is a long: dimensions times bits may not exceed this.
+MAX_INDEX_BITS = 62
 
 
 def hilbert_index(cell: list[int], bits: int) -> int:
@@ -49,31 +49,56 @@ def hilbert_index(cell: list[int], bits: int) -> int:
     return index
 
 
-def curve_table(dims: int, bits: int) -> bytes:
-    """Hilbert index of every cell as two big-endian bytes, cells in row-major order."""
-    out, side = bytearray(), 1 << bits
-    for n in range(side**dims):
-        cell = [n // side**k % side for k in range(dims - 1, -1, -1)]
-        out += hilbert_index(cell, bits).to_bytes(2, "big")
-    return bytes(out)
-
-
-def order_key(col: Column, kind: T.DataType) -> Column:
-    """A double that sorts as the value does: numbers and dates as they are, strings by their first six bytes."""
+def curve_index(cells: list[Column], bits: int) -> list[tuple[str, Column]]:
+    """The same as columns, one after another by name; ``curve`` is the last and ``cells`` the one they start from."""
+    levels = "array(" + ", ".join(map(str, range(bits - 1, 0, -1))) + ")"
+    set_, low = "(shiftright(y[i], b) & 1L) = 1L", "(shiftleft(1L, b) - 1L)"
+    turned = f"""transform(y, (v, j) -> CASE WHEN j = 0 THEN v ^ (CASE WHEN {set_} THEN {low} ELSE (y[0] ^ y[i]) & {low} END)
+      WHEN j = i AND NOT ({set_}) THEN v ^ ((y[0] ^ y[i]) & {low}) ELSE v END)"""
+    grey = "aggregate(cells, cast(array() as array<bigint>), (s, v) -> concat(s, array(CASE WHEN size(s) = 0 THEN v ELSE v ^ element_at(s, -1) END)))"
+    flip = f"aggregate({levels}, 0L, (f, b) -> CASE WHEN (shiftright(element_at(cells, -1), b) & 1L) = 1L THEN f ^ {low} ELSE f END)"
+    index = f"aggregate(sequence({bits - 1}, 0, -1), 0L, (n, b) -> aggregate(cells, n, (m, v) -> m * 2L + (shiftright(v, b) & 1L)))"
+    out = [("cells", F.array(*[c.cast("long") for c in cells]))]
+    if bits > 1:
+        out.append(("cells", F.expr(f"aggregate({levels}, cells, (x, b) -> aggregate(sequence(0, {len(cells) - 1}), x, (y, i) -> {turned}))")))
+    out.append(("cells", F.expr(grey)))
+    if bits > 1:
+        out += [("flip", F.expr(flip)), ("cells", F.expr("transform(cells, v -> v ^ flip)"))]
+    return [*out, ("curve", F.expr(index if bits > 1 else "aggregate(cells, 0L, (m, v) -> m * 2L + (v & 1L))"))]
+
+
+def numeric_key(col: Column, kind: T.DataType) -> Column | None:
+    """A double that sorts as a number or a time does; none for other kinds."""
     if isinstance(kind, (T.NumericType, T.BooleanType)):
         value = col.cast("double")
         return F.when(~F.isnan(value), value)
     if isinstance(kind, (T.DateType, T.TimestampType, T.TimestampNTZType)):
         return F.unix_micros(col.cast("timestamp")).cast("double")
-    head = F.hex(F.substr(col.cast("string").cast("binary"), F.lit(1), F.lit(6)))
-    return F.conv(F.rpad(head, 12, "0"), 16, 10).cast("double")
+    return None
+
+
+def string_cuts(rows: DataFrame, key: str, side: int) -> list[str]:
+    """The strings behind which ``side`` parts of about equally many rows end, whole and by their bytes, from counts of all distinct strings.
+
+    Distinct strings are numbered over range partitions, so no task sees them all.
+    """
+    counts = rows.where(F.col(key).isNotNull()).groupBy(F.col(key).alias("v")).agg(F.count(F.lit(1)).alias("n"))
+    runs = written(counts.repartitionByRange(partitions(rows.sparkSession), "v").withColumn("run", F.spark_partition_id()), "curve-strings")
+    upto = Window.orderBy("run").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition
+    starts = runs.groupBy("run").agg(F.sum("n").alias("own")).select(
+        "run", F.coalesce(F.sum("own").over(upto), F.lit(0)).alias("start"), F.sum("own").over(Window.partitionBy(F.lit(0))).alias("total")
+    )
+    inside = Window.partitionBy("run").orderBy("v").rowsBetween(Window.unboundedPreceding, 0)
+    placed = runs.withColumn("end", F.sum("n").over(inside)).join(F.broadcast(starts), "run").withColumn("end", F.col("end") + F.col("start"))
+    last = F.expr(f"(end * {side}) div total > ((end - n) * {side}) div total AND end < total")
+    return sorted((r["v"] for r in placed.where(last).select("v").collect()), key=str.encode)  # side - 1 at most
 
 
-def _cuts_below(bounds: list[float], key: Column) -> Column:
+def _cuts_below(bounds: list, kind: str, key: Column) -> Column:
     """How many bounds lie below the key: its cell; 0 for a null key."""
     if not bounds:
         return F.lit(0)
-    return F.size(F.filter(F.lit(bounds).cast("array<double>"), lambda b: F.coalesce(b < key, F.lit(False))))
+    return F.size(F.filter(F.lit(bounds).cast(f"array<{kind}>"), lambda b: F.coalesce(b < key, F.lit(False))))
 
 
 def shard_by_curve(
@@ -83,12 +108,12 @@ def shard_by_curve(
     n_shards: int = 8,
     doc: str = "doc_id",
     text: str = "text",
-    bits: int = 4,
+    bits: int = 6,
 ) -> DataFrame:
     """Cut all rows into ``n_shards`` runs of the Hilbert order whose row counts differ by one at most.
 
-    ``dims`` names the metadata dimensions.  Each is cut at its approximate
-    quantiles into at most ``2**bits`` cells.  Returns ``doc_id, size,
+    ``dims`` names the metadata dimensions.  Each is cut into at most ``2**bits`` cells at its
+    quantiles, approximate ones for numbers and times, exact ones over whole strings for anything else.  Returns ``doc_id, size,
     text_crc32, curve, shard, slot`` with size the UTF-8 bytes of the text plus 1,
     shard from 0 and slot gapless from 0 in each shard.  Nulls lie in the first
     cell of their dimension and a null text has no bytes and a null crc.  Ties
@@ -100,25 +125,28 @@ def shard_by_curve(
         raise ValueError(f"dimensions times bits must lie between 1 and {MAX_INDEX_BITS}")
     keys = [f"k{i}" for i in range(len(dims))]
     typed = df.select(*[c.alias(k) for k, c in zip(keys, dims.values())]).schema
+    numbers = [numeric_key(c, typed[k].dataType) for k, c in zip(keys, dims.values())]
     rows = written(
         df.select(
             F.col(doc).alias("doc_id"),
             (F.coalesce(F.octet_length(text), F.lit(0)) + 1).cast("long").alias("size"),
             F.crc32(F.col(text).cast("binary")).alias("text_crc32"),
-            *[order_key(c, typed[k].dataType).alias(k) for k, c in zip(keys, dims.values())],
+            *[(c.cast("string") if n is None else n).alias(k) for k, c, n in zip(keys, dims.values(), numbers)],
         ),
         "curve-keys",
     )
     side = 1 << bits
-    cuts = rows.agg(*[F.percentile_approx(k, [i / side for i in range(1, side)], 10000).alias(k) for k in keys]).first()
-    cell = F.lit(0)
-    for k in keys:
-        bounds = sorted(set(cuts[k] or []))
-        cell = cell * side + _cuts_below(bounds, F.col(k))
-    curve = F.conv(F.hex(F.substr(F.lit(bytearray(curve_table(len(dims), bits))), cell * 2 + 1, F.lit(2))), 16, 10).cast("long")
+    known = [k for k, n in zip(keys, numbers) if n is not None]
+    cuts = rows.agg(F.lit(0).alias("none"), *[F.percentile_approx(k, [i / side for i in range(1, side)], 10000).alias(k) for k in known]).first()
+    cells = [
+        _cuts_below(sorted(set(cuts[k] or [])), "double", F.col(k)) if k in known else _cuts_below(string_cuts(rows, k, side), "string", F.col(k)) for k in keys
+    ]
+    curved = rows
+    for name, column in curve_index(cells, bits):
+        curved = curved.withColumn(name, column)
     order = ["curve", "text_crc32", "doc_id", "size"]
     placed = written(
-        rows.select("doc_id", "size", "text_crc32", curve.alias("curve"))
+        curved.select("doc_id", "size", "text_crc32", "curve")
         .repartitionByRange(partitions(df.sparkSession), *order)
         .sortWithinPartitions(*order)
         .withColumn("at", F.monotonically_increasing_id())
@@ -139,6 +167,7 @@ def shard_by_curve(
 
 
 def op7_hilbert_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Shards and slots of all documents; nulls, ties, repeats, long and empty texts and empty tables as in :func:`shard_by_curve`."""
     docs = table(spark, sf_dir, "documents")
     dims = {"lang": F.col("lang"), "source": F.col("source"), "length": F.char_length("text")}
     return shard_by_curve(docs, dims).select(

@@ -18,7 +18,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import table, written
+from motifloom.llm.common import drop_written, table, written
 from motifloom.llm.components import connected_components
 
 WORD = re.compile(r"\w+")
@@ -275,6 +275,8 @@ def _linked_classes(source: DataFrame, n: int, threshold: float, target: float)
     )
     inside = written(dealt.groupBy("root", "lo", "hi").applyInArrow(_compare_blocks(threshold), "c long, links long, to long"), "join-blocks")
 
+    drop_written(members, sets, hot, sizes)
+
     links = (
         close.select(F.col("a").alias("c"), F.col("nb").alias("links"))
         .unionByName(close.select(F.col("b").alias("c"), F.col("na").alias("links")))

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import id_crc, table
+from motifloom.llm.common import drawn_share, id_crc, table
 
 #: Runs of letters (and the few numerals that ``\w`` counts neither as digit nor as underscore).
 WORD = re.compile(r"[^\W\d_]+")
@@ -104,7 +104,7 @@ def _count_words(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     for batch in batches:
         for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
             text = text.as_py()
-            counts.update((lang, w[:WORD_SPAN]) for w in WORD.findall(text.lower()))
+            counts.update((lang, w) for w in WORD.findall(text.lower()))
             if len(counts) > 200_000:
                 yield flush()
     yield flush()
@@ -136,7 +136,7 @@ def train_languages(
         return LanguageModel([], np.ones(0), {}, np.zeros((0, 0)), {}, np.zeros((0, 0)))
     size = {r["lang"]: r["n"] for r in found}
     share = F.create_map(*[F.lit(x) for k in langs for x in (k, min(1.0, sample_docs / size[k]))])
-    drawn = F.pmod(F.xxhash64("doc", F.crc32(F.col("text").cast("binary"))), F.lit(1_000_000)) < share[F.col("lang")] * 1_000_000
+    drawn = drawn_share(share[F.col("lang")], "doc", F.crc32(F.col("text").cast("binary")))
     words = rows.where(F.col("lang").isin(langs) & drawn).select("lang", "text").mapInArrow(_count_words, "lang string, word string, n long")
     columns = [F.sum(F.when(F.col("lang") == k, F.col("n")).otherwise(0)).alias(f"c{i}") for i, k in enumerate(langs)]
     top = words.groupBy("word").agg(F.sum("n").alias("n"), *columns).orderBy(F.desc("n"), "word").limit(max_words).collect()
@@ -182,7 +182,10 @@ def language_of(spark: SparkSession, model: LanguageModel, text: Column) -> Colu
 
 
 def identify_languages(df: DataFrame, model: LanguageModel, *, text: str = "text", result: str = "language") -> DataFrame:
-    """All columns of ``df`` and the struct column ``result``; a column of that name is replaced."""
+    """All columns of ``df`` and the struct column ``result`` of :func:`language_of`; a column of that name is replaced.
+
+    Null and empty texts and texts without a letter get ``und``; repeated rows get equal results; an empty table gives no rows.
+    """
     return df.withColumn(result, language_of(df.sparkSession, model, F.col(text)))
 
 
@@ -191,6 +194,8 @@ def trained_for_query(docs: DataFrame) -> LanguageModel:
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Language of every document, learned from those outside the fold; nulls, ties, repeats, long and empty texts and
+    empty tables as in :func:`language_of` and :func:`train_languages`; a null id is in no fold and teaches nothing."""
     docs = table(spark, sf_dir, "documents")
     own = identify_languages(docs.select("doc_id", "text"), trained_for_query(docs))
     return own.select(

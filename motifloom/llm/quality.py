@@ -3,7 +3,7 @@
 Every token has a sparse random index vector.  A token's word vector is the sum
 of the index vectors seen beside it in the training texts, plus its own.  A
 document is the weighted mean of the vectors of all its tokens; a two-layer numpy
-network scores it, and a temperature fitted on rows it was not fitted on
+network scores it, and a temperature fitted on rows that the network was not fitted on
 calibrates the probabilities.
 """
 
@@ -19,7 +19,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from motifloom.llm.common import id_crc, partitions, table, written
+from motifloom.llm.common import drawn_share, id_crc, partitions, table, written
 
 TOKEN = re.compile(r"\w+|[^\w\s]+")
 #: Bounds of a model: labelled documents it is fitted on, tokens with a vector of their own, and the width of a vector.
@@ -136,7 +136,7 @@ def _count_tokens(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]
 
     for batch in batches:
         for text in batch.column(0):
-            counts.update(t for t in TOKEN.findall(text.as_py()) if len(t) <= 64)
+            counts.update(TOKEN.findall(text.as_py()))
             if len(counts) > 200_000:
                 yield flush()
     yield flush()
@@ -161,7 +161,7 @@ def train_quality(
     """
     marked = labels.select(F.col(doc).alias("doc"), F.col(label).cast("int").alias("label")).where("doc IS NOT NULL AND label IN (0, 1)")
     n = marked.count()
-    drawn = marked.where(F.pmod(F.xxhash64("doc"), F.lit(1_000_000)) < int(min(1.0, sample_docs / max(n, 1)) * 1_000_000)).distinct()
+    drawn = marked.where(drawn_share(min(1.0, sample_docs / max(n, 1)), "doc")).distinct()
     rows = docs.select(F.col(doc).alias("doc"), F.col(text).alias("text")).where("doc IS NOT NULL AND text IS NOT NULL")
     spark = docs.sparkSession
     # the sample is bounded by sample_docs rows of an id and a label
@@ -215,9 +215,10 @@ def train_quality(
     model.centre, model.spread = x.mean(axis=0), x.std(axis=0) + 1e-6
     x = (x - model.centre) / model.spread
     aside = np.arange(len(y)) % 5 == 4
-    if aside.any() and len(set(y[~aside])) == 2:
-        model.temperature = fit_temperature(forward(fit_network(x[~aside], y[~aside]), x[aside])[1], y[aside])
-    model.layers = fit_network(x, y)
+    held = aside.any() and len(set(y[~aside])) == 2
+    model.layers = fit_network(x[~aside], y[~aside]) if held else fit_network(x, y)
+    if held:  # the temperature is that of the very network it is applied to
+        model.temperature = fit_temperature(forward(model.layers, x[aside])[1], y[aside])
     return model
 
 
@@ -236,7 +237,10 @@ def quality_of(spark: SparkSession, model: QualityModel, text: Column) -> Column
 
 
 def score_quality(df: DataFrame, model: QualityModel, *, text: str = "text", result: str = "quality_score") -> DataFrame:
-    """All columns of ``df`` and the column ``result`` (0 to 1); a column of that name is replaced."""
+    """All columns of ``df`` and the column ``result`` (0 to 1); a column of that name is replaced.
+
+    Null and empty texts are scored as texts without tokens, long ones whole; repeated rows score alike; an empty table gives no rows.
+    """
     return df.withColumn(result, quality_of(df.sparkSession, model, F.col(text)))
 
 
@@ -245,6 +249,8 @@ def trained_for_query(docs: DataFrame, labels: DataFrame) -> QualityModel:
 
 
 def op2_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Quality of every document, learned from labels outside the fold; nulls, ties, repeats, long and empty texts and
+    empty tables as in :func:`train_quality` and :func:`score_quality`; a null id is in no fold."""
     docs = table(spark, sf_dir, "documents")
     own = score_quality(docs.select("doc_id", "text"), trained_for_query(docs, table(spark, sf_dir, "labels")))
     return own.select(

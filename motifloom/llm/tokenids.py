@@ -17,6 +17,7 @@ from __future__ import annotations
 
 import uuid
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -30,6 +31,8 @@ from motifloom.llm.encode import encoder, text_slices
 
 MAGIC = b"S8B1"
 BLOCK_IDS = 1 << 16
+#: Bytes of text behind a file at most on average, and documents that a reader hands on at once.
+FILE_BYTES, READ_DOCS = 256 << 20, 1 << 16
 ESCAPE = 0
 #: Ids in a word and bits of each, by selector; 0 is the escape and 1 is unused.
 LAYOUT = {2: (60, 1), 3: (30, 2), 4: (20, 3), 5: (15, 4), 6: (12, 5), 7: (10, 6), 8: (8, 7), 9: (7, 8), 10: (6, 10), 11: (5, 12), 12: (4, 15), 13: (3, 20), 14: (2, 30), 15: (1, 60)}
@@ -105,12 +108,12 @@ class TokenFileWriter:
         self.out, self.at = out, len(MAGIC)
         self.pending: list[np.ndarray] = []
         self.waiting = self.ids = 0
-        self.docs: list[tuple[int, int, int]] = []
+        self.docs = array("q")  # id, tokens and whether the id is known, document by document
         self.blocks: list[tuple[int, int, int]] = []
         out.write(MAGIC)
 
     def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self.docs.append((doc or 0, len(ids), doc is not None))
+        self.docs.extend((doc or 0, len(ids), doc is not None))
         self.pending.append(ids)
         self.waiting += len(ids)
         self.ids += len(ids)
@@ -130,7 +133,7 @@ class TokenFileWriter:
     def close(self) -> None:
         if self.waiting:
             self.block(np.concatenate(self.pending))
-        docs, blocks = np.array(self.docs, np.int64).reshape(-1, 3), np.array(self.blocks, np.int64).reshape(-1, 3)
+        docs, blocks = np.frombuffer(self.docs, np.int64).reshape(-1, 3), np.array(self.blocks, np.int64).reshape(-1, 3)
         self.out.write(docs[:, 0].astype("<i8").tobytes() + docs[:, 1].astype("<i8").tobytes() + docs[:, 2].astype(np.uint8).tobytes())
         self.out.write(blocks.T.astype("<i8").tobytes())
         self.out.write(np.array([self.at, len(docs), len(blocks), self.ids], "<i8").tobytes() + MAGIC)
@@ -179,7 +182,7 @@ def write_token_files(
     Returns ``part, file, docs, ids, start`` in file order, with ``start`` the ids
     in all files before.  ``path`` is a folder in a store that pyarrow can write
     and all executors see.  A null text is empty; null ids come first; ties of an
-    id are ordered by text, repeated rows stay; other columns are not read; an
+    id are ordered by a hash of the text and the text, repeated rows stay, and many of them are dealt to several files; other columns are not read; an
     empty input gives files without documents, or none.  A task writes under a
     name of its own and moves the file into place, so a task that runs again
     leaves the same files.
@@ -202,13 +205,14 @@ def write_token_files(
             file.close()
         store.move(attempt, name)
         yield pa.record_batch(
-            [pa.array([part], pa.int32()), pa.array([f"part-{part:05d}.s8b"]), pa.array([len(file.docs)], pa.int64()), pa.array([file.ids], pa.int64())],
+            [pa.array([part], pa.int32()), pa.array([f"part-{part:05d}.s8b"]), pa.array([len(file.docs) // 3], pa.int64()), pa.array([file.ids], pa.int64())],
             names=["part", "file", "docs", "ids"],
         )
 
-    order = [F.col("doc_id"), F.xxhash64("text"), F.col("text")]
     rows = df.select(F.col(doc).cast("long").alias("doc_id"), F.coalesce(F.col(text).cast("string"), F.lit("")).alias("text"))
-    rows = rows.repartitionByRange(partitions(spark), *order[:2]).sortWithinPartitions(*order)
+    size = rows.agg(F.sum(F.octet_length("text"))).first()[0] or 0
+    rows = rows.select("doc_id", "text", F.xxhash64("text").alias("h"), F.monotonically_increasing_id().alias("at"))
+    rows = rows.repartitionByRange(max(partitions(spark), -(-size // FILE_BYTES)), "doc_id", "h", "at").sortWithinPartitions("doc_id", "h", "text", "at").select("doc_id", "text")
     done = sorted(rows.mapInArrow(write, "part int, file string, docs long, ids long").collect(), key=lambda r: r["part"])  # a row for each file
     start, files = 0, []
     for r in done:
@@ -238,7 +242,7 @@ def read_token_files(files: DataFrame) -> DataFrame:
                             got = min(n, len(left))
                             left, n = left[got:], n - got
                         sums[k] = crc
-                    yield pa.record_batch(
+                    whole = pa.record_batch(
                         [
                             pa.array(file.doc_ids, pa.int64(), mask=~file.known),
                             pa.array(row["start"] + ends - file.tokens, pa.int64()),
@@ -247,10 +251,13 @@ def read_token_files(files: DataFrame) -> DataFrame:
                         ],
                         names=["doc_id", "start", "n_tokens", "ids_crc32"],
                     )
+                    for at in range(0, whole.num_rows, READ_DOCS):
+                        yield whole.slice(at, READ_DOCS)
 
     spread = files.select("file", "start").repartition(partitions(files.sparkSession))
     return spread.mapInArrow(read, "doc_id long, start long, n_tokens long, ids_crc32 long")
 
 
 def op3_token_ids(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Every document read back from token files; nulls, ties, repeats, long and empty texts and empty tables as in :func:`write_token_files`."""
     return read_token_files(write_token_files(table(spark, sf_dir, "documents"), shared_path(spark, "token-ids")))

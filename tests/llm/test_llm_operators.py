@@ -67,9 +67,76 @@ def test_language_held_out_accuracy(spark):
     assert all(r["held_out"] == (zlib.crc32(str(r["doc_id"]).encode()) % 4 == 2) for r in got)
 
 
+def test_language_scores_match_a_plain_sum(spark):
+    """A model of a few words against frequencies, backoff and posterior written out."""
+    rows = [(k, t, lang) for k, (t, lang) in enumerate([("aa bb aa", "x"), ("bb cc", "y"), ("aa dd dd", "x"), ("cc cc longword" + "z" * 100, "y")])]
+    model = langid.train_languages(table(spark, rows))
+    counts = {}
+    for _, text, lang in rows:
+        for w in text.split():
+            counts.setdefault(w, {"x": 0, "y": 0})[lang] += 1
+    assert set(model.words) == set(counts)  # whole words, however long
+    total = {g: sum(c[g] for c in counts.values()) for g in "xy"}
+
+    def contrast(c, sums, n):
+        rate = {g: np.log((c[g] + 0.5) / (sums[g] + 0.5 * n + 1)) for g in "xy"}
+        return {g: rate[g] - (rate["x"] + rate["y"]) / 2 for g in "xy"}
+
+    grams = {}
+    for w, c in counts.items():
+        for size in range(1, 6):
+            for at in range(len(w) + 3 - size):
+                own = grams.setdefault(f"^{w}$"[at : at + size], {"x": 0.0, "y": 0.0})
+                for g in "xy":
+                    own[g] += c[g] ** 0.5
+    gram_total = {g: sum(c[g] for c in grams.values()) for g in "xy"}
+
+    def plain(text):
+        score = {"x": np.log(0.5), "y": np.log(0.5)}
+        for w in text.split():
+            parts = [contrast(counts[w], total, len(counts))] if w in counts else []
+            marked, at = f"^{w}$", 0
+            while not (w in counts) and at < len(marked):
+                size = next((k for k in range(min(5, len(marked) - at), 0, -1) if marked[at : at + k] in grams), 0)
+                if size:
+                    parts.append(contrast(grams[marked[at : at + size]], gram_total, len(grams)))
+                at += size or 1
+            for part in parts:
+                score = {g: score[g] + part[g] for g in "xy"}
+        best = "x" if score["x"] >= score["y"] else "y"
+        return best, 1 / sum(np.exp(score[g] - score[best]) for g in "xy")
+
+    for text in ("aa", "cc dd", "aabb ddz", "q aa zzzz", "longword"):
+        got = model.predict(text)
+        assert got[0] == plain(text)[0] and abs(got[1] - plain(text)[1]) < 1e-9
+
+
 # quality
 
 
+def test_pooling_and_network_match_plain_loops():
+    rng = np.random.default_rng(23)
+    ids = {t: k + len(quality.SHAPES) for k, t in enumerate(["the", "cat", "!"])}
+    vectors = rng.normal(size=(len(ids) + len(quality.SHAPES), quality.WIDTH)).astype(np.float32)
+    text = "The the the cat CAT 12 ! ! x"
+    tokens = ["The", "the", "the", "cat", "CAT", "12", "!", "!", "x"]
+    rows = [ids.get(t, {"The": quality.TITLE, "CAT": quality.UPPER, "12": quality.DIGIT, "x": quality.LOWER}.get(t)) for t in tokens]
+    total = sum(vectors[r].astype(float) for r in rows) + 2 * vectors[quality.AGAIN].astype(float)  # "the the" and "! !"
+    pooled = quality.pool(text, ids, vectors)
+    assert np.allclose(pooled, np.concatenate([total / 9, [2 / 9, np.log1p(9)]]), atol=1e-5)
+    layers = [rng.normal(size=(quality.WIDTH + 2, quality.HIDDEN)), rng.normal(size=quality.HIDDEN), rng.normal(size=quality.HIDDEN), rng.normal(size=1)]
+    model = quality.QualityModel(ids, vectors, layers, np.zeros(quality.WIDTH + 2), np.ones(quality.WIDTH + 2), 1.7, 0.5)
+    hidden = [np.tanh(sum(pooled[i] * layers[0][i, h] for i in range(len(pooled))) + layers[1][h]) for h in range(quality.HIDDEN)]
+    logit = sum(hidden[h] * layers[2][h] for h in range(quality.HIDDEN)) + layers[3][0]
+    assert abs(model.score(pooled[None])[0] - 1 / (1 + np.exp(-logit / 1.7))) < 1e-9
+
+
+def test_the_sample_bound_holds_for_any_number_of_rows(spark):
+    ids = spark.range(200_000)
+    for share, low, high in ((0.5, 95_000, 105_000), (1e-3, 120, 290), (1e-7, 0, 3), (1.0, 200_000, 200_000)):
+        assert low <= ids.where(common.drawn_share(share, "id")).count() <= high
+
+
 def test_quality_held_out_and_edges(spark):
     folder = "/root/testdata/sf0.01"
     labels = common.table(spark, folder, "labels").select("doc_id", "quality")
@@ -312,6 +379,43 @@ def test_hilbert_curve_steps_to_neighbours(dims, bits):
     assert all(sum(abs(x - y) for x, y in zip(at[k], at[k + 1])) == 1 for k in range(side**dims - 1))
 
 
+@pytest.mark.parametrize("dims,bits", [(1, 4), (2, 1), (2, 3), (3, 2), (3, 6)])
+def test_curve_columns_give_the_index(spark, dims, bits):
+    rng = random.Random(dims * bits)
+    cells = [[rng.randrange(1 << bits) for _ in range(dims)] for _ in range(200)]
+    df = spark.createDataFrame(cells, ", ".join(f"k{i} int" for i in range(dims)))
+    for name, column in hilbert.curve_index([F.col(f"k{i}") for i in range(dims)], bits):
+        df = df.withColumn(name, column)
+    assert all(r["curve"] == hilbert.hilbert_index([r[f"k{i}"] for i in range(dims)], bits) for r in df.collect())
+
+
+def test_strings_are_cut_by_their_whole_length(spark):
+    rng = random.Random(21)
+    names = [f"a very long prefix shared by all sources/{rng.choice(['news', 'web', 'été', 'books', 'code'])}/{k % 37}" for k in range(900)] + ["one hot source"] * 500 + [None] * 30
+    cuts = hilbert.string_cuts(spark.createDataFrame([(n,) for n in names], "k0 string"), "k0", 8)
+    ordered = sorted((n for n in names if n is not None), key=str.encode)
+    expected = {ordered[-(-len(ordered) * part // 8) - 1] for part in range(1, 8)} - {ordered[-1]}  # nothing lies behind the last
+    assert set(cuts) == expected and len(cuts) > 4
+
+
+def test_order_and_slots_match_a_plain_rebuild(spark):
+    rng = random.Random(22)
+    rows = [(k, words(rng, ["x", "yy", "zzz"], rng.randint(0, 9)), rng.choice(["de", "en", "fr", None])) for k in range(300)] + ROWS
+    got = hilbert.shard_by_curve(table(spark, rows), {"lang": F.col("lang"), "len": F.char_length("text")}, n_shards=7, bits=3).collect()
+    langs, lengths = sorted(r[2] for r in rows if r[2] is not None), sorted(len(r[1]) for r in rows if r[1] is not None)
+    cuts = {langs[-(-len(langs) * part // 8) - 1] for part in range(1, 8)} - {langs[-1]}
+    bounds = {lengths[-(-len(lengths) * part // 8) - 1] for part in range(1, 8)}
+    place = lambda r: hilbert.hilbert_index([sum(c < r[2] for c in cuts) if r[2] is not None else 0, sum(b < len(r[1]) for b in bounds) if r[1] is not None else 0], 3)
+    crc = lambda t: None if t is None else zlib.crc32(t.encode())
+    plain = sorted(((place(r), crc(r[1]), r[0], len((r[1] or "").encode()) + 1) for r in rows), key=lambda x: [(v is not None, v or 0) for v in x])
+    n = len(plain)
+    expected = []
+    for k, row in enumerate(plain):
+        shard = k * 7 // n
+        expected.append((*row, shard, k - -(-shard * n // 7)))
+    assert sorted(((r["curve"], r["text_crc32"], r["doc_id"], r["size"], r["shard"], r["slot"]) for r in got), key=repr) == sorted(expected, key=repr)
+
+
 def test_shards_are_even_and_gapless(spark):
     rows = ROWS + [(100 + k, "copy" if k % 3 else f"text {k}", "en") for k in range(150)]
     got = hilbert.shard_by_curve(table(spark, rows), {"lang": F.col("lang"), "len": F.char_length("text")}, n_shards=8).collect()
