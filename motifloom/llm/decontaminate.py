@@ -372,7 +372,9 @@ def index_benchmark(benchmark: DataFrame, *, item: str = "item_id", text: str =
 
     path = shared_path(benchmark.sparkSession, "benchmark")
     shards = max(1, -(-rows.count() // most_items))
-    rows.repartitionByRange(shards, "item", "text").sortWithinPartitions("item", "text").mapInArrow(build, "pickled binary").write.parquet(path)
+    # shards by a number of their own, so that as many indexes are made as the items need, whatever the number of partitions
+    dealt = rows.withColumn("shard", F.pmod(F.xxhash64(F.monotonically_increasing_id()), F.lit(shards))).repartition(shards, "shard")
+    dealt.sortWithinPartitions("shard", "item", "text").select("item", "text").mapInArrow(build, "pickled binary").write.parquet(path)
     return path
 
 
