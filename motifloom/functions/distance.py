@@ -26,6 +26,13 @@ def euclidean(x: Column, y: Column) -> Column:
     return F.sqrt(F.aggregate(F.zip_with(x, y, lambda a, b: (a - b) * (a - b)), F.lit(0.0), lambda s, e: s + e))
 
 
+def euclidean_within(x: Column, y: Column, threshold: float) -> Column:
+    """The Euclidean distance where it is at most ``threshold``, else null; squares are added up only until they exceed it."""
+    most = float(threshold) ** 2
+    total = F.aggregate(F.arrays_zip(x.alias("x"), y.alias("y")), F.lit(0.0), lambda s, e: F.when(s > most, s).otherwise(s + (e["x"] - e["y"]) * (e["x"] - e["y"])))
+    return F.when(F.sqrt(total) <= threshold, F.sqrt(total))
+
+
 def znormalized(x: Column, mean: Column, sd: Column) -> Column:
     """Null for a flat subsequence; guarded inside, for filters may move."""
     return F.when(sd > FLAT, F.transform(x, lambda e: F.try_divide(e - mean, sd)))

@@ -7,6 +7,7 @@ from collections.abc import Callable, Iterable
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from motifloom.operators import kernel
 from motifloom.operators import pairs as P
 
 MOTIF = "series_id string, rank int, a long, b long, distance double"
@@ -22,6 +23,7 @@ class TopK:
 
     def __init__(self, k: int, ez: int) -> None:
         self.k, self.ez, self.seen = k, ez, set()
+        self.confirmed: list[tuple[float, int, int]] = []
 
     def insert(self, distance: float, a: int, b: int) -> None:
         self.seen.add((distance, min(a, b), max(a, b)))
@@ -36,6 +38,22 @@ class TopK:
         best = self.to_list()
         return best[-1][0] if len(best) == self.k else None
 
+    def confirm_upto(self, distance: float) -> list[tuple[float, int, int]]:
+        """Motifs no farther than ``distance`` are sure; those that were not so before."""
+        fresh = [m for m in self.to_list() if m[0] <= distance and m not in self.confirmed]
+        self.confirmed += fresh
+        return fresh
+
+    def last_confirmed(self) -> tuple[float, int, int] | None:
+        return self.confirmed[-1] if self.confirmed else None
+
+    def num_confirmed(self) -> int:
+        return len(self.confirmed)
+
+    def for_each(self, call: Callable[[float, int, int], None]) -> None:
+        for motif in self.to_list():
+            call(*motif)
+
     def first_not_confirmed(self, confirmed: Callable[[float], bool]) -> tuple[float, int, int] | None:
         return next((m for m in self.to_list() if not confirmed(m[0])), None)
 
@@ -69,6 +87,7 @@ def top_motifs(candidates: DataFrame, k: int, ez: int) -> DataFrame:
             rows.append((r["series_id"], len(own), r["a"], r["b"], r["d"]))
             if len(rows) == k * total:
                 break
+    candidates.unpersist()
     return spark.createDataFrame(rows, MOTIF)
 
 
@@ -76,8 +95,11 @@ def motifs_exact(series: DataFrame, w: int, k: int, ez: int, tier: str = "expres
     """The ``k`` closest pairs over all pairs, no two of which overlap."""
     if tier == "expression":
         return top_motifs(P.all_pairs(series, w, ez), k, ez)
+    held = None if tier == "tiles" else kernel.collected(series)
+    if held is not None:
+        return series.sparkSession.createDataFrame(kernel.greedy_motifs(series.sparkSession, held, w, k, ez), MOTIF)
     # the greedy motifs among nearest neighbours bound the distances worth listing; the bound grows until k are found
-    profile = P.matrix_profile(series, w, ez, "kernel").persist()
+    profile = P.matrix_profile(series, w, ez, "tiles").persist()
     first = motifs_from_profile(profile, k, ez)
     bound = first.agg(F.max("distance")).first()[0]
     if bound is None:
@@ -85,9 +107,9 @@ def motifs_exact(series: DataFrame, w: int, k: int, ez: int, tier: str = "expres
     wanted, widest = first.count(), 2 * w**0.5
     while True:
         out = top_motifs(P.pairs_within(series, w, ez, bound + 1e-6), k, ez)
-        if out.count() >= wanted and (out.count() == k * profile.select("series_id").distinct().count() or bound >= widest):
-            return out
-        if bound >= widest:
+        found = out.count()
+        if bound >= widest or (found >= wanted and found == k * profile.select("series_id").distinct().count()):
+            profile.unpersist()
             return out
         bound = min(bound * 1.3 + 0.1, widest)
 

@@ -6,7 +6,10 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
+from motifloom.operators import kernel
 from motifloom.operators import pairs as P
+from motifloom.operators.lsh import verified
+from motifloom.operators.windows import znormalized_subsequences
 
 
 def rooted_sets(knn: DataFrame) -> DataFrame:
@@ -48,7 +51,28 @@ def best_by_support(sets: DataFrame, top_k: int = 1, ez: int | None = None) -> D
     return sets.sparkSession.createDataFrame(rows, "series_id string, support int, indices array<long>, extent double")
 
 
-def motiflets_exact(series: DataFrame, w: int, support: int, ez: int, top_k: int = 1) -> DataFrame:
+def motiflets_exact(series: DataFrame, w: int, support: int, ez: int, top_k: int = 1, tier: str = "kernel") -> DataFrame:
     """``series_id, support, indices, extent`` for every support from 2 on."""
+    if tier == "kernel":
+        held = kernel.collected(series)
+        if held is not None:
+            return best_by_support(kernel.sets(series.sparkSession, held, w, support, ez, top_k == 1), top_k, ez)
+        knn = P.knn_kernel(series, w, support - 1, ez, P.KERNEL_TILE).persist()  # too long for a task to hold
+        return best_by_support(extents(knn, _inner(series, w, knn)), top_k, ez)
     pairs = P.all_pairs(series, w, ez).withColumn("d", F.round("d", 6)).persist()
     return best_by_support(extents(P.knn_nonoverlapping(pairs, support - 1, ez), pairs), top_k, ez)
+
+
+def _inner(series: DataFrame, w: int, knn: DataFrame) -> DataFrame:
+    """``series_id, a, b, d`` of the pairs of neighbours that a root has: a few for each root."""
+    near = knn.groupBy("series_id", "src").agg(F.collect_list("dst").alias("near")).select("series_id", "near", F.explode("near").alias("x"))
+    both = near.select("series_id", "x", F.explode("near").alias("y")).where("x < y").select("series_id", F.col("x").alias("a"), F.col("y").alias("b"))
+    return verified(both, znormalized_subsequences(series, w)).withColumn("d", F.round("d", 6))
+
+
+def rooted(series: DataFrame, w: int, support: int, ez: int, roots: int = 64) -> DataFrame:
+    """Sets of least extent among those around ``roots`` evenly spaced subsequences: upper bounds of the best extents, in one pass."""
+    last = series.groupBy("series_id").agg((F.max("i") + 1 - w).alias("n"))
+    knn = P.knn_kernel(series, w, support - 1, ez)
+    near = knn.join(F.broadcast(last), "series_id").where(F.expr(f"src % greatest(1, n div {roots}) = 0")).drop("n").persist()  # one row a series
+    return best_by_support(extents(near, _inner(series, w, near)))

@@ -1,8 +1,9 @@
 """Pairs of subsequences: distances, profiles, nearest neighbours, graphs.
 
 Two tiers give the same results.  The expression tier joins tiles of z-normalised
-arrays and computes distances in the JVM.  The kernel tier ships tiles of raw
-values, each pair of tiles to one task, and multiplies matrices there.
+arrays and computes distances in the JVM.  The kernel tier multiplies matrices: of
+strips and the whole series where a task can hold it (``kernel``), else of pairs of
+tiles of raw values, each of which goes to one task.
 """
 
 from __future__ import annotations
@@ -14,6 +15,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.window import Window
 
 from motifloom.functions.distance import FLAT, euclidean
+from motifloom.operators import kernel
 from motifloom.operators.windows import lengths, znormalized_subsequences
 
 PAIR_TILE, KERNEL_TILE = 256, 2048
@@ -90,24 +92,39 @@ def matrix_profile(series: DataFrame, w: int, ez: int, tier: str = "expression",
         )
         return both.groupBy("series_id", "i").agg(F.min("p").alias("p")).select("series_id", "i", F.col("p.d").alias("nn_dist"), F.col("p.j").alias("nn_idx"))
 
+    held = None if tier == "tiles" else kernel.collected(series)
+    if held is not None:
+        return kernel.profile(series.sparkSession, held, w, ez)
+
+    near = _blocks(series, w, tile or KERNEL_TILE, _near_of_blocks(w, ez, 1), "series_id string, i long, j long, d double")
+    best = near.groupBy("series_id", "i").agg(F.min(F.struct("d", "j")).alias("p"))
+    return best.select("series_id", "i", F.col("p.d").alias("nn_dist"), F.col("p.j").alias("nn_idx"))
+
+
+def _near_of_blocks(w: int, ez: int, most: int):  # noqa: ANN202
+    """For a pair of tiles each subsequence's ``most`` nearest of the other tile, both ways, ties to the smaller position."""
+
     def fold(a, za, b, zb):  # noqa: ANN001, ANN202
-        out = ([], [], [])
+        out: tuple[list, list, list] = ([], [], [])
         if len(a) and len(b):
             g = za @ zb.T  # the larger the product, the nearer
             if b[0] - a[-1] < ez:
                 g[np.abs(a[:, None] - b[None, :]) < ez] = -np.inf
-            for i, zi, j, zj, axis in ((a, za, b, zb, 1), (b, zb, a, za, 0)):
-                at = g.argmax(axis=axis)
-                best = g[np.arange(len(i)), at] if axis else g[at, np.arange(len(i))]
-                ok = np.isfinite(best)
-                out[0].extend(i[ok].tolist())
-                out[1].extend(np.round(_exact(zi[ok], zj[at[ok]]), 6).tolist())
-                out[2].extend(j[at[ok]].tolist())
-        return [pa.array(out[0], pa.int64()), pa.array(out[1], pa.float64()), pa.array(out[2], pa.int64())]
-
-    near = _blocks(series, w, tile or KERNEL_TILE, fold, "series_id string, i long, d double, j long")
-    best = near.groupBy("series_id", "i").agg(F.min(F.struct("d", "j")).alias("p"))
-    return best.select("series_id", "i", F.col("p.d").alias("nn_dist"), F.col("p.j").alias("nn_idx"))
+            for i, zi, j, zj, own in ((a, za, b, zb, g), (b, zb, a, za, g.T)):
+                kth = -np.partition(-own, most - 1, axis=1)[:, most - 1] if most < own.shape[1] else np.full(len(i), -np.inf)
+                # what six digits of a distance hide may be as near as the last
+                r, c = np.nonzero(own >= np.where(np.isfinite(kth), kth - 4e-6 * w**0.5, np.finfo(float).min)[:, None])
+                d = np.round(_exact(zi[r], zj[c]), 6)
+                order = np.lexsort((c, d, r))
+                first = np.append(True, r[order][1:] != r[order][:-1]) if len(r) else np.zeros(0, bool)
+                keep = order[np.arange(len(order)) - np.maximum.accumulate(np.where(first, np.arange(len(order)), 0)) < most]
+                out[0].append(i[r[keep]])
+                out[1].append(j[c[keep]])
+                out[2].append(d[keep])
+        whole = [np.concatenate(o) if o else np.zeros(0) for o in out]
+        return [pa.array(whole[0], pa.int64()), pa.array(whole[1], pa.int64()), pa.array(whole[2], pa.float64())]
+
+    return fold
 
 
 def pairs_within(series: DataFrame, w: int, ez: int, bound: float, tile: int = KERNEL_TILE) -> DataFrame:
@@ -126,15 +143,19 @@ def pairs_within(series: DataFrame, w: int, ez: int, bound: float, tile: int = K
     return _blocks(series, w, tile, fold, "series_id string, a long, b long, d double")
 
 
-def sliding_dot_product(series: DataFrame, w: int, start: int, size: int = 1 << 14) -> DataFrame:
-    """``series_id, i, dot``: dot product of the subsequence at ``start`` with every one, by FFT over tiles."""
+def _with_query(series: DataFrame, w: int, start: int, size: int) -> DataFrame:
+    """``series_id, n, t, x, q``: tiles of values with the ``w - 1`` behind them, and the subsequence at ``start``."""
     own = F.expr(f"i div {size}")
     back = F.sequence(F.greatest(F.expr(f"(i - {w - 1}) div {size}"), F.lit(0).cast("long")), own)
     tiles = series.select("series_id", "i", "v", F.explode(back).alias("t")).groupBy("series_id", "t").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("p"))
     query = series.where((F.col("i") >= start) & (F.col("i") < start + w)).groupBy("series_id").agg(F.sort_array(F.collect_list(F.struct("i", "v"))).alias("q"))
     values = lambda c: F.transform(c, lambda p: p["v"])
     joined = tiles.join(F.broadcast(query), "series_id").join(lengths(series), "series_id")  # one row of w values for each series
-    joined = joined.select("series_id", "n", "t", values("p").alias("x"), values("q").alias("q"))
+    return joined.select("series_id", "n", "t", values("p").alias("x"), values("q").alias("q"))
+
+
+def sliding_dot_product(series: DataFrame, w: int, start: int, size: int = 1 << 14) -> DataFrame:
+    """``series_id, i, dot``: dot product of the subsequence at ``start`` with every one, by FFT over tiles."""
 
     def convolve(batches):  # noqa: ANN001, ANN202
         for batch in batches:
@@ -150,7 +171,7 @@ def sliding_dot_product(series: DataFrame, w: int, start: int, size: int = 1 <<
                     dots = dots + mq * (sums[w:] - sums[:-w])[:count] + w * mx * mq + mx * q.sum()
                     yield pa.record_batch([pa.array([r["series_id"]] * count), pa.array(r["t"] * size + np.arange(count)), pa.array(dots)], names=["series_id", "i", "dot"])
 
-    return joined.mapInArrow(convolve, "series_id string, i long, dot double")
+    return _with_query(series, w, start, size).mapInArrow(convolve, "series_id string, i long, dot double")
 
 
 def znormalized_sliding_dot(series: DataFrame, w: int, start: int) -> DataFrame:
@@ -163,11 +184,45 @@ def znormalized_sliding_dot(series: DataFrame, w: int, start: int) -> DataFrame:
     return both.select("series_id", "i", F.try_divide(F.col("dot") - F.col("total") * F.col("m"), F.col("sd")).alias("dot"))
 
 
-def distance_profile(series: DataFrame, w: int, start: int, distance=euclidean, raw: bool = False) -> DataFrame:  # noqa: ANN001
+def mass_profile(series: DataFrame, w: int, start: int, size: int = 1 << 14) -> DataFrame:
+    """``series_id, i, distance`` of the subsequence at ``start`` to every one, z-normalised, by FFT over tiles; flat ones left out.
+
+    Distances that are too small for the transform's precision are computed directly.
+    """
+
+    def measure(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            for r in batch.to_pylist():
+                x, q = np.array(r["x"]), np.array(r["q"])
+                count = min(size, len(x) - w + 1, r["n"] - w - r["t"] * size)
+                if count <= 0 or len(q) != w or q.std() <= FLAT:
+                    continue
+                full, mean = 1 << (len(x) + w - 1).bit_length(), x.mean()
+                q = (q - q.mean()) / q.std()  # sums to nothing, so the tile may be taken about its mean
+                dots = np.fft.irfft(np.fft.rfft(x - mean, full) * np.fft.rfft(q[::-1], full), full)[w - 1 : w - 1 + count]
+                view = np.lib.stride_tricks.sliding_window_view(x, w)[:count]
+                step = max(1, (4 << 20) // w)
+                sd = np.concatenate([view[k : k + step].std(axis=1) for k in range(0, count, step)])
+                keep = np.flatnonzero(sd > FLAT)
+                squares = 2 * w - 2 * dots[keep] / sd[keep]
+                out = np.sqrt(np.maximum(squares, 0))
+                near = np.flatnonzero(squares < 1e-3 * w)
+                own = view[keep[near]]
+                out[near] = _exact((own - own.mean(axis=1, keepdims=True)) / sd[keep[near], None], q)
+                yield pa.record_batch([pa.array([r["series_id"]] * len(keep)), pa.array(r["t"] * size + keep), pa.array(out)], names=["series_id", "i", "distance"])
+
+    return _with_query(series, w, start, size).mapInArrow(measure, "series_id string, i long, distance double")
+
+
+def distance_profile(series: DataFrame, w: int, start: int, distance=None, raw: bool = False) -> DataFrame:  # noqa: ANN001
     """``series_id, i, distance`` of the subsequence at ``start`` to every one; itself at 0, flat ones left out.
 
-    ``distance`` is any function of two array columns; ``raw`` compares the values as they are.
+    Without a ``distance`` it is the z-normalised Euclidean one by FFT; else any function of two array
+    columns, and ``raw`` compares the values as they are.
     """
+    if distance is None and not raw:
+        return mass_profile(series, w, start)
+    distance = distance or euclidean
     z = znormalized_subsequences(series, w).select("series_id", "i", F.col("x" if raw else "z").alias("z"))
     one = z.where(F.col("i") == start).select("series_id", F.col("z").alias("q"))
     return z.join(F.broadcast(one), "series_id").select("series_id", "i", distance(F.col("z"), F.col("q")).alias("distance"))
@@ -180,15 +235,29 @@ def neighbours(pairs: DataFrame) -> DataFrame:
     )
 
 
+def knn_kernel(series: DataFrame, w: int, k: int, ez: int, tile: int | None = None) -> DataFrame:
+    """The rows of :func:`knn_nonoverlapping` by matrix products; with ``tile``, or for a long series, tile by tile."""
+    held = None if tile else kernel.collected(series)
+    if held is not None:
+        return kernel.knn(series.sparkSession, held, w, k, ez)
+    enough = k * (2 * ez - 1)
+    near = _blocks(series, w, tile or KERNEL_TILE, _near_of_blocks(w, ez, enough), "series_id string, src long, dst long, d double")
+    return _chosen(near, k, ez)
+
+
 def knn_nonoverlapping(pairs: DataFrame, k: int, ez: int) -> DataFrame:
     """``series_id, src, rank, dst, d``: for each subsequence the ``k`` nearest, each at least ``ez`` from those before it.
 
     Neighbours can overlap at most ``2 ez`` others each, so the nearest
     ``k * (2 ez - 1)`` of each subsequence always hold the answer.
     """
+    return _chosen(neighbours(pairs), k, ez)
+
+
+def _chosen(directed: DataFrame, k: int, ez: int) -> DataFrame:
     enough = k * (2 * ez - 1)
     ranked = Window.partitionBy("series_id", "src").orderBy("d", "dst")
-    near = neighbours(pairs).withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= enough)
+    near = directed.withColumn("r", F.row_number().over(ranked)).where(F.col("r") <= enough)
     lists = near.groupBy("series_id", "src").agg(F.sort_array(F.collect_list(F.struct("d", "dst"))).alias("p"))
     empty = F.slice("p", 1, 0)
     chosen = F.aggregate(
