@@ -27,6 +27,8 @@ HELD_VALUES = 4 << 20
 STRIP, ROWS, COLUMNS, KEPT = 2048, 512, 1024, 128 << 20
 #: Closest pairs that all strips together hand to the driver.
 LISTED = 200_000
+#: Roots that give a first bound, and a position behind all others.
+SAMPLED, BEYOND = 64, 1 << 62
 EPS = float(np.finfo(np.float32).eps)
 
 
@@ -65,6 +67,9 @@ class Held:
             self.kept = np.concatenate([self.z(slice(k, k + STRIP)).astype(np.float32) for k in range(0, max(len(self.at), 1), STRIP)])
         return self.z(slice(begin, stop)).astype(np.float32) if self.kept is None else self.kept[begin:stop]
 
+    def single_rows(self, which: np.ndarray) -> np.ndarray:
+        return self.z(which).astype(np.float32) if self.kept is None else self.kept[which]
+
     def slack(self) -> float:
         """How far a single-precision product of two subsequences can be off, and what six digits of a distance can hide."""
         return (self.w + 4) * EPS * self.w + 4e-6 * self.w**0.5
@@ -102,11 +107,20 @@ def collected(series: DataFrame) -> dict[str, np.ndarray] | None:
 
 
 def over_strips(
-    spark: SparkSession, held: dict[str, np.ndarray], w: int, work: Callable[[str, Held, int, int], Iterator[list]], schema: str, strip: int = STRIP
+    spark: SparkSession,
+    held: dict[str, np.ndarray],
+    w: int,
+    work: Callable[[str, Held, int, int], Iterator[list]],
+    schema: str,
+    strip: int = STRIP,
+    tasks: int | None = None,
 ) -> DataFrame:
-    """Rows that ``work`` makes of each strip ``begin`` to before ``stop`` of each series, a strip a task, the first and longest ones first."""
+    """Rows that ``work`` makes of each strip ``begin`` to before ``stop`` of each series, a strip a task, the first and longest ones first.
+
+    With ``tasks`` that many tasks of each series get their numbers instead of strips.
+    """
     shared = spark.sparkContext.broadcast(held)  # bounded by HELD_VALUES
-    strips = sorted((k, s) for s, v in held.items() for k in range(0, max(len(v) - w, 0), strip))
+    strips = sorted((k, s) for s, v in held.items() for k in (range(0, max(len(v) - w, 0), strip) if tasks is None else range(tasks)))
     names = [c.strip().split(" ")[0] for c in schema.split(",")]
     number = uuid.uuid4().hex
 
@@ -209,13 +223,16 @@ def sets(spark: SparkSession, held: dict[str, np.ndarray], w: int, support: int,
 class Closest:
     """The ``most`` closest pairs of a strip so far, by distance and positions."""
 
-    def __init__(self, own: Held, most: int) -> None:
-        self.own, self.most, self.cut = own, most, False
+    def __init__(self, own: Held, most: int, bound: float = np.inf) -> None:
+        self.own, self.most, self.bound, self.cut = own, most, bound, False
         self.d, self.a, self.b = np.zeros(0), np.zeros(0, np.int64), np.zeros(0, np.int64)
-        self.floor = -np.inf  # products below it are of pairs farther than all kept
+        # products below it are of pairs farther than the bound, or than all kept
+        self.floor = own.w - (bound + 1e-6) ** 2 / 2 - own.slack() if np.isfinite(bound) else -np.inf
 
     def add(self, a: np.ndarray, b: np.ndarray) -> None:
-        self.d, self.a, self.b = np.append(self.d, self.own.distances(a, b)), np.append(self.a, a), np.append(self.b, b)
+        d = self.own.distances(a, b)
+        near = d <= self.bound
+        self.d, self.a, self.b = np.append(self.d, d[near]), np.append(self.a, a[near]), np.append(self.b, b[near])
         if len(self.d) > 2 * self.most:
             self.trim()
 
@@ -226,9 +243,9 @@ class Closest:
             self.floor = self.own.w - (self.d[-1] + 1e-6) ** 2 / 2 - self.own.slack()
 
 
-def closest_pairs(own: Held, begin: int, stop: int, ez: int, most: int, blocked: np.ndarray) -> Closest:
-    """The closest pairs of a strip's roots with later subsequences at least ``ez`` on, none of them at a blocked position."""
-    out = Closest(own, most)
+def closest_pairs(own: Held, begin: int, stop: int, ez: int, most: int, blocked: np.ndarray, bound: float = np.inf) -> Closest:
+    """The closest pairs, up to ``bound``, of a strip's roots with later subsequences at least ``ez`` on, none of them at a blocked position."""
+    out = Closest(own, most, bound)
     n = len(own.at)
     buffer = np.empty((ROWS, COLUMNS), np.float32)
     for first in range(begin, stop, ROWS):
@@ -262,10 +279,11 @@ def closest_pairs(own: Held, begin: int, stop: int, ez: int, most: int, blocked:
 def greedy_motifs(spark: SparkSession, held: dict[str, np.ndarray], w: int, k: int, ez: int, listed: int = LISTED) -> list[tuple[str, int, int, int, float]]:
     """``series_id, rank, a, b, distance`` of the ``k`` closest pairs no two of which overlap.
 
-    Every strip lists its closest pairs.  Where a strip had to leave some out, only
+    Every strip lists its closest pairs, in the first round up to a distance that some roots suggest.  Where a strip had to leave some out, only
     pairs up to its last one are chosen from, and the next round lists again without
-    positions that a chosen pair overlaps; a round chooses the closest pair that is left at least.
+    positions that a chosen pair overlaps; a round beyond the first chooses the closest pair that is left at least.
     """
+    bound = {s: float(np.append(sampled(v, w, ez)[0], np.inf)[k - 1 : k].min(initial=np.inf)) for s, v in held.items()}
     chosen: dict[str, list[tuple[float, int, int]]] = {s: [] for s in held}
     todo = dict(held)
     while todo:
@@ -277,11 +295,13 @@ def greedy_motifs(spark: SparkSession, held: dict[str, np.ndarray], w: int, k: i
             blocked = np.zeros(len(own.values) + 1, bool)
             for p in taken[series_id]:
                 blocked[max(p - ez + 1, 0) : p + ez] = True
-            got = closest_pairs(own, begin, stop, ez, most, blocked)
-            last = np.zeros(len(got.d), bool)
+            got = closest_pairs(own, begin, stop, ez, most, blocked, bound[series_id])
+            a, b, d, last = own.at[got.a], own.at[got.b], got.d, np.zeros(len(got.d), bool)
             if got.cut and len(last):
                 last[-1] = True
-            yield [own.at[got.a], own.at[got.b], got.d, last]
+            if np.isfinite(bound[series_id]):  # nothing is known beyond the bound
+                a, b, d, last = np.append(a, BEYOND), np.append(b, BEYOND), np.append(d, bound[series_id]), np.append(last, True)
+            yield [a, b, d, last]
 
         rows = over_strips(spark, todo, w, work, "series_id string, a long, b long, d double, last boolean").toArrow()  # LISTED rows, or 256 a strip
         names = np.array(rows["series_id"].to_pylist(), object)
@@ -292,29 +312,48 @@ def greedy_motifs(spark: SparkSession, held: dict[str, np.ndarray], w: int, k: i
             ends = np.flatnonzero(last[mine].astype(bool))
             mine = mine[: ends[0] + 1] if len(ends) else mine  # beyond the first strip's end some pairs are not listed
             x, y, own = a[mine], b[mine], chosen[s]
-            free = np.ones(len(mine), bool)
+            free = x < BEYOND
             while len(own) < k and free.any():
                 t = int(free.argmax())
                 own.append((float(d[mine[t]]), int(x[t]), int(y[t])))
                 for p in own[-1][1:]:
                     free &= (np.abs(x - p) >= ez) & (np.abs(y - p) >= ez)
+            bound[s] = np.inf
             if len(own) >= k or not len(ends):
                 del todo[s]
     return [(s, n, a, b, d) for s, own in chosen.items() for n, (d, a, b) in enumerate(own, 1)]
 
 
-def contrast(held: dict[str, np.ndarray], w: int, k: int, ez: int, roots: int = 48) -> float:
-    """A rough relative contrast: the mean distance against the ``k``-th nearest-neighbour distance of some roots of the longest series."""
-    own = Held(max(held.values(), key=len), w)
+def sampled(values: np.ndarray, w: int, ez: int, roots: int = SAMPLED) -> tuple[np.ndarray, float]:
+    """Nearest-neighbour distances of some evenly spaced roots, ascending, and the mean of all their distances."""
+    own = Held(values, w)
     if len(own.at) < 2:
-        return 1.0
+        return np.zeros(0), 0.0
     picked = np.unique(np.linspace(0, len(own.at) - 1, roots).astype(np.int64))
-    za = own.z(picked)
+    za = own.z(picked).astype(np.float32)
     best, total, count = np.full(len(picked), -np.inf), 0.0, 0
     for c in range(0, len(own.at), STRIP):
-        g = za @ own.z(slice(c, c + STRIP)).T
-        far = np.abs(own.at[c : c + STRIP][None, :] - own.at[picked][:, None]) >= ez
-        total, count = total + np.sqrt(np.maximum(2 * w - 2 * g[far], 0)).sum(), count + int(far.sum())
-        best = np.maximum(best, np.where(far, g, -np.inf).max(axis=1))
-    near = np.sort(np.sqrt(np.maximum(2 * w - 2 * best[np.isfinite(best)], 1e-12)))
-    return float(total / max(count, 1) / near[min(k, len(near)) - 1]) if len(near) else 1.0
+        g = za @ own.single(c, min(c + STRIP, len(own.at))).T
+        g[np.abs(own.at[c : c + STRIP][None, :] - own.at[picked][:, None]) < ez] = -np.inf
+        far = np.isfinite(g)
+        total, count = total + float(np.sqrt(np.maximum(2 * w - 2 * g[far], 0)).sum(dtype=float)), count + int(far.sum())
+        best = np.maximum(best, g.max(axis=1))
+    near = np.sqrt(np.maximum(2 * w - 2 * best[np.isfinite(best)], 0) + 2 * own.slack())  # no less than the distances themselves
+    return np.sort(near), total / max(count, 1)
+
+
+def contrast(held: dict[str, np.ndarray], w: int, k: int, ez: int) -> float:
+    """A rough relative contrast: the mean distance against the ``k``-th nearest-neighbour distance of some roots of the longest series."""
+    near, mean = sampled(max(held.values(), key=len), w, ez)
+    return mean / max(float(near[min(k, len(near)) - 1]), 1e-9) if len(near) else 1.0
+
+
+def mean_distance(held: dict[str, np.ndarray], w: int, ez: int, n: int, seed: int) -> float | None:
+    """Mean distance of about ``n`` pairs of one series drawn at random, at least ``ez`` apart."""
+    own = Held(next(iter(held.values())), w)
+    rng = np.random.default_rng(seed)
+    if not len(own.at):
+        return None
+    a, b = rng.integers(0, len(own.at), (2, n))
+    apart = np.abs(own.at[a] - own.at[b]) >= max(ez, 1)
+    return float(own.distances(a[apart], b[apart]).mean()) if apart.any() else None

@@ -146,10 +146,15 @@ def empirical_collision(table: DataFrame, pairs: DataFrame, prefix: int) -> Data
 
 
 def projection_percentiles(table: DataFrame, low: float = 0.01, high: float = 0.99) -> DataFrame:
-    """``series_id, rep, k, p_low, p_high`` of the floors of each projection (discrete percentiles)."""
+    """``series_id, rep, k, p_low, p_high`` of the floors of each projection (discrete percentiles).
+
+    Floors are counted first, so what is put in order is as many rows as there are distinct floors.
+    """
     rows = table.select("series_id", "rep", F.posexplode("h").alias("k", "f"))
-    at = Window.partitionBy("series_id", "rep", "k").orderBy("f")
-    ranked = rows.withColumn("r", F.cume_dist().over(at))
+    counts = rows.groupBy("series_id", "rep", "k", "f").agg(F.count(F.lit(1)).alias("n"))
+    upto = Window.partitionBy("series_id", "rep", "k").orderBy("f").rowsBetween(Window.unboundedPreceding, 0)
+    whole = Window.partitionBy("series_id", "rep", "k")
+    ranked = counts.withColumn("r", F.sum("n").over(upto) / F.sum("n").over(whole))
     return ranked.groupBy("series_id", "rep", "k").agg(
         F.min(F.when(F.col("r") >= low, F.col("f"))).alias("p_low"), F.min(F.when(F.col("r") >= high, F.col("f"))).alias("p_high")
     )

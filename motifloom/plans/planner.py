@@ -2,22 +2,33 @@
 
 from __future__ import annotations
 
+import threading
 import time
+import uuid
 from collections.abc import Callable, Iterator
 from dataclasses import dataclass, field
+from functools import partial
 
+import numpy as np
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from motifloom.functions import probability
-from motifloom.operators import greedy, lsh, measures, motiflets, pairs
+from motifloom.operators import greedy, hashing, kernel, lsh, measures, motiflets, pairs
 from motifloom.operators.windows import lengths, znormalized_subsequences
 from motifloom.sources.sinks import Observations
-
-#: Subsequences up to which all pairs are compared as expressions, and as matrix products.
-SMALL, MEDIUM = 1000, 20_000
+from motifloom.sources.storage import written
+
+#: Subsequences up to which all pairs are compared as expressions, and up to which as matrix products without looking for anything better.
+SMALL, MEDIUM = 128, 150_000
+#: Relative contrast from which hashing is tried on longer series.
+CONTRAST = 2.5
+#: Subsequences up to which the lazy enumeration compares all pairs.
+BRUTE_FORCE = 1000
 #: Share of all pairs after which hashing is no better than comparing them all.
 EFFORT = 0.1
+#: Subsequences that the width of buckets is looked for on.
+WIDTH_ROWS = 4096
 
 
 @dataclass(frozen=True)
@@ -48,23 +59,38 @@ class Motif:
         return Motif(min(m.indices), max(m.indices), m.extent, m.confirmed, m.relative_contrast)
 
 
+def choose(series: DataFrame, w: int, k: int, ez: int) -> str:
+    """``expression``, ``kernel`` or ``lsh`` by the length of the longest series and how much its motifs stand out."""
+    n = (lengths(series).agg(F.max("n")).first()[0] or 0) - w
+    if n <= MEDIUM:
+        return "expression" if n <= SMALL else "kernel"
+    held = kernel.collected(series)
+    if held is not None:
+        return "lsh" if kernel.contrast(held, w, k, ez) >= CONTRAST else "kernel"
+    # too long for a task to hold: what a few tables meet says whether hashing leaves most pairs alone
+    width = 2.0 * w**0.25
+    table = lsh.hashes(znormalized_subsequences(series, w), *lsh.projections(w, 2, 7), width)
+    met = lsh.collision_estimate(table, lsh.K, ez).groupBy("series_id").agg(F.max("collisions").alias("m")).agg(F.max("m")).first()[0] or 0
+    return "lsh" if met <= EFFORT / 256 * n * n / 2 else "kernel"
+
+
 def motifs(series: DataFrame, w: int, k: int = 1, ez: int | None = None, strategy: str = "auto", delta: float = 0.05, seed: int = 1234) -> DataFrame:
     """``series_id, rank, a, b, distance`` of the ``k`` closest pairs that do not overlap.
 
-    ``auto`` compares all pairs as expressions up to ``SMALL`` subsequences, and as
-    matrix products beyond; ``lsh`` finds each motif with probability ``1 - delta``.
+    ``auto`` compares all pairs as expressions up to ``SMALL`` subsequences and as
+    matrix products up to ``MEDIUM``; beyond, it hashes where motifs stand out.  ``lsh`` finds each motif
+    with probability ``1 - delta``, and compares all pairs where hashing is no better.
     """
     ez = w if ez is None else ez
     if strategy == "auto":
-        n = lengths(series).agg(F.max("n")).first()[0] or 0
-        strategy = "expression" if n - w <= SMALL else "kernel"
+        strategy = choose(series, w, k, ez)
     if strategy in ("expression", "kernel"):
         return greedy.motifs_exact(series, w, k, ez, strategy)
     rows = []
     for r in series.select("series_id").distinct().toLocalIterator():
         own = series.where(F.col("series_id") == r["series_id"])
-        for n, m in enumerate(MotifletsIterator(own, w, 2, k, ez, delta, seed, brute_force_threshold=0), 1):
-            one = Motif.of(m)
+        found = [Motif.of(m) for m in MotifletsIterator(own, w, 2, k, ez, delta, seed, brute_force_threshold=0)]
+        for n, one in enumerate(sorted(found, key=lambda m: (m.distance, m.a, m.b)), 1):
             rows.append((r["series_id"], n, one.a, one.b, one.distance))
     return series.sparkSession.createDataFrame(rows, greedy.MOTIF)
 
@@ -79,6 +105,9 @@ class MotifletsIterator:
     pairs compared reach ``fraction_threshold`` of all, the rest is found by comparing
     all pairs, unless ``stop_on_threshold`` asks for what there is, unconfirmed.
     Batches grow, so the number of jobs grows with the logarithm of the tables.
+    ``max_memory`` bounds the tables of a prefix by 12 bytes for each of their subsequences.  ``observability_file``
+    gets the log as JSON when the enumeration ends, however it ends.  ``cancelled`` is asked between jobs, and
+    while one runs, which is then cancelled.
     """
 
     series: DataFrame
@@ -88,10 +117,12 @@ class MotifletsIterator:
     ez: int | None = None
     delta: float = 0.05
     seed: int = 1234
-    brute_force_threshold: int = SMALL
+    brute_force_threshold: int = BRUTE_FORCE
     fraction_threshold: float = EFFORT
     stop_on_threshold: bool = False
     max_repetitions: int = 256
+    max_memory: int | None = None
+    observability_file: str | None = None
     cancelled: Callable[[], bool] = field(default=lambda: False)
 
     def __post_init__(self) -> None:
@@ -106,7 +137,80 @@ class MotifletsIterator:
         if sub <= self.brute_force_threshold:
             yield from self._exact(set())
             return
-        yield from self._hashed(sub)
+        if self.max_memory is not None:
+            self.max_repetitions = max(1, min(self.max_repetitions, self.max_memory // (12 * sub)))
+        try:
+            held = kernel.collected(self.series) if self.support == 2 else None
+            yield from self._hashed(sub) if held is None else self._hashed_pairs(sub, held)
+        finally:
+            if self.observability_file is not None:
+                with open(self.observability_file, "w", encoding="utf-8") as file:
+                    file.write(self.log.to_json())
+
+    def _job(self, run: Callable):  # noqa: ANN202
+        """The result of a job, or none if it was cancelled while it ran."""
+        context, done = self.series.sparkSession.sparkContext, threading.Event()
+        tag = f"motifs-{uuid.uuid4().hex}"
+
+        def watch() -> None:
+            while not done.wait(0.2):
+                if self.cancelled():
+                    context.cancelJobsWithTag(tag)
+                    return
+
+        watcher = threading.Thread(target=watch, daemon=True)
+        context.addJobTag(tag)
+        watcher.start()
+        try:
+            return run()
+        except Exception:
+            if self.cancelled():
+                return None
+            raise
+        finally:
+            done.set()
+            context.removeJobTag(tag)
+
+    def _hashed_pairs(self, sub: int, held: dict) -> Iterator[Motiflet]:
+        """Support 2 on a series that tasks hold: tables run where the series is, a job a batch."""
+        spark, begin = self.series.sparkSession, time.monotonic()
+        total = sub * (sub - 1) // 2
+        width = hashing.fitting_width(spark, held, self.w, self.ez, self.seed, min(4.0 * sub, EFFORT / 64 * total))
+        average = kernel.mean_distance(held, self.w, self.ez, 1000, self.seed)
+        self._timed("setup", begin)
+        top, examined, complete = greedy.TopK(self.top_k, self.ez), 0, float("inf")
+        for prefix in range(lsh.K, 0, -1):
+            previous, done, batch = (None if prefix == lsh.K else prefix + 1), 0, 8
+            while done < self.max_repetitions:
+                if self.cancelled():
+                    return
+                begin, n = time.monotonic(), min(batch, self.max_repetitions - done)
+                bound = top.kth_distance() or 2 * self.w**0.5
+                seen = partial(hashing.run_tables, spark, held, self.w, self.ez, done, n, self.seed, prefix, previous, width, bound)
+                got = self._job(seen)
+                if got is None:
+                    return
+                for d, a, b in got.pairs:
+                    top.insert(d, a, b)
+                done, batch, examined, complete = done + n, batch * 2, examined + got.met, min(complete, got.complete)
+                self.log.note(done, prefix, "candidates", examined)
+                sure = probability.largest_confirmed(2 * self.w**0.5, width, done, prefix, self.delta, previous, self.max_repetitions)
+                self.log.note(done, prefix, "confirmed_distance", sure)
+                self._timed("update", begin)
+                for d, a, b in top.confirm_upto(min(sure, complete)):
+                    yield self._of({"support": 2, "indices": [a, b], "extent": d}, average)
+                if top.num_confirmed() >= self.top_k:
+                    return
+                if got.given_up or examined > self.fraction_threshold * total:
+                    sent = {(2, tuple(sorted((a, b)))) for _, a, b in top.confirmed}
+                    if self.stop_on_threshold:
+                        for d, a, b in top.to_list():
+                            if (2, (a, b)) not in sent:
+                                yield self._of({"support": 2, "indices": [a, b], "extent": d}, average, 0.0)
+                    else:
+                        yield from self._exact(sent)
+                    return
+        yield from self._exact({(2, tuple(sorted((a, b)))) for _, a, b in top.confirmed})
 
     def _timed(self, name: str, begin: float) -> None:
         self.timings[name] = self.timings.get(name, 0.0) + time.monotonic() - begin
@@ -123,7 +227,7 @@ class MotifletsIterator:
         begin = time.monotonic()
         average = self._average()
         if self.support == 2:
-            found = greedy.motifs_exact(self.series, self.w, self.top_k, self.ez).select(
+            found = greedy.motifs_exact(self.series, self.w, self.top_k, self.ez, "kernel").select(
                 F.lit(2).alias("support"), F.array("a", "b").alias("indices"), F.col("distance").alias("extent")
             )
         else:
@@ -135,12 +239,23 @@ class MotifletsIterator:
                 yield self._of(r, average)
 
     def _width(self, z: DataFrame, sub: int) -> float:
-        """Bucket width at which a sample of tables has between one and ten times the root of the subsequences in whole-hash collisions."""
-        vectors, shares = lsh.projections(self.w, 4, self.seed + 1)
+        """Bucket width at which tables have about as many whole-hash collisions as the root of the subsequences, or ten times that.
+
+        A sample is projected once, without floors, and the width is looked for on the driver.
+        """
+        vectors, _ = lsh.projections(self.w, 4, self.seed + 1)
+        share = min(1.0, WIDTH_ROWS / max(sub, 1))
+        drawn = z.where(F.pmod(F.xxhash64("i"), F.lit(1 << 62)).cast("double") < share * (1 << 62))
+        flat = vectors.reshape(4 * lsh.K, -1).T
+        rows = drawn.limit(2 * WIDTH_ROWS).select("z").toArrow()["z"].to_pylist()  # bounded by WIDTH_ROWS
+        if not rows:
+            return 1.0
+        points = (np.array(rows) @ flat).reshape(len(rows), 4, lsh.K)
+        scale = (sub / len(rows)) ** 2
         low, high, width = 0.0, 4.0 * self.w**0.5, 1.0
         for _ in range(20):
-            table = lsh.hashes(z, vectors, shares, width)
-            got = lsh.bucket_sizes(table, lsh.K).agg(F.expr("sum(c * (c - 1) div 2)")).first()[0] / 4
+            h = np.floor(points / width).astype(np.int64)
+            got = scale * sum(hashing.number_met(hashing.keys_of(h[:, t], lsh.K)) for t in range(4)) / 4
             if sub**0.5 <= got <= 10 * sub**0.5 + self.ez * sub / 4:
                 return width
             low, high = (width, high) if got < sub**0.5 else (low, width)
@@ -149,7 +264,7 @@ class MotifletsIterator:
 
     def _hashed(self, sub: int) -> Iterator[Motiflet]:
         begin = time.monotonic()
-        z = znormalized_subsequences(self.series, self.w).select("series_id", "i", "z").persist()
+        z = written(znormalized_subsequences(self.series, self.w).select("series_id", "i", "z"), "subsequences")
         average, width = self._average(), self._width(z, sub)
         self._timed("setup", begin)
         edges: DataFrame | None = None
@@ -165,15 +280,20 @@ class MotifletsIterator:
                 begin = time.monotonic()
                 n = min(batch, self.max_repetitions - done)
                 vectors, shares = lsh.projections(self.w, n, self.seed + 7919 * done + 17)
-                tables = lsh.hashes(z, vectors, shares, width, done)
+                tables = written(lsh.hashes(z, vectors, shares, width, done), "tables")
+                likely = tables and lsh.collision_estimate(tables, prefix, self.ez).agg(F.sum("collisions")).first()[0] or 0
+                if examined + likely > self.fraction_threshold * total and not self.stop_on_threshold:
+                    # the buckets are so full that comparing all pairs costs less than what these tables would list
+                    yield from self._exact({(s, i) for s, own in emitted.items() for i in own})
+                    return
                 met = lsh.candidates(tables, prefix, self.ez, previous)
                 # what has been compared stays; a pair is compared once
                 fresh = met.select("series_id", "a", "b").distinct()
                 if edges is not None:
                     fresh = fresh.join(edges.select("series_id", "a", "b"), ["series_id", "a", "b"], "left_anti")
-                new = lsh.verified(fresh, z).withColumn("d", F.round("d", 6)).persist()
+                new = written(lsh.verified(fresh, z).withColumn("d", F.round("d", 6)), "edges")
                 examined += new.count()
-                edges = new if edges is None else edges.unionByName(new).persist()
+                edges = new if edges is None else written(edges.unionByName(new), "edges")
                 done, batch = done + n, batch * 2
                 self.log.note(done, prefix, "candidates", examined)
                 self._timed("update", begin)

@@ -2,13 +2,45 @@
 
 from __future__ import annotations
 
+import atexit
 import tempfile
 import uuid
 
-from pyspark.sql import SparkSession
+from pyspark.sql import DataFrame, SparkSession
+
+_OWNED: list[tuple[SparkSession, str]] = []
+
+
+def _remove_owned() -> None:
+    for spark, path in _OWNED:
+        try:
+            remove(spark, path)
+        except Exception:  # the JVM may be gone before the interpreter ends
+            return
+
+
+def remove(spark: SparkSession, path: str) -> None:
+    target = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    target.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(target, True)
 
 
 def scratch(spark: SparkSession, name: str) -> str:
-    """A fresh folder under ``spark.checkpoint.dir``; only where the session names none, a local temporary one."""
+    """A fresh folder under ``spark.checkpoint.dir``, removed when the driver ends; only in local mode, where the session names none, a temporary one."""
     shared = spark.conf.get("spark.checkpoint.dir", None) or spark.sparkContext.getCheckpointDir()
-    return f"{shared.rstrip('/') if shared else tempfile.mkdtemp(prefix='motifloom-')}/{name}-{uuid.uuid4().hex}"
+    if not shared:
+        if not spark.sparkContext.master.startswith("local"):
+            raise ValueError("set spark.checkpoint.dir to a folder that driver and executors share")
+        spark.sparkContext.setCheckpointDir("file://" + tempfile.mkdtemp(prefix="motifloom-"))
+        shared = spark.sparkContext.getCheckpointDir()
+    path = f"{shared.rstrip('/')}/{name}-{uuid.uuid4().hex}"
+    if not _OWNED:
+        atexit.register(_remove_owned)
+    _OWNED.append((spark, path))
+    return path
+
+
+def written(df: DataFrame, name: str) -> DataFrame:
+    """Write ``df`` as Parquet to the shared folder and read it back: cuts lineage and outlives executors."""
+    path = scratch(df.sparkSession, name)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
