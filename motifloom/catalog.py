@@ -18,6 +18,7 @@ from motifloom.operators import evaluate, greedy, lsh, measures, motiflets, pair
 from motifloom.operators import windows as W
 from motifloom.plans import planner
 from motifloom.sources import series as S
+from motifloom.sources import sinks
 from motifloom.sources.storage import scratch
 from motifloom.streaming import series_stream
 
@@ -97,15 +98,15 @@ f7 AS (SELECT row_number() OVER (ORDER BY g.d) - 1 AS i, CAST(coalesce(s, 0.0) A
 
 
 def _subs(t: str, w: int) -> str:
-    return f"""subs AS (SELECT i, list(v) OVER f AS x, avg(v) OVER f AS m, stddev_pop(v) OVER f AS sd FROM {t}
+    return f"""subs AS MATERIALIZED (SELECT i, list(v) OVER f AS x, avg(v) OVER f AS m, stddev_pop(v) OVER f AS sd FROM {t}
   WINDOW f AS (ORDER BY i ROWS BETWEEN CURRENT ROW AND {w - 1} FOLLOWING) QUALIFY i < (SELECT count(*) FROM {t}) - {w}),
-zs AS (SELECT i, x, m, sd, list_transform(x, lambda e: (e - m) / sd) AS z FROM subs WHERE sd > 1e-4)"""
+zs AS MATERIALIZED (SELECT i, x, m, sd, list_transform(x, lambda e: (e - m) / sd) AS z FROM subs WHERE sd > 1e-4)"""
 
 
 def _pairs(t: str, w: int, ez: int) -> str:
     return _subs(t, w) + f""",
-pairs AS (SELECT p.i AS a, q.i AS b, round(list_distance(p.z, q.z), 6) AS d FROM zs p JOIN zs q ON q.i - p.i >= {ez}),
-dirs AS (SELECT a AS src, b AS dst, d FROM pairs UNION ALL SELECT b, a, d FROM pairs)"""
+pairs AS MATERIALIZED (SELECT p.i AS a, q.i AS b, round(list_distance(p.z, q.z), 6) AS d FROM zs p JOIN zs q ON q.i - p.i >= {ez}),
+dirs AS MATERIALIZED (SELECT a AS src, b AS dst, d FROM pairs UNION ALL SELECT b, a, d FROM pairs)"""
 
 
 def _greedy(src: str, k: int, ez: int) -> str:
@@ -122,13 +123,23 @@ R = "WITH RECURSIVE "
 PICKED = "SELECT CAST(rk AS INTEGER) AS rank, a, b, d AS distance FROM pick"
 SUB1, PAIR1 = F1 + ",\n" + _subs("f1", WH), F1 + ",\n" + _pairs("f1", WH, WH)
 PAIR5 = F5 + ",\n" + _pairs("f5", WP, WP)
-KNN1 = PAIR1 + f""",
-n1 AS (SELECT src, d AS d1, dst AS j1 FROM dirs QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) = 1),
-n2 AS (SELECT n1.*, d AS d2, dst AS j2 FROM n1 JOIN dirs USING (src) WHERE abs(dst - j1) >= {WH}
-  QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) = 1),
-n3 AS (SELECT n2.*, d AS d3, dst AS j3 FROM n2 JOIN dirs USING (src) WHERE abs(dst - j1) >= {WH} AND abs(dst - j2) >= {WH}
+
+
+def _knn(pairs_sql: str, ez: int, third: bool = True) -> str:
+    """The two or three nearest of each root that do not overlap each other."""
+    out = pairs_sql + f""",
+n1 AS MATERIALIZED (SELECT src, d AS d1, dst AS j1 FROM dirs QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) = 1),
+n2 AS MATERIALIZED (SELECT n1.*, d AS d2, dst AS j2 FROM n1 JOIN dirs USING (src) WHERE abs(dst - j1) >= {ez}
+  QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) = 1)"""
+    if third:
+        out += f""",
+n3 AS MATERIALIZED (SELECT n2.*, d AS d3, dst AS j3 FROM n2 JOIN dirs USING (src) WHERE abs(dst - j1) >= {ez} AND abs(dst - j2) >= {ez}
   QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) = 1),
-knn AS (SELECT src, 1 AS rank, j1 AS dst, d1 AS d FROM n1 UNION ALL SELECT src, 2, j2, d2 FROM n2 UNION ALL SELECT src, 3, j3, d3 FROM n3)"""
+knn AS MATERIALIZED (SELECT src, 1 AS rank, j1 AS dst, d1 AS d FROM n1 UNION ALL SELECT src, 2, j2, d2 FROM n2 UNION ALL SELECT src, 3, j3, d3 FROM n3)"""
+    return out
+
+
+KNN1 = _knn(PAIR1, WH)
 
 
 def _numbers(x: np.ndarray) -> str:
@@ -215,7 +226,17 @@ def _(spark, sf):
     return S.downsample(f2(spark, sf), 7).select("i", "v")
 
 
-@query("gen_random_walk", f"WITH {F2} SELECT i, round(sum(v - 50) OVER (ORDER BY i), 4) AS v FROM f2")
+@query(
+    "gen_random_walk",
+    """WITH h AS (SELECT i, md5('7:' || i) AS h FROM (SELECT unnest(range(20000)) AS i)),
+u AS (SELECT i, (CAST('0x' || substr(h, 1, 8) AS BIGINT) + 1) / 4294967296.0 AS a, CAST('0x' || substr(h, 9, 8) AS BIGINT) / 4294967296.0 AS b FROM h)
+SELECT i, round(sum(sqrt(-2 * ln(a)) * cos(2 * pi() * b)) OVER (ORDER BY i), 5) AS v FROM u""",
+)
+def _(spark, sf):
+    return S.random_walk(spark, 20_000, 7, 1000).select("i", F.round("v", 5).alias("v"))
+
+
+@query("running_sum", f"WITH {F2} SELECT i, round(sum(v - 50) OVER (ORDER BY i), 4) AS v FROM f2")
 def _(spark, sf):
     steps = f2(spark, sf).withColumn("v", F.col("v") - 50)
     return S.running_sum(steps, 1000).select("i", F.round("v", 4).alias("v"))
@@ -315,12 +336,17 @@ NEAREST = "near AS (SELECT src AS i, d AS nn_dist, dst AS nn_idx FROM dirs QUALI
 
 @query("matrix_profile_exact", f"WITH {PAIR1},\n{NEAREST} SELECT i, nn_dist, nn_idx FROM near")
 def _(spark, sf):
-    return pairs.matrix_profile(f1(spark, sf), WH, WH).select("i", "nn_dist", "nn_idx")
+    return pairs.matrix_profile(f1(spark, sf), WH, WH, "kernel").select("i", "nn_dist", "nn_idx")
+
+
+@query("matrix_profile_tiles", f"WITH {PAIR1},\n{NEAREST} SELECT i, nn_dist, nn_idx FROM near")
+def _(spark, sf):
+    return pairs.matrix_profile(f1(spark, sf), WH, WH, "tiles", 256).select("i", "nn_dist", "nn_idx")
 
 
-@query("matrix_profile_kernel", f"WITH {PAIR1},\n{NEAREST} SELECT i, nn_dist FROM near")
+@query("matrix_profile_expression", f"WITH {PAIR1},\n{NEAREST} SELECT i, nn_dist, nn_idx FROM near")
 def _(spark, sf):
-    return pairs.matrix_profile(f1(spark, sf), WH, WH, "kernel", 256).select("i", "nn_dist")
+    return pairs.matrix_profile(f1(spark, sf), WH, WH).select("i", "nn_dist", "nn_idx")
 
 
 CLOSEST = "cand AS (SELECT DISTINCT least(i, nn_idx) AS a, greatest(i, nn_idx) AS b, nn_dist AS d FROM near)"
@@ -328,7 +354,7 @@ CLOSEST = "cand AS (SELECT DISTINCT least(i, nn_idx) AS a, greatest(i, nn_idx) A
 
 @query("motifs_from_profile", f"{R}{PAIR1},\n{NEAREST},\n{CLOSEST},\n{_greedy('cand', 5, WH)} {PICKED}")
 def _(spark, sf):
-    profile = pairs.matrix_profile(f1(spark, sf), WH, WH)
+    profile = pairs.matrix_profile(f1(spark, sf), WH, WH, "kernel")
     return greedy.motifs_from_profile(profile, 5, WH).select("rank", "a", "b", "distance")
 
 
@@ -337,6 +363,16 @@ def _(spark, sf):
     return planner.motifs(f1(spark, sf), WH, 10, WH).select("rank", "a", "b", "distance")
 
 
+@query("motifs_expression", f"{R}{PAIR1},\n{_greedy('pairs', 10, WH)} {PICKED}")
+def _(spark, sf):
+    return planner.motifs(f1(spark, sf), WH, 10, WH, "expression").select("rank", "a", "b", "distance")
+
+
+@query("motifs_tiles", f"{R}{PAIR1},\n{_greedy('pairs', 10, WH)} {PICKED}")
+def _(spark, sf):
+    return greedy.motifs_exact(f1(spark, sf), WH, 10, WH, "tiles").select("rank", "a", "b", "distance")
+
+
 @query("motifs_kernel", f"{R}{PAIR5},\n{_greedy('pairs', 10, WP)} {PICKED}")
 def _(spark, sf):
     return planner.motifs(f5(spark, sf), WP, 10, WP, "kernel").select("rank", "a", "b", "distance")
@@ -388,9 +424,10 @@ def _(spark, sf):
     return pairs.touched(_graph(spark, sf), nodes).select("a", "b", "d")
 
 
-SETS = KNN1 + """,
-sets AS (SELECT src AS root, 2 AS support, list_sort([src, j1]) AS idx, d1 AS extent FROM n1
+SETS_OF = """,
+sets AS MATERIALIZED (SELECT src AS root, 2 AS support, list_sort([src, j1]) AS idx, d1 AS extent FROM n1
  UNION ALL SELECT src, 3, list_sort([src, j1, j2]), greatest(d1, d2, d) FROM n2 JOIN pairs ON a = least(j1, j2) AND b = greatest(j1, j2))"""
+SETS = _knn(PAIR1, WH, False) + SETS_OF
 
 
 @query("motiflet_extents", f"WITH {SETS} SELECT root, support, extent FROM sets")
@@ -399,6 +436,18 @@ def _(spark, sf):
     return motiflets.extents(pairs.knn_nonoverlapping(p, 2, WH), p).select("root", "support", "extent")
 
 
+@query("motiflet_sets_kernel", f"WITH {SETS} SELECT root, support, extent FROM sets")
+def _(spark, sf):
+    from motifloom.operators import kernel
+
+    return kernel.sets(spark, kernel.collected(f1(spark, sf)), WH, 3, WH).select("root", "support", "extent")
+
+
+@query("knn_kernel", f"WITH {KNN1} SELECT src, rank, dst, d FROM knn")
+def _(spark, sf):
+    return pairs.knn_kernel(f1(spark, sf), WH, 3, WH).select("src", "rank", "dst", "d")
+
+
 BEST = "best AS (SELECT support, idx, extent FROM sets QUALIFY row_number() OVER (PARTITION BY support ORDER BY extent, idx) = 1)"
 
 
@@ -437,6 +486,56 @@ def _(spark, sf):
     return out.select("i", "nn", *[F.round(c, 6).alias(c) for c in ("lid", "rc1", "rc10", "rc100")])
 
 
+@query(
+    "zdot_functions",
+    f"""WITH {SUB1},\n{ONE}, o AS (SELECT q, qx, list_avg(qx) AS qm FROM one), w AS (SELECT *, sqrt(list_sum(list_transform(qx, lambda e: (e - qm) * (e - qm))) / {WH}) AS qs FROM o)
+SELECT i, round(list_dot_product(z, q), 5) AS zdot, round(sqrt(greatest(0, 2 * {WH} - 2 * list_dot_product(z, q))), 4) AS via_dot,
+  CASE WHEN list_distance(z, q) <= 5 THEN round(list_distance(z, q), 6) END AS within FROM zs, w WHERE i <> 100""",
+)
+def _(spark, sf):
+    z = W.znormalized_subsequences(f1(spark, sf), WH)
+    one = z.where("i = 100").select(F.col("x").alias("qx"), F.col("m").alias("qm"), F.col("sd").alias("qs"), F.col("z").alias("q"))
+    both = z.where("i <> 100").crossJoin(F.broadcast(one))  # one row
+    zdot = D.zdot(F.col("x"), F.col("m"), F.col("sd"), F.col("qx"), F.col("qm"), F.col("qs"), WH)
+    within = D.euclidean_within(F.col("z"), F.col("q"), 5.0)
+    return both.select("i", F.round(zdot, 5).alias("zdot"), F.round(D.distance_of_zdot(zdot, WH), 4).alias("via_dot"), F.round(within, 6).alias("within"))
+
+
+@query("each_dot", f"WITH {SUB1},\n{ONE} SELECT i, round(sqrt(abs(list_dot_product(subs.x, qx))) + i, 4) AS out FROM subs, one")
+def _(spark, sf):
+    dots = pairs.sliding_dot_product(f1(spark, sf), WH, 100)
+    return pairs.each_dot(dots, lambda i, dot: np.sqrt(np.abs(dot)) + i).select("i", F.round("out", 4).alias("out"))
+
+
+@query("distance_profile_expression", f"WITH {SUB1},\n{ONE} SELECT i, round(list_distance(z, q), 6) AS distance FROM zs, one")
+def _(spark, sf):
+    return pairs.distance_profile(f1(spark, sf), WH, 100, D.euclidean).select("i", F.round("distance", 6).alias("distance"))
+
+
+@query("simhash", """WITH v AS (SELECT vec_id, list_transform(embedding, lambda e: CAST(e AS DOUBLE)) AS x FROM embeddings), o AS (SELECT x AS y FROM v WHERE vec_id = 0)
+SELECT vec_id, round(1 - acos(least(1, greatest(-1, list_cosine_similarity(x, y)))) / pi(), 6) AS p FROM v, o WHERE vec_id <> 0""")
+def _(spark, sf):
+    v = _t(spark, sf, "embeddings").select("vec_id", F.col("embedding").cast("array<double>").alias("x"))
+    one = v.where("vec_id = 0").select(F.col("x").alias("y"))
+    cosine = F.try_divide(D.dot(F.col("x"), F.col("y")), D.norm(F.col("x")) * D.norm(F.col("y")))
+    p = probability.simhash_probability(F.least(F.lit(1.0), F.greatest(F.lit(-1.0), cosine)))
+    return v.where("vec_id <> 0").crossJoin(F.broadcast(one)).select("vec_id", F.round(p, 6).alias("p"))  # one row
+
+
+@query(
+    "rooted_motiflets",
+    f"""WITH {SETS}, own AS (SELECT * FROM sets WHERE root % greatest(1, ((SELECT count(*) FROM f1) - {WH}) // 64) = 0)
+SELECT support, min(extent) AS extent FROM own GROUP BY 1""",
+)
+def _(spark, sf):
+    return motiflets.rooted(f1(spark, sf), WH, 3, WH).select("support", "extent")
+
+
+@query("windowed", f"WITH {SUB1} SELECT i, round(m, 6) AS m, round(sd, 6) AS sd FROM subs")
+def _(spark, sf):
+    return W.windowed(f1(spark, sf), WH).select("i", F.round("m", 6).alias("m"), F.round("sd", 6).alias("sd"))
+
+
 # hash tables
 
 
@@ -558,9 +657,15 @@ def _(spark, sf):
     return grid.select("p", "prefix", "reps", F.round(failure, 9).alias("failure"), F.round(success, 9).alias("success"))
 
 
-@query("lsh_collision_probability")
+@query(
+    "lsh_collision_probability",
+    """WITH d AS (SELECT 0.25 * k AS distance FROM (SELECT unnest(range(1, 41)) AS k)), grid AS (SELECT unnest(range(0, 4001)) AS j),
+p AS (SELECT distance, sum(CASE WHEN j IN (0, 4000) THEN 1 WHEN j % 2 = 1 THEN 4 ELSE 2 END * 2 / (distance * sqrt(2 * pi())) * exp(-pow(5.0 * j / 4000 / distance, 2) / 2) * (1 - j / 4000.0))
+  * (5.0 / 4000) / 3 AS p FROM d, grid GROUP BY 1)
+SELECT CAST(distance AS DOUBLE) AS distance, round(p, 7) AS p, CAST(ceil(ln(0.05) / ln(1 - pow(p, 8))) AS INTEGER) AS repetitions FROM p""",
+)
 def _(spark, sf):
-    rows = [(d, probability.collision_probability(d, 5.0), probability.repetitions_needed(d, 5.0, 8, 0.05)) for d in np.linspace(0.25, 10, 40).tolist()]
+    rows = [(0.25 * k, round(probability.collision_probability(0.25 * k, 5.0), 7), probability.repetitions_needed(0.25 * k, 5.0, 8, 0.05)) for k in range(1, 41)]
     return spark.createDataFrame(rows, "distance double, p double, repetitions int")
 
 
@@ -577,31 +682,40 @@ def _(spark, sf):
     return lsh.empirical_collision(_table5(spark, sf, 12), known, 1).select("a", "b", F.round("share", 6).alias("share"))
 
 
-@query("motifs_lsh", f"{R}{PAIR5},\n{_greedy('pairs', 4, WP)} SELECT a, b, d AS distance FROM pick")
+@query("motifs_lsh", f"{R}{PAIR5},\n{_greedy('pairs', 5, WP)} {PICKED}")
 def _(spark, sf):
-    return planner.motifs(f5(spark, sf), WP, 4, WP, "lsh", delta=0.01).select("a", "b", "distance")
+    return planner.motifs(f5(spark, sf), WP, 5, WP, "lsh", delta=0.01).select("rank", "a", "b", "distance")
+
+
+MEMBERS = "SELECT support, g AS pos, idx[g + 1] AS idx, extent FROM best, (SELECT unnest(range(3)) AS g) WHERE g < support"
 
 
-def _motiflets5(spark, sf, stop):
-    found = list(planner.MotifletsIterator(f5(spark, sf), WP, 3, 1, WP, 0.01, fraction_threshold=0.002, stop_on_threshold=stop))
-    rows = [(m.support, list(m.indices), m.extent, m.confirmed) for m in found]
-    return spark.createDataFrame(rows, "support int, indices array<long>, extent double, confirmed boolean")
+def _motiflets5(spark, sf, **options):
+    found = list(planner.MotifletsIterator(f5(spark, sf), WP, 3, 1, WP, 0.01, **options))
+    rows = [(m.support, pos, i, m.extent, m.confirmed) for m in found for pos, i in enumerate(m.indices)]
+    return spark.createDataFrame(rows, "support int, pos long, idx long, extent double, confirmed boolean")
 
 
-@query("motiflets_lsh")
+@query("motiflets_lsh", f"WITH {_knn(PAIR5, WP, False)}{SETS_OF},\n{BEST} {MEMBERS}")
 def _(spark, sf):
-    return _motiflets5(spark, sf, False)
+    return _motiflets5(spark, sf).where("confirmed").drop("confirmed")
 
 
 @query("motiflets_lsh_early_stop")
 def _(spark, sf):
-    return _motiflets5(spark, sf, True)
+    return _motiflets5(spark, sf, fraction_threshold=0.002, stop_on_threshold=True)
 
 
 # other methods
 
 
-@query("prescrimp_profile")
+@query(
+    "prescrimp_profile",
+    f"""WITH {PAIR1}, near AS (SELECT src AS s, dst AS j FROM dirs WHERE src % 6 = 0 QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) = 1),
+spread AS (SELECT DISTINCT least(s + k, j + k) AS a, greatest(s + k, j + k) AS b FROM near, (SELECT unnest(range(-5, 6)) AS k)),
+hit AS MATERIALIZED (SELECT a, b, d FROM spread JOIN pairs USING (a, b)), two AS (SELECT a AS i, b AS j, d FROM hit UNION ALL SELECT b, a, d FROM hit)
+SELECT i, d AS nn_dist, j AS nn_idx FROM two QUALIFY row_number() OVER (PARTITION BY i ORDER BY d, j) = 1""",
+)
 def _(spark, sf):
     return prescrimp.approximate_profile(f1(spark, sf), WH, WH, 6).select("i", "nn_dist", "nn_idx")
 
@@ -615,9 +729,10 @@ def _(spark, sf):
     return sax.sax_words(f1(spark, sf), WH, 6, 4).select("i", F.array_join(F.transform("word", lambda x: x.cast("string")), "").alias("word"))
 
 
-@query("sax_rle", f"WITH {SUB1},\n{SAX}, l AS (SELECT i, word, lag(word) OVER (ORDER BY i) AS last FROM words) SELECT i FROM l WHERE last IS NULL OR word <> last")
+@query("sax_rle", f"WITH {SUB1},\n{SAX}, l AS (SELECT i, word, lag(word) OVER (ORDER BY i) AS last FROM words) SELECT i, array_to_string(word, '') AS word FROM l WHERE last IS NULL OR word <> last")
 def _(spark, sf):
-    return sax.drop_repeats(sax.sax_words(f1(spark, sf), WH, 6, 4)).select("i")
+    kept = sax.drop_repeats(sax.sax_words(f1(spark, sf), WH, 6, 4))
+    return kept.select("i", F.array_join(F.transform("word", lambda x: x.cast("string")), "").alias("word"))
 
 
 SAMPLES = [[0, 2], [1, 3], [0, 3], [1, 2]]
@@ -660,37 +775,66 @@ SELECT count(*) AS n_truth, count(*) FILTER (EXISTS (SELECT 1 FROM found f WHERE
 )
 def _(spark, sf):
     s = f1(spark, sf)
-    truth = greedy.motifs_exact(s, WH, 10, WH)
-    near = pairs.matrix_profile(s, WH, WH).orderBy("nn_dist", "i").limit(8).select(F.least("i", "nn_idx").alias("a"), F.greatest("i", "nn_idx").alias("b"))
+    truth = greedy.motifs_exact(s, WH, 10, WH, "kernel")
+    near = pairs.matrix_profile(s, WH, WH, "kernel").orderBy("nn_dist", "i").limit(8).select(F.least("i", "nn_idx").alias("a"), F.greatest("i", "nn_idx").alias("b"))
     return evaluate.recall(truth, near, WH).select("n_truth", "n_found", F.round("recall", 6).alias("recall"))
 
 
-# experiment tables
+@query(
+    "sax_projection_motifs",
+    f"""{R}{SUB1},\n{SAX}, s(rep, p, q) AS (VALUES (0, 0, 2), (1, 1, 3), (2, 0, 3), (3, 1, 2)),
+kept AS (SELECT i, word FROM (SELECT i, word, lag(word) OVER (ORDER BY i) AS last FROM words) WHERE last IS NULL OR word <> last),
+m AS (SELECT x.i AS a, y.i AS b, count(*) AS n FROM kept x JOIN kept y ON y.i - x.i >= {WH} JOIN s ON x.word[p + 1] = y.word[p + 1] AND x.word[q + 1] = y.word[q + 1] GROUP BY 1, 2),
+likely AS MATERIALIZED (SELECT a, b, round(list_distance(p.z, q.z), 6) AS d FROM (SELECT *, dense_rank() OVER (ORDER BY n DESC) AS level FROM m) t
+  JOIN zs p ON p.i = a JOIN zs q ON q.i = b WHERE level <= 2),\n{_greedy('likely', 5, WH)} {PICKED}""",
+)
+def _(spark, sf):
+    return sax.projection_motifs(f1(spark, sf), WH, 6, 4, SAMPLES, 5, WH, 2).select("rank", "a", "b", "distance")
+
 
-RUNS = [
-    ("ecg-10000", "lsh", 1, 0.20, "[{\"a\":3,\"b\":900,\"dist\":0.5},{\"a\":70,\"b\":400,\"dist\":1.25}]"),
-    ("ecg-10000", "scan", 1, 0.28, "[{\"a\":3,\"b\":900,\"dist\":0.5}]"),
-    ("ecg-50000", "lsh", 1, 0.74, "[{\"a\":11,\"b\":5000,\"dist\":0.75}]"),
-    ("ecg-50000", "scan", 1, 6.32, "[]"),
-    ("gap", "lsh", 1, 24.3, "[{\"a\":5,\"b\":60,\"dist\":2.0},{\"a\":9,\"b\":99,\"dist\":2.5}]"),
-    ("gap", "lsh", 2, 23.1, "[{\"a\":5,\"b\":60,\"dist\":2.0}]"),
-    ("gap", "scan", 2, 27.7, "[{\"a\":5,\"b\":60,\"dist\":2.0}]"),
-]
-RUNS_SQL = "runs(dataset, algorithm, version, time_s, motif_pairs) AS (VALUES " + ", ".join(f"('{d}', '{a}', {v}, CAST({t} AS DOUBLE), '{m}')" for d, a, v, t, m in RUNS) + ")"
+@query("out_of_range_hashes", f"WITH {HASH5} SELECT rep, count(*) FILTER (len(list_filter(h, lambda e: abs(e) > 2)) > 0) AS n FROM hashes GROUP BY 1")
+def _(spark, sf):
+    return _table5(spark, sf).groupBy("rep").agg(F.count_if(~D.in_range(F.col("h"), 2)).alias("n"))
+
+
+@query("sampled_slice_min", f"WITH {PAIR1}, r AS (SELECT src, dst, d FROM dirs QUALIFY row_number() OVER (PARTITION BY src ORDER BY d, dst) <= 100) SELECT src, dst, d FROM r")
+def _(spark, sf):
+    return X.slice_min(pairs.neighbours(_pairs1(spark, sf)), ["src"], "d", 100, "dst").select("src", "dst", "d")
 
 
-def _runs(spark: SparkSession) -> DataFrame:
-    return spark.createDataFrame(RUNS, "dataset string, algorithm string, version int, time_s double, motif_pairs string")
+# experiment tables
+
+RUNS_SQL = """runs AS MATERIALIZED (SELECT concat('set-', o_custkey % 40) || CASE WHEN o_custkey % 3 = 0 THEN '' ELSE concat('-', 1000 * (o_custkey % 7)) END AS dataset,
+  CASE WHEN o_orderkey % 2 = 0 THEN 'lsh' ELSE 'scan' END AS algorithm, CAST(year(o_orderdate) AS INTEGER) AS version, o_totalprice AS time_s,
+  CAST(to_json(m) AS VARCHAR) AS motif_pairs FROM orders JOIN
+  (SELECT l_orderkey, list({'a': l_partkey, 'b': l_suppkey, 'dist': l_quantity} ORDER BY l_linenumber, l_partkey, l_suppkey) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+
+
+def _runs(spark: SparkSession, sf: str) -> DataFrame:
+    """Runs of experiments as the orders and their lines give them: a data set, an algorithm, a version, a time, and motif pairs as JSON."""
+    one = F.struct("l_linenumber", F.col("l_partkey").alias("a"), F.col("l_suppkey").alias("b"), F.col("l_quantity").alias("dist"))
+    lines = _t(spark, sf, "lineitem").groupBy("l_orderkey").agg(F.sort_array(F.collect_list(one)).alias("m"))
+    found = F.transform("m", lambda p: F.struct(p["a"].alias("a"), p["b"].alias("b"), p["dist"].alias("dist")))
+    key = F.col("o_custkey")
+    tail = F.when(key % 3 == 0, F.lit("")).otherwise(F.concat(F.lit("-"), (1000 * (key % 7)).cast("string")))
+    rows = _t(spark, sf, "orders").join(lines, F.col("l_orderkey") == F.col("o_orderkey"))
+    return rows.select(
+        F.concat(F.lit("set-"), (key % 40).cast("string"), tail).alias("dataset"),
+        F.when(F.col("o_orderkey") % 2 == 0, "lsh").otherwise("scan").alias("algorithm"),
+        F.year("o_orderdate").alias("version"),
+        F.col("o_totalprice").alias("time_s"),
+        F.to_json(found).alias("motif_pairs"),
+    )
 
 
 @query(
     "json_motif_unnest",
     f"""WITH {RUNS_SQL}, j AS (SELECT dataset, algorithm, version, from_json(motif_pairs, '[{{"a":"BIGINT","b":"BIGINT","dist":"DOUBLE"}}]') AS m,
   CAST(json_extract_string(motif_pairs, '$[0].dist') AS DOUBLE) AS first FROM runs)
-SELECT dataset, algorithm, version, CAST(g AS INTEGER) AS pos, m[g + 1].a AS a, m[g + 1].b AS b, m[g + 1].dist AS dist, first FROM j, (SELECT unnest(range(2)) AS g) WHERE g < len(m)""",
+SELECT dataset, algorithm, version, CAST(g AS INTEGER) AS pos, m[g + 1].a AS a, m[g + 1].b AS b, m[g + 1].dist AS dist, first FROM j, (SELECT unnest(range(40)) AS g) WHERE g < len(m)""",
 )
 def _(spark, sf):
-    runs = _runs(spark).drop("time_s").withColumn("first", X.json_path("motif_pairs", "$[0].dist"))
+    runs = _runs(spark, sf).drop("time_s").withColumn("first", X.json_path("motif_pairs", "$[0].dist"))
     return X.unnest_pairs(runs)
 
 
@@ -701,13 +845,12 @@ def _(spark, sf):
 
 @query("exp_scan_filter", f"WITH {RUNS_SQL} SELECT dataset, algorithm, time_s FROM runs WHERE version = (SELECT max(version) FROM runs)")
 def _(spark, sf):
-    return X.latest_version(_runs(spark)).select("dataset", "algorithm", "time_s")
+    return X.latest_version(_runs(spark, sf)).select("dataset", "algorithm", "time_s")
 
 
-@query("exp_anti_join", "SELECT c_custkey FROM customer WHERE NOT EXISTS (SELECT 1 FROM orders WHERE o_custkey = c_custkey)")
+@query("exp_anti_join", "SELECT doc_id, source FROM documents d WHERE NOT EXISTS (SELECT 1 FROM labels l WHERE l.doc_id = d.doc_id)")
 def _(spark, sf):
-    orders = _t(spark, sf, "orders").select(F.col("o_custkey").alias("c_custkey"))
-    return X.not_yet_run(_t(spark, sf, "customer").select("c_custkey"), orders, ["c_custkey"])
+    return X.not_yet_run(_t(spark, sf, "documents").select("doc_id", "source"), _t(spark, sf, "labels").select("doc_id"), ["doc_id"])
 
 
 @query(
@@ -739,11 +882,12 @@ def _(spark, sf):
 
 @query(
     "exp_pivot",
-    f"""WITH {RUNS_SQL} SELECT dataset, min(time_s) FILTER (algorithm = 'lsh') AS lsh_best, avg(time_s) FILTER (algorithm = 'lsh') AS lsh_mean,
-  min(time_s) FILTER (algorithm = 'scan') AS scan_best, avg(time_s) FILTER (algorithm = 'scan') AS scan_mean FROM runs GROUP BY 1""",
+    f"""WITH {RUNS_SQL} SELECT dataset, min(time_s) FILTER (algorithm = 'lsh') AS lsh_best, round(avg(time_s) FILTER (algorithm = 'lsh'), 6) AS lsh_mean,
+  min(time_s) FILTER (algorithm = 'scan') AS scan_best, round(avg(time_s) FILTER (algorithm = 'scan'), 6) AS scan_mean FROM runs GROUP BY 1""",
 )
 def _(spark, sf):
-    return X.pivoted(_runs(spark), "dataset", "algorithm", ["lsh", "scan"], best=F.min("time_s"), mean=F.avg("time_s"))
+    wide = X.pivoted(_runs(spark, sf), "dataset", "algorithm", ["lsh", "scan"], best=F.min("time_s"), mean=F.avg("time_s"))
+    return wide.select("dataset", "lsh_best", F.round("lsh_mean", 6).alias("lsh_mean"), "scan_best", F.round("scan_mean", 6).alias("scan_mean"))
 
 
 @query(
@@ -752,7 +896,7 @@ def _(spark, sf):
 QUALIFY rank() OVER (PARTITION BY dataset, algorithm ORDER BY time_s) = 1""",
 )
 def _(spark, sf):
-    marked = X.mark_best(_runs(spark), ["dataset"], "time_s")
+    marked = X.mark_best(_runs(spark, sf), ["dataset"], "time_s")
     return X.best_of_group(marked, ["dataset", "algorithm"], "time_s").select("dataset", "algorithm", "version", "time_s", "is_best")
 
 
@@ -763,7 +907,7 @@ def _(spark, sf):
 )
 def _(spark, sf):
     label = F.when(F.col("algorithm") == "lsh", "hashing").otherwise("all pairs")
-    return _runs(spark).select("dataset", *X.parts_of_name("dataset"), label.alias("label")).distinct()
+    return _runs(spark, sf).select("dataset", *X.parts_of_name("dataset"), label.alias("label")).distinct()
 
 
 @query(
@@ -771,7 +915,7 @@ def _(spark, sf):
     f"WITH {RUNS_SQL} SELECT dataset, time_s, CAST(NULL AS BIGINT) AS n FROM runs WHERE algorithm = 'lsh' UNION ALL SELECT dataset, NULL, count(*) FROM runs GROUP BY dataset",
 )
 def _(spark, sf):
-    runs = _runs(spark)
+    runs = _runs(spark, sf)
     return X.stacked(runs.where("algorithm = 'lsh'").select("dataset", "time_s"), runs.groupBy("dataset").agg(F.count(F.lit(1)).alias("n")))
 
 
@@ -801,12 +945,17 @@ def _(spark, sf):
     return fit.select("l_returnflag", F.round("slope", 4).alias("slope"), F.round("intercept", 2).alias("intercept"))
 
 
-@query("regr_quadratic", """WITH d AS (SELECT l_returnflag AS g, l_quantity AS x, 3 + 2 * l_quantity - 0.5 * l_quantity * l_quantity AS y FROM lineitem)
-SELECT g, CAST(3 AS DOUBLE) AS c0, CAST(2 AS DOUBLE) AS c1, CAST(-0.5 AS DOUBLE) AS c2 FROM d GROUP BY g""")
+@query(
+    "regr_quadratic",
+    """WITH p AS (SELECT l_returnflag AS g, CAST(l_quantity AS DOUBLE) AS x, CAST(l_extendedprice AS DOUBLE) / 1000 AS y FROM lineitem),
+s AS (SELECT g, CAST(count(*) AS DOUBLE) AS a0, sum(x) AS a1, sum(x * x) AS a2, sum(x * x * x) AS a3, sum(x * x * x * x) AS a4, sum(y) AS b0, sum(x * y) AS b1, sum(x * x * y) AS b2 FROM p GROUP BY g),
+e AS (SELECT g, a0, a1, a2, b0, a2 - a1 * a1 / a0 AS u11, a3 - a1 * a2 / a0 AS u12, a4 - a2 * a2 / a0 AS u22, b1 - a1 * b0 / a0 AS v1, b2 - a2 * b0 / a0 AS v2 FROM s),
+c AS (SELECT *, (v2 - u12 * v1 / u11) / (u22 - u12 * u12 / u11) AS c2 FROM e), d AS (SELECT *, (v1 - u12 * c2) / u11 AS c1 FROM c)
+SELECT g, round((b0 - a1 * c1 - a2 * c2) / a0, 4) AS c0, round(c1, 4) AS c1, round(c2, 5) AS c2 FROM d""",
+)
 def _(spark, sf):
-    q = F.col("l_quantity")
-    rows = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), q.alias("x"), (3 + 2 * q - 0.5 * q * q).alias("y"))
-    return X.quadratic_fit(rows, "g", "x", "y").select("g", *[F.round(c, 3).alias(c) for c in ("c0", "c1", "c2")])
+    rows = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice").cast("double") / 1000).alias("y"))
+    return X.quadratic_fit(rows, "g", "x", "y").select("g", F.round("c0", 4).alias("c0"), F.round("c1", 4).alias("c1"), F.round("c2", 5).alias("c2"))
 
 
 SIZES = ["10 GB", "512k", "7", "1.5 mb", "3 bytes", "2 parsecs"]
@@ -859,3 +1008,128 @@ def _(spark, sf):
     base = scratch(spark, "stream")
     out = series_stream.build_series(spark, sf, schema, f"{base}/checkpoint", f"{base}/sums", glob="events.parquet")
     return out.select(F.col("slot").cast("timestamp_ntz").alias("slot"), F.round("s", 2).alias("s"), "n")
+
+
+# files
+
+
+def _written_events(spark: SparkSession, sf: str, kind: str) -> str:
+    """The events as files of one kind in a fresh folder, one file so that its order is that of the events."""
+    path = scratch(spark, kind)
+    rows = _t(spark, sf, "events").orderBy("event_id").coalesce(1)
+    if kind == "text":
+        rows.select(F.col("value").cast("string").alias("value")).write.option("compression", "gzip").text(path)
+    elif kind == "csv":
+        rows.select("event_type", "value").write.csv(path, sep="\t")
+    else:
+        rows.select("event_id", F.struct("event_type", F.array("value").alias("values")).alias("run")).write.json(path)
+    return path
+
+
+@query("src_gzip_text", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, value AS v FROM events")
+def _(spark, sf):
+    return S.read_text(spark, _written_events(spark, sf, "text")).select("i", "v")
+
+
+@query("src_gzip_text_prefix", "SELECT i, v FROM (SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, value AS v FROM events) WHERE i < 300")
+def _(spark, sf):
+    return S.read_text(spark, _written_events(spark, sf, "text"), 300).select("i", "v")
+
+
+@query("src_csv_named", "SELECT row_number() OVER (ORDER BY event_id) - 1 AS i, value AS v FROM events")
+def _(spark, sf):
+    return S.read_csv(spark, _written_events(spark, sf, "csv"), "amount", "\t", names=["kind", "amount"]).select("i", "v")
+
+
+@query("src_json_documents", "SELECT event_type, count(*) AS n, round(sum(value), 2) AS total FROM events GROUP BY 1")
+def _(spark, sf):
+    rows = spark.read.json(_written_events(spark, sf, "json"), schema="event_id long, run struct<event_type:string,values:array<double>>")
+    return rows.select("run.event_type", F.explode("run.values").alias("v")).groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.round(F.sum("v"), 2).alias("total"))
+
+
+@query("sink_motif_pairs", f"{R}{PAIR1},\n{_greedy('pairs', 5, WH)} SELECT a, b, d AS dist FROM pick")
+def _(spark, sf):
+    path = scratch(spark, "pairs")
+    sinks.write_motif_pairs(planner.motifs(f1(spark, sf), WH, 5, WH), path)
+    return spark.read.csv(path, header=True, schema="a long, b long, dist double")
+
+
+@query("sink_profile", f"WITH {SUB1},\n{ONE} SELECT i, round(list_distance(z, q), 6) AS distance FROM zs, one WHERE list_distance(z, q) <= 6")
+def _(spark, sf):
+    path = scratch(spark, "profile")
+    sinks.write_profile(pairs.distance_profile(f1(spark, sf), WH, 100), path, 6.0)
+    return spark.read.csv(path, header=True, schema="i long, distance double").select("i", F.round("distance", 6).alias("distance"))
+
+
+@query(
+    "sink_measures_append",
+    f"""WITH {SUB1},\n{ONE}, far AS (SELECT i, round(list_distance(z, q), 6) AS d FROM zs, one WHERE abs(i - 100) > {WH})
+SELECT CAST(100 AS BIGINT) AS i, min(d) AS nn FROM far UNION ALL SELECT 100, min(d) FROM far""",
+)
+def _(spark, sf):
+    path = scratch(spark, "measures")
+    for _again in range(2):
+        sinks.append_measures(measures.difficulty(f1(spark, sf), WH, 100).select("i", "nn"), path)
+    return spark.read.csv(path, header=True, schema="i long, nn double")
+
+
+@query("sink_parquet_new_only", "SELECT doc_id, count(*) AS n FROM (SELECT DISTINCT doc_id FROM documents) GROUP BY 1")
+def _(spark, sf):
+    path = scratch(spark, "results")
+    docs = _t(spark, sf, "documents").select("doc_id").distinct()
+    sinks.append_new(docs.where("doc_id % 3 = 0"), None, ["doc_id"], path)
+    sinks.append_new(docs, spark.read.parquet(path), ["doc_id"], path)
+    return spark.read.parquet(path).groupBy("doc_id").agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("sink_versioned", "SELECT 1 AS schema_version, count(*) AS n, CAST(0 AS BIGINT) AS named FROM nation UNION ALL SELECT 2, count(*), count(n_name) FROM nation")
+def _(spark, sf):
+    path = scratch(spark, "versions")
+    sinks.append_versioned(_t(spark, sf, "nation").select("n_nationkey"), path, 1)
+    sinks.append_versioned(_t(spark, sf, "nation").select("n_nationkey", "n_name"), path, 2)
+    return sinks.read_versioned(spark, path).groupBy("schema_version").agg(F.count(F.lit(1)).alias("n"), F.count("n_name").alias("named"))
+
+
+@query(
+    "regr_fill_missing",
+    """WITH p AS (SELECT l_orderkey, l_linenumber, l_returnflag AS g, CAST(l_quantity AS DOUBLE) AS x, CASE WHEN l_orderkey % 5 = 0 THEN NULL ELSE CAST(l_extendedprice AS DOUBLE) / 1000 END AS y FROM lineitem),
+s AS (SELECT g, CAST(count(*) AS DOUBLE) AS a0, sum(x) AS a1, sum(x * x) AS a2, sum(x * x * x) AS a3, sum(x * x * x * x) AS a4, sum(y) AS b0, sum(x * y) AS b1, sum(x * x * y) AS b2 FROM p WHERE y IS NOT NULL GROUP BY g),
+e AS (SELECT g, a0, a1, a2, b0, a2 - a1 * a1 / a0 AS u11, a3 - a1 * a2 / a0 AS u12, a4 - a2 * a2 / a0 AS u22, b1 - a1 * b0 / a0 AS v1, b2 - a2 * b0 / a0 AS v2 FROM s),
+c AS (SELECT *, (v2 - u12 * v1 / u11) / (u22 - u12 * u12 / u11) AS c2 FROM e), d AS (SELECT *, (v1 - u12 * c2) / u11 AS c1 FROM c)
+SELECT x, p.g AS g, round(avg((b0 - a1 * c1 - a2 * c2) / a0 + c1 * x + c2 * x * x), 3) AS y, count(*) AS n FROM p JOIN d USING (g) WHERE y IS NULL GROUP BY 1, 2""",
+)
+def _(spark, sf):
+    y = F.when(F.col("l_orderkey") % 5 != 0, F.col("l_extendedprice").cast("double") / 1000)
+    rows = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").cast("double").alias("x"), y.alias("y"))
+    filled = X.fill_missing(rows, "g", "x", "y").where("is_predicted")
+    return filled.groupBy("x", "g").agg(F.round(F.avg("y"), 3).alias("y"), F.count(F.lit(1)).alias("n"))
+
+
+@query("models_by_group", "SELECT l_returnflag AS g, round(regr_intercept(l_extendedprice / 1000, l_quantity), 4) AS c0, round(regr_slope(l_extendedprice / 1000, l_quantity), 4) AS c1 FROM lineitem GROUP BY 1")
+def _(spark, sf):
+    rows = _t(spark, sf, "lineitem").select(F.col("l_returnflag").alias("g"), F.col("l_quantity").cast("double").alias("x"), (F.col("l_extendedprice").cast("double") / 1000).alias("y"))
+    return X.models(rows, "g", "x", "y", 1).select("g", F.round(F.col("coefficients")[0], 4).alias("c0"), F.round(F.col("coefficients")[1], 4).alias("c1"))
+
+
+@query(
+    "exp_collapse",
+    """SELECT CASE WHEN event_type IN ('click', 'view') THEN 'seen' WHEN event_type = 'purchase' THEN 'bought' ELSE 'other' END AS kind, count(*) AS n FROM events GROUP BY 1""",
+)
+def _(spark, sf):
+    kind = X.collapsed("event_type", {"click": "seen", "view": "seen", "purchase": "bought"})
+    return _t(spark, sf, "events").groupBy(kind.alias("kind")).agg(F.count(F.lit(1)).alias("n"))
+
+
+@query("exp_sweep", "SELECT CAST(w AS BIGINT) AS w, delta, seed FROM (SELECT unnest([50, 100]) AS w), (SELECT unnest([0.1, 0.2, 0.5]::DOUBLE[]) AS delta), (SELECT CAST(unnest(range(29)) AS BIGINT) AS seed)")
+def _(spark, sf):
+    return X.sweep(spark, w=[50, 100], delta=[0.1, 0.2, 0.5], seed=list(range(29)))
+
+
+@query("prefix_share", f"WITH {F1} SELECT i, v FROM f1 WHERE i < floor((SELECT count(*) FROM f1) * 0.4)")
+def _(spark, sf):
+    return S.share_of(f1(spark, sf), 0.4).select("i", "v")
+
+
+@query("positions", "SELECT unnest(range(3, 100, 7)) AS i")
+def _(spark, sf):
+    return S.positions(spark, 3, 100, 7)

@@ -65,6 +65,20 @@ def relative_contrast(average: Column, extent: Column) -> Column:
     return F.try_divide(average, extent)
 
 
+def relative_error(found: Column, true: Column) -> Column:
+    return F.try_divide(F.abs(found - true), F.abs(true))
+
+
+def neighbour_overlaps(neighbour: Column, position: Column, ez: int) -> Column:
+    """Whether the ``j`` of a struct of a distance, a position and, where it has one, a flag ``active`` that is set, is closer than ``ez``."""
+    return F.abs(neighbour["j"] - position) < ez
+
+
+def in_range(floors: Column, most: int = 127) -> Column:
+    """Whether all floors of a hash fit in a byte; full integers are kept, so nothing needs this but a count."""
+    return F.forall(floors, lambda h: F.abs(h) <= most)
+
+
 def overlaps(a: Column, b: Column, ez: int) -> Column:
     return F.abs(a - b) < ez
 

@@ -58,6 +58,49 @@ class TopK:
         return next((m for m in self.to_list() if not confirmed(m[0])), None)
 
 
+class MotifletTopK:
+    """Motiflets of one support in order of (extent, positions) of which no two overlap."""
+
+    def __init__(self, k: int, ez: int) -> None:
+        self.k, self.ez, self.seen, self.emitted, self.enabled = k, ez, set(), [], True
+
+    def insert(self, extent: float, indices: Iterable[int]) -> None:
+        if self.enabled:
+            self.seen.add((extent, tuple(sorted(indices))))
+
+    def to_list(self) -> list[tuple[float, tuple[int, ...]]]:
+        chosen: list[tuple[float, tuple[int, ...]]] = []
+        for extent, own in sorted(self.seen):
+            if len(chosen) < self.k and not any(abs(x - y) < self.ez for _, other in chosen for x in own for y in other):
+                chosen.append((extent, own))
+        return chosen
+
+    def cleanup(self) -> None:
+        """Forget what is farther than the ``k``-th, once there are ``k``."""
+        last = self.kth_distance()
+        if last is not None:
+            self.seen = {s for s in self.seen if s[0] <= last}
+
+    def kth_distance(self) -> float | None:
+        best = self.to_list()
+        return best[-1][0] if len(best) == self.k else None
+
+    def emit(self, sure: Callable[[float], bool]) -> list[tuple[float, tuple[int, ...]]]:
+        """Those that ``sure`` confirms and that have not been emitted yet."""
+        fresh = [m for m in self.to_list() if sure(m[0]) and m not in self.emitted]
+        self.emitted += fresh
+        return fresh
+
+    def smallest_non_emitted_distance(self) -> float | None:
+        return min((m[0] for m in self.to_list() if m not in self.emitted), default=None)
+
+    def disable(self) -> None:
+        self.enabled = False
+
+    def is_complete(self) -> bool:
+        return len(self.emitted) >= self.k
+
+
 def greedy(candidates: Iterable[tuple[float, int, int]], k: int, ez: int) -> list[tuple[float, int, int]]:
     """The first ``k`` of sorted candidates that overlap none before them; reads no farther than that."""
     chosen: list[tuple[float, int, int]] = []

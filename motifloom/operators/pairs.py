@@ -174,6 +174,17 @@ def sliding_dot_product(series: DataFrame, w: int, start: int, size: int = 1 <<
     return _with_query(series, w, start, size).mapInArrow(convolve, "series_id string, i long, dot double")
 
 
+def each_dot(dots: DataFrame, call) -> DataFrame:  # noqa: ANN001
+    """``series_id, i, out`` of any function of arrays of positions and dot products, called for each batch of them."""
+
+    def run(batches):  # noqa: ANN001, ANN202
+        for batch in batches:
+            out = np.asarray(call(batch.column(1).to_numpy(), batch.column(2).to_numpy()), float)
+            yield pa.record_batch([batch.column(0), batch.column(1), pa.array(out)], names=["series_id", "i", "out"])
+
+    return dots.select("series_id", "i", "dot").mapInArrow(run, "series_id string, i long, out double")
+
+
 def znormalized_sliding_dot(series: DataFrame, w: int, start: int) -> DataFrame:
     """Dot product of the values of the subsequence at ``start`` with each z-normalised subsequence; flat ones are left out."""
     from motifloom.operators.windows import rolling_stats

@@ -92,5 +92,12 @@ def series_stats(series: DataFrame, w: int) -> DataFrame:
     )
 
 
+def random_root(series: DataFrame, w: int, seed: int = 0) -> DataFrame:
+    """``series_id, i``: one subsequence of each series that is not flat, drawn by a hash of its position."""
+    rows = rolling_stats(series, w).where("NOT is_flat")
+    drawn = rows.groupBy("series_id").agg(F.min(F.struct(F.xxhash64(F.lit(seed), "i").alias("h"), "i")).alias("m"))
+    return drawn.select("series_id", "m.i")
+
+
 def exploded(df: DataFrame, array: str, value: str, *keep: str | Column) -> DataFrame:
     return df.select(*keep, F.posexplode(array).alias("pos", value))

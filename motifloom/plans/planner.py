@@ -341,6 +341,19 @@ class MotifletsIterator:
                 yield self._of(r, average, 0.0)
 
 
+def motiflet(series: DataFrame, w: int, support: int, repetitions: int = 256, **options) -> Motiflet | None:  # noqa: ANN003
+    """The best motiflet of one support, from at most ``repetitions`` tables of a prefix."""
+    return next((m for m in MotifletsIterator(series, w, support, 1, max_repetitions=repetitions, **options) if m.support == support), None)
+
+
+def nearest_of_each(series: DataFrame, w: int, k: int, ez: int | None = None) -> Iterator[tuple[int, list[tuple[int, float]]]]:
+    """For each subsequence in order its ``k`` nearest that do not overlap, as (position, distance), one after another."""
+    found = pairs.knn_kernel(series, w, k, w if ez is None else ez)
+    lists = found.groupBy("src").agg(F.sort_array(F.collect_list(F.struct("rank", "dst", "d"))).alias("near"))
+    for r in lists.orderBy("src").toLocalIterator():
+        yield r["src"], [(p["dst"], p["d"]) for p in r["near"]]
+
+
 def take_for(iterator: Iterator, seconds: float) -> Iterator:
     """Results of an iterator until a time budget is spent."""
     stop = time.monotonic() + seconds

@@ -23,17 +23,12 @@ def test_approximate_profile_is_an_upper_bound(spark):
     assert sum(r["nn_dist"] <= exact[r["i"]] + 1e-6 for r in found) > 0.3 * len(found)
 
 
-def test_lazy_motiflets_start_with_the_closest_pair(spark):
-    rows = catalog.queries()["motiflets_lsh"](spark, FOLDER).collect()
-    pair = next(r for r in rows if r["support"] == 2)
-    assert pair["confirmed"] and [i % 100 for i in pair["indices"]] == [0, 0]
-
-
-def test_lazy_motiflets_are_the_exact_ones(spark):
-    got = {r["support"]: r for r in catalog.queries()["motiflets_lsh"](spark, FOLDER).collect()}
-    exact = catalog.motiflets.motiflets_exact(catalog.f5(spark, FOLDER), catalog.WP, 3, catalog.WP).collect()
-    assert sorted(got) == [2, 3] and all(r["confirmed"] for r in got.values())
-    assert {s: round(r["extent"], 5) for s, r in got.items()} == {r["support"]: round(r["extent"], 5) for r in exact}
+def test_an_early_stop_may_leave_motiflets_unconfirmed(spark):
+    rows = catalog.queries()["motiflets_lsh_early_stop"](spark, FOLDER).collect()
+    pair = [r for r in rows if r["support"] == 2]
+    assert all(r["confirmed"] for r in pair) and [r["idx"] % 100 for r in pair] == [0, 0]
+    best = {r["support"]: r["extent"] for r in catalog.queries()["motiflets_lsh"](spark, FOLDER).collect()}
+    assert all(r["extent"] >= best[r["support"]] for r in rows)
 
 
 def test_collision_probability_falls_with_distance(spark):
