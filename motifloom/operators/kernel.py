@@ -96,9 +96,9 @@ def ready(key: tuple, shared: Broadcast, series_id: str, w: int) -> Held:
 
 def collected(series: DataFrame) -> dict[str, np.ndarray] | None:
     """Values of each series in order, or none where they are more than ``HELD_VALUES``."""
-    if series.count() > HELD_VALUES:
+    got = series.select("series_id", "i", "v").limit(HELD_VALUES + 1).toArrow()  # one pass, whatever the length
+    if got.num_rows > HELD_VALUES:
         return None
-    got = series.select("series_id", "i", "v").toArrow()
     ids = got["series_id"].combine_chunks().dictionary_encode()
     codes, at, v = ids.indices.to_numpy(), got["i"].to_numpy(), got["v"].to_numpy(zero_copy_only=False).astype(float)
     order = np.lexsort((at, codes))

@@ -59,12 +59,12 @@ class Motif:
         return Motif(min(m.indices), max(m.indices), m.extent, m.confirmed, m.relative_contrast)
 
 
-def choose(series: DataFrame, w: int, k: int, ez: int) -> str:
-    """``expression``, ``kernel`` or ``lsh`` by the length of the longest series and how much its motifs stand out."""
-    n = (lengths(series).agg(F.max("n")).first()[0] or 0) - w
+def choose(series: DataFrame, w: int, k: int, ez: int, held: dict | None = None) -> str:
+    """``expression``, ``kernel`` or ``lsh`` by the length of the longest series and how much its motifs stand out; ``held`` are its values, if a task can hold them."""
+    longest = max(map(len, held.values()), default=0) if held is not None else lengths(series).agg(F.max("n")).first()[0] or 0
+    n = longest - w
     if n <= MEDIUM:
         return "expression" if n <= SMALL else "kernel"
-    held = kernel.collected(series)
     if held is not None:
         return "lsh" if kernel.contrast(held, w, k, ez) >= CONTRAST else "kernel"
     # too long for a task to hold: what a few tables meet says whether hashing leaves most pairs alone
@@ -81,18 +81,23 @@ def motifs(series: DataFrame, w: int, k: int = 1, ez: int | None = None, strateg
     matrix products up to ``MEDIUM``; beyond, it hashes where motifs stand out.  ``lsh`` finds each motif
     with probability ``1 - delta``, and compares all pairs where hashing is no better.
     """
-    ez = w if ez is None else ez
+    ez, spark = w if ez is None else ez, series.sparkSession
+    held = None if strategy == "expression" else kernel.collected(series)
     if strategy == "auto":
-        strategy = choose(series, w, k, ez)
-    if strategy in ("expression", "kernel"):
-        return greedy.motifs_exact(series, w, k, ez, strategy)
+        strategy = choose(series, w, k, ez, held)
+    if strategy == "expression" or held is None and strategy == "kernel":
+        return greedy.motifs_exact(series, w, k, ez, "expression" if strategy == "expression" else "tiles")
+    if strategy == "kernel":
+        return spark.createDataFrame(kernel.greedy_motifs(spark, held, w, k, ez), greedy.MOTIF)
     rows = []
-    for r in series.select("series_id").distinct().toLocalIterator():
-        own = series.where(F.col("series_id") == r["series_id"])
-        found = [Motif.of(m) for m in MotifletsIterator(own, w, 2, k, ez, delta, seed, brute_force_threshold=0)]
+    names = list(held) if held is not None else [r["series_id"] for r in series.select("series_id").distinct().toLocalIterator()]
+    for name in names:
+        own = series.where(F.col("series_id") == name)
+        values = None if held is None else {name: held[name]}
+        found = [Motif.of(m) for m in MotifletsIterator(own, w, 2, k, ez, delta, seed, brute_force_threshold=0, held=values)]
         for n, one in enumerate(sorted(found, key=lambda m: (m.distance, m.a, m.b)), 1):
-            rows.append((r["series_id"], n, one.a, one.b, one.distance))
-    return series.sparkSession.createDataFrame(rows, greedy.MOTIF)
+            rows.append((name, n, one.a, one.b, one.distance))
+    return spark.createDataFrame(rows, greedy.MOTIF)
 
 
 @dataclass
@@ -107,7 +112,7 @@ class MotifletsIterator:
     Batches grow, so the number of jobs grows with the logarithm of the tables.
     ``max_memory`` bounds the tables of a prefix by 12 bytes for each of their subsequences.  ``observability_file``
     gets the log as JSON when the enumeration ends, however it ends.  ``cancelled`` is asked between jobs, and
-    while one runs, which is then cancelled.
+    while one runs, which is then cancelled.  ``held`` are the series' values where they have been collected already.
     """
 
     series: DataFrame
@@ -123,6 +128,7 @@ class MotifletsIterator:
     max_repetitions: int = 256
     max_memory: int | None = None
     observability_file: str | None = None
+    held: dict | None = None
     cancelled: Callable[[], bool] = field(default=lambda: False)
 
     def __post_init__(self) -> None:
@@ -130,8 +136,9 @@ class MotifletsIterator:
         self.log, self.timings = Observations(), {}
 
     def __iter__(self) -> Iterator[Motiflet]:
-        n = self.series.agg(F.max("i")).first()[0]
-        sub = 0 if n is None else n + 1 - self.w
+        held = kernel.collected(self.series) if self.held is None else self.held
+        n = (self.series.agg(F.max("i")).first()[0] or 0) + 1 if held is None else max(map(len, held.values()), default=0)
+        sub = n - self.w
         if sub <= 0:
             return
         if sub <= self.brute_force_threshold:
@@ -140,8 +147,7 @@ class MotifletsIterator:
         if self.max_memory is not None:
             self.max_repetitions = max(1, min(self.max_repetitions, self.max_memory // (12 * sub)))
         try:
-            held = kernel.collected(self.series) if self.support == 2 else None
-            yield from self._hashed(sub) if held is None else self._hashed_pairs(sub, held)
+            yield from self._hashed(sub) if held is None or self.support > 2 else self._hashed_pairs(sub, held)
         finally:
             if self.observability_file is not None:
                 with open(self.observability_file, "w", encoding="utf-8") as file:

@@ -31,3 +31,11 @@ def test_library_stands_without_the_corpus_part(tmp_path):
     env = os.environ | {"PYTHONPATH": str(tmp_path)}
     done = subprocess.run([sys.executable, "-c", code], cwd=tmp_path, env=env, capture_output=True, text=True, timeout=60)
     assert done.returncode == 0, done.stderr
+
+
+def test_a_missing_package_of_the_corpus_part_is_not_swallowed(tmp_path):
+    shutil.copytree(f"{HERE}/motifloom", tmp_path / "motifloom", ignore=shutil.ignore_patterns("llm", "__pycache__"))
+    shutil.copy(f"{HERE}/__spark_entry__.py", tmp_path)
+    (tmp_path / "corpus_pipeline.py").write_text("import a_package_that_is_not_there\n")
+    done = subprocess.run([sys.executable, "-c", "import __spark_entry__"], cwd=tmp_path, env=os.environ | {"PYTHONPATH": str(tmp_path)}, capture_output=True, text=True, timeout=60)
+    assert done.returncode != 0 and "a_package_that_is_not_there" in done.stderr
