@@ -23,13 +23,23 @@ SURE = 0.5
 
 
 def keep_good(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents whose quality score is at least the classifier's threshold."""
+    """Documents whose quality score is at least the classifier's threshold.
+
+    Null and empty texts are scored as texts without tokens; repeated rows stay or
+    go together; rows with a null id teach nothing and are judged; an empty table
+    gives no rows; other columns than those of ``documents`` are dropped.
+    """
     model = train_quality(docs, table(spark, sf_dir, "labels"))
     return docs.select(COLUMNS).where(quality_of(spark, model, F.col("text")) >= THRESHOLD)
 
 
 def keep_known_language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Documents with a language that the model is sure of."""
+    """Documents with a language that the model is sure of.
+
+    Null and empty texts and texts without a letter have none and go; repeated
+    rows stay or go together; an empty table gives no rows; other columns than
+    those of ``documents`` are dropped.
+    """
     language = language_of(spark, train_languages(docs), F.col("text"))
     told = docs.select(*COLUMNS, language.alias("__language"))
     return told.where((F.col("__language.lang_pred") != UNDETERMINED) & (F.col("__language.score") >= SURE)).select(COLUMNS)
@@ -58,7 +68,11 @@ def drop_leaks(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
 
 def pack(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
-    """Pieces of all documents and their places in sequences of 2048 tokens."""
+    """Pieces of all documents and their places in sequences of 2048 tokens.
+
+    Null texts are empty and have the end id alone; repeated rows and ids are
+    documents of their own; an empty table gives no rows.
+    """
     return pack_documents(docs)
 
 
