@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.window import Window
@@ -70,6 +72,27 @@ def _inner(series: DataFrame, w: int, knn: DataFrame) -> DataFrame:
     return verified(both, znormalized_subsequences(series, w)).withColumn("d", F.round("d", 6))
 
 
+def sets_of_pairs(pairs: dict[tuple[int, int], float], support: int, ez: int) -> Iterator[tuple[int, float, tuple[int, ...]]]:
+    """Support, extent and members of the rooted sets that known pairs (the smaller position first) give; a set whose members were not all compared is left out."""
+    near: dict[int, list[tuple[float, int]]] = {}
+    for (a, b), d in pairs.items():
+        near.setdefault(a, []).append((d, b))
+        near.setdefault(b, []).append((d, a))
+    for root, others in near.items():
+        members, extent = [root], 0.0
+        for d, j in sorted(others):
+            if any(abs(j - m) < ez for m in members):
+                continue
+            inner = [pairs.get((min(j, m), max(j, m))) for m in members[1:]]
+            if None in inner:
+                break
+            members.append(j)
+            extent = max(extent, d, *inner)
+            yield len(members), extent, tuple(sorted(members))
+            if len(members) == support:
+                break
+
+
 def rooted(series: DataFrame, w: int, support: int, ez: int, roots: int = 64) -> DataFrame:
     """Sets of least extent among those around ``roots`` evenly spaced subsequences: upper bounds of the best extents, in one pass."""
     last = series.groupBy("series_id").agg((F.max("i") + 1 - w).alias("n"))

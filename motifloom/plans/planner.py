@@ -147,7 +147,7 @@ class MotifletsIterator:
         if self.max_memory is not None:
             self.max_repetitions = max(1, min(self.max_repetitions, self.max_memory // (12 * sub)))
         try:
-            yield from self._hashed(sub) if held is None or self.support > 2 else self._hashed_pairs(sub, held)
+            yield from self._hashed(sub) if held is None else self._hashed_pairs(sub, held) if self.support == 2 else self._hashed_sets(sub, held)
         finally:
             if self.observability_file is not None:
                 with open(self.observability_file, "w", encoding="utf-8") as file:
@@ -314,6 +314,60 @@ class MotifletsIterator:
                     return
         yield from self._exact({(s, i) for s, own in emitted.items() for i in own})
 
+    def _hashed_sets(self, sub: int, held: dict) -> Iterator[Motiflet]:
+        """Supports above 2 on a series that tasks hold.
+
+        A set of some extent has no two members farther apart, and nothing nearer to its root is
+        farther, so the pairs up to that extent hold all that decides it.  Sets are made of the pairs that tables list.
+        """
+        spark, begin = self.series.sparkSession, time.monotonic()
+        total = sub * (sub - 1) // 2
+        width = hashing.fitting_width(spark, held, self.w, self.ez, self.seed, min(4.0 * sub, EFFORT / 64 * total))
+        average = kernel.mean_distance(held, self.w, self.ez, 1000, self.seed)
+        self._timed("setup", begin)
+        tops = {k: greedy.MotifletTopK(self.top_k, self.ez) for k in range(2, self.support + 1)}
+        known: dict[tuple[int, int], float] = {}
+        examined, complete, sent = 0, float("inf"), set()
+        for prefix in range(lsh.K, 0, -1):
+            previous, done, batch = (None if prefix == lsh.K else prefix + 1), 0, 8
+            while done < self.max_repetitions:
+                if self.cancelled():
+                    return
+                begin, n = time.monotonic(), min(batch, self.max_repetitions - done)
+                ends = [top.kth_distance() for top in tops.values()]
+                bound = 2 * self.w**0.5 if None in ends else max(ends)
+                got = self._job(partial(hashing.run_tables, spark, held, self.w, self.ez, done, n, self.seed, prefix, previous, width, bound))
+                if got is None:
+                    return
+                before = len(known)
+                known.update(((a, b), d) for d, a, b in got.pairs)
+                known = {p: d for p, d in known.items() if d <= bound}
+                if len(known) != before:
+                    for support, extent, members in motiflets.sets_of_pairs(known, self.support, self.ez):
+                        tops[support].insert(extent, members)
+                    for top in tops.values():
+                        top.cleanup()
+                done, batch, examined, complete = done + n, batch * 2, examined + got.met, min(complete, got.complete)
+                self.log.note(done, prefix, "candidates", examined)
+                sure = probability.largest_confirmed(2 * self.w**0.5, width, done, prefix, self.delta, previous, self.max_repetitions)
+                self._timed("update", begin)
+                for support, top in tops.items():
+                    for extent, members in top.emit(lambda d: d <= min(sure, complete)):
+                        sent.add((support, members))
+                        yield self._of({"support": support, "indices": members, "extent": extent}, average)
+                if all(top.is_complete() for top in tops.values()):
+                    return
+                if got.given_up or examined > self.fraction_threshold * total:
+                    if not self.stop_on_threshold:
+                        yield from self._exact(sent)
+                        return
+                    for support, top in tops.items():
+                        for extent, members in top.to_list():
+                            if (support, members) not in sent:
+                                yield self._of({"support": support, "indices": members, "extent": extent}, average, 0.0)
+                    return
+        yield from self._exact(sent)
+
     def _best(self, edges: DataFrame) -> list:
         if self.support == 2:
             top = greedy.top_motifs(edges, self.top_k, self.ez)

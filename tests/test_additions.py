@@ -143,6 +143,29 @@ def test_lazy_motifs_log_stop_early_and_keep_to_memory(spark, tmp_path):
     assert {m.indices for m in whole} == exact
 
 
+def test_sets_of_pairs_are_those_of_all_pairs():
+    rng = np.random.default_rng(8)
+    pairs_ = {(a, b): round(float(rng.uniform(1, 9)), 6) for a in range(60) for b in range(a + 4, 60)}
+    best = {}
+    for support, extent, members in motiflets.sets_of_pairs(pairs_, 4, 4):
+        best[support] = min(best.get(support, (99.0, ())), (extent, members))
+    limit = best[4][0]
+    some = {}
+    for support, extent, members in motiflets.sets_of_pairs({p: d for p, d in pairs_.items() if d <= limit}, 4, 4):
+        some[support] = min(some.get(support, (99.0, ())), (extent, members))
+    assert some == best and sorted(best) == [2, 3, 4]
+
+
+def test_lazy_motiflets_of_three_members_are_the_exact_ones(spark):
+    values = np.array(planted(1400, 30, 0, 9))
+    for at, scale in ((50, 1.0), (400, 2.0), (800, -0.0 + 3.0)):
+        values[at : at + 30] = np.sin(np.arange(30) / 2) * 5 * scale + np.random.default_rng(at).normal(0, 0.05, 30)
+    s = S.from_values(spark, values.tolist())
+    found = list(planner.MotifletsIterator(s, 30, 3, 1, 30, 0.01, brute_force_threshold=0))
+    exact = {r["support"]: (r["indices"], r["extent"]) for r in motiflets.motiflets_exact(s, 30, 3, 30).collect()}
+    assert {m.support: (list(m.indices), m.extent) for m in found} == exact and all(m.confirmed for m in found)
+
+
 def test_a_running_job_is_cancelled(spark):
     flag = threading.Event()
     it = planner.MotifletsIterator(S.from_values(spark, planted()), 30, cancelled=flag.is_set)
@@ -252,6 +275,12 @@ def test_binary_files(spark, tmp_path):
     assert binary.array_of("x.wav", out.getvalue(), "900-1000")[-3:].mean() <= 0 and len(binary.band_loudness(out.getvalue()[:400], 1, 2)) == 0
 
 
+def test_filters_and_columns_reach_the_scan(spark):
+    orders = spark.read.parquet("/root/testdata/sf0.001/orders.parquet")
+    plan = X.best_of_group(orders.where("o_totalprice > 1000").select("o_custkey", "o_totalprice"), ["o_custkey"], "o_totalprice")._jdf.queryExecution().toString()
+    assert "GreaterThan(o_totalprice,1000" in plan and "ReadSchema: struct<o_custkey:bigint,o_totalprice:double>" in plan
+
+
 def test_readers_and_data_sets(spark, tmp_path):
     (tmp_path / "t.csv").write_text("x,1\ny,oops\nz,\nw,4\n")
     assert [r["v"] for r in S.read_csv(spark, str(tmp_path / "t.csv"), "n", names=["k", "n"], strict=False).orderBy("i").collect()] == [1.0, 4.0]
