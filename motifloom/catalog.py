@@ -807,7 +807,7 @@ def _(spark, sf):
 RUNS_SQL = """runs AS MATERIALIZED (SELECT concat('set-', o_custkey % 40) || CASE WHEN o_custkey % 3 = 0 THEN '' ELSE concat('-', 1000 * (o_custkey % 7)) END AS dataset,
   CASE WHEN o_orderkey % 2 = 0 THEN 'lsh' ELSE 'scan' END AS algorithm, CAST(year(o_orderdate) AS INTEGER) AS version, o_totalprice AS time_s,
   CAST(to_json(m) AS VARCHAR) AS motif_pairs FROM orders JOIN
-  (SELECT l_orderkey, list({'a': l_partkey, 'b': l_suppkey, 'dist': l_quantity} ORDER BY l_linenumber, l_partkey, l_suppkey) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
+  (SELECT l_orderkey, list({'a': l_partkey, 'b': l_suppkey, 'dist': l_quantity} ORDER BY l_linenumber, l_partkey, l_suppkey, l_quantity) AS m FROM lineitem GROUP BY 1) ON l_orderkey = o_orderkey)"""
 
 
 def _runs(spark: SparkSession, sf: str) -> DataFrame:

@@ -8,7 +8,7 @@ from pyspark.sql.window import Window
 
 from motifloom.functions.distance import euclidean
 from motifloom.operators import pairs as P
-from motifloom.operators.windows import znormalized_subsequences
+from motifloom.operators.windows import TILE, znormalized_subsequences
 
 
 def average_distance(pairs: DataFrame) -> DataFrame:
@@ -39,7 +39,9 @@ def distance_histogram(pairs: DataFrame, w: int, bins: int = 20) -> DataFrame:
 def difficulty(series: DataFrame, w: int, start: int) -> DataFrame:
     """Nearest neighbour, local intrinsic dimensionality and relative contrast at 1, 10 and 100 of one distance profile."""
     far = P.distance_profile(series, w, start).where(F.abs(F.col("i") - start) > w).withColumn("d", F.round("distance", 6))
-    ranked = far.withColumn("r", F.row_number().over(Window.partitionBy("series_id").orderBy("d", "i"))).where("r <= 100")
+    # the hundred nearest of each tile first, so no task orders a whole series
+    tiles = far.withColumn("r", F.row_number().over(Window.partitionBy("series_id", F.expr(f"i div {TILE}")).orderBy("d", "i"))).where("r <= 100")
+    ranked = tiles.withColumn("r", F.row_number().over(Window.partitionBy("series_id").orderBy("d", "i"))).where("r <= 100")
     at = {k: F.max(F.when(F.col("r") == k, F.col("d"))).alias(f"d{k}") for k in (1, 10, 100)}
     whole = far.groupBy("series_id").agg(F.avg("d").alias("mean"), F.count(F.lit(1)).alias("n"), F.max("d").alias("most"))
     logs = far.join(whole.select("series_id", "most"), "series_id").groupBy("series_id").agg(

@@ -24,26 +24,25 @@ def from_values(spark: SparkSession, values: Sequence[float], series_id: str = A
 
 
 def numbered(df: DataFrame, order: Sequence[str | Column], value: str | Column, by: str | None = None, parts: int | None = None) -> DataFrame:
-    """Number the rows of each series in ``order``.
+    """Number the rows of each series in ``order``; without ``by`` all rows are one series.
 
-    With a series key each series is numbered by itself.  Without one the order
-    is global: rows are range-partitioned, counted per partition and offset, so
-    that no task sees the whole series.
+    Rows are range-partitioned by series and order, counted by partition and
+    series, and offset, so no task sees a whole series.
     """
     value = F.col(value) if isinstance(value, str) else value
-    if by is not None:
-        at = Window.partitionBy(by).orderBy(*order)
-        return df.select(F.col(by).cast("string").alias("series_id"), (F.row_number().over(at) - 1).cast("long").alias("i"), value.cast("double").alias("v"))
     spark = df.sparkSession
     keys = [f"__o{k}" for k in range(len(order))]
-    rows = df.select(*[(F.col(o) if isinstance(o, str) else o).alias(k) for o, k in zip(order, keys)], value.cast("double").alias("v"))
+    name = F.lit(ALL) if by is None else F.col(by).cast("string")
+    rows = df.select(name.alias("series_id"), *[(F.col(o) if isinstance(o, str) else o).alias(k) for o, k in zip(order, keys)], value.cast("double").alias("v"))
     parts = parts or int(spark.conf.get("spark.sql.shuffle.partitions"))
-    placed = rows.repartitionByRange(parts, *keys).sortWithinPartitions(*keys).withColumn("__at", F.monotonically_increasing_id()).persist()
-    counts = placed.groupBy(F.shiftright("__at", 33).alias("__p")).agg(F.count(F.lit(1)).alias("n"))
-    before = Window.orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # one row for each partition
-    starts = counts.select("__p", F.coalesce(F.sum("n").over(before), F.lit(0)).alias("start"))
-    own = placed.withColumn("__p", F.shiftright("__at", 33)).join(F.broadcast(starts), "__p")
-    return own.select(F.lit(ALL).alias("series_id"), (F.col("start") + F.col("__at").bitwiseAND((1 << 33) - 1)).cast("long").alias("i"), "v")
+    at = ["series_id", *keys] if by is not None else keys
+    placed = rows.repartitionByRange(parts, *at).sortWithinPartitions(*at).withColumn("__at", F.monotonically_increasing_id()).persist()
+    placed = placed.withColumn("__p", F.shiftright("__at", 33)).withColumn("__pos", F.col("__at").bitwiseAND((1 << 33) - 1))
+    counts = placed.groupBy("__p", "series_id").agg(F.count(F.lit(1)).alias("n"), F.min("__pos").alias("first"))
+    before = Window.partitionBy("series_id").orderBy("__p").rowsBetween(Window.unboundedPreceding, -1)  # a row for each partition a series is in
+    starts = counts.select("__p", "series_id", (F.coalesce(F.sum("n").over(before), F.lit(0)) - F.col("first")).alias("start"))
+    own = placed.join(starts, ["__p", "series_id"])
+    return own.select("series_id", (F.col("start") + F.col("__pos")).cast("long").alias("i"), "v")
 
 
 def parse_lines(lines: DataFrame, strict: bool = True) -> DataFrame:

@@ -244,6 +244,15 @@ def test_new_predicates(spark):
 # sources and sinks
 
 
+def test_rows_of_many_series_are_numbered_over_partitions(spark):
+    rng = np.random.default_rng(6)
+    rows = [(("a", "b", "c")[int(rng.integers(3))], int(t), float(t)) for t in rng.permutation(500)] + [("d", 1, 1.0), (None, 1, 1.0)]
+    got = S.numbered(spark.createDataFrame(rows, "k string, t long, v double"), ["t"], "v", "k", 7).collect()
+    for key in "abcd":
+        own = sorted((r["i"], r["v"]) for r in got if r["series_id"] == key)
+        assert own == list(enumerate(sorted(v for k, _, v in rows if k == key)))
+
+
 def mat_file(name, values, packed=False):
     body = lambda kind, raw: struct.pack("<II", kind, len(raw)) + raw + b"\0" * (-len(raw) % 8)
     x = np.array(values, "<f8")
