@@ -33,7 +33,9 @@ STRONGEST, KEY_TERMS = 24, 6
 #: A term that a sixteenth of a shard's documents hold is a column of its matrix; seeds that are multiplied with it at once.
 COMMON, TOGETHER = 16, 128
 #: Documents for each partition that the cuts of the lexical order are found from; they decide where it is cut, not what is packed.
-CUT_DOCS = 200
+CUT_DOCS, MOST_CUT_DOCS = 200, 500_000
+#: Shards that a task packs at most on average, however few shuffle partitions are set.
+TASK_SHARDS = 16
 K1, B = 1.2, 0.75
 PIECES = "doc_id long, start long, length long, ids_crc32 long, doc_tokens long, sequence_id long, offset long"
 
@@ -271,10 +273,10 @@ def pack_documents(
         for batch in batches:
             yield pa.record_batch([pa.array(placed(batch), pa.binary())], names=["place"])
 
-    parts = max(1, min(shards, partitions(df.sparkSession)))
-    wanted = parts * CUT_DOCS
+    parts = max(1, min(shards, max(partitions(df.sparkSession), -(-shards // TASK_SHARDS))))
+    wanted = min(parts * CUT_DOCS, MOST_CUT_DOCS)
     drawn = rows if total <= wanted else rows.where(F.pmod(F.xxhash64("deal", "doc_id"), F.lit(1 << 40)) < int(wanted / total * (1 << 40)))
-    sample = sorted(r["place"] for r in drawn.mapInArrow(places, "place binary").collect()) if parts > 1 else []  # about CUT_DOCS for each partition
+    sample = sorted(r["place"] for r in drawn.mapInArrow(places, "place binary").collect()) if parts > 1 else []  # bounded by MOST_CUT_DOCS
     bounds = [sample[k * len(sample) // parts] for k in range(1, parts)] if sample else []
 
     def cut(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
