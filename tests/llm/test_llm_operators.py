@@ -735,13 +735,16 @@ def test_one_of_each_judges_rows_and_not_ids(spark):
     assert jaccard.one_of_each(empty(spark)).count() == 0
 
 
-def test_components_of_paths_and_stars(spark):
+@pytest.mark.parametrize("one_task", [0, 50, components.ONE_TASK])
+def test_components_of_paths_and_stars(spark, monkeypatch, one_task):
+    monkeypatch.setattr(components, "ONE_TASK", one_task)
     edges = [(k, k + 1) for k in range(0, 40)] + [(100, 100 + k) for k in range(1, 30)] + [(7, 7), (500, 501), (501, 500)]
     got = {r["node"]: r["root"] for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
     assert got == {k: 0 for k in range(41)} | {100 + k: 100 for k in range(30)} | {500: 500, 501: 500}
 
 
 def test_components_with_hot_keys(spark, monkeypatch):
+    monkeypatch.setattr(components, "ONE_TASK", 0)
     monkeypatch.setattr(components, "HOT", 2)
     monkeypatch.setattr(components, "HOT_KEYS", 10)
     rng, label = random.Random(11), list(range(300))
