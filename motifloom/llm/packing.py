@@ -49,15 +49,16 @@ def tokenised(df: DataFrame, *, doc: str, text: str, vocabulary: str, end_id: in
 
     def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         own = encoder(vocabulary)
-        end = b"" if end_id is None else np.array([end_id], own.kind).tobytes()
         deal, row = (TaskContext.get().partitionId() * 0x9E3779B1) & 0x7FFFFFFF, 0
         for batch in batches:
             for begin, texts in text_slices(batch.column(1)):
+                ids, sizes = own.encode_documents(texts, end_id)
+                cuts = pa.py_buffer(np.append(0, np.cumsum(sizes) * own.kind.itemsize).astype(np.int32))
                 yield pa.record_batch(
                     [
                         batch.column(0).slice(begin, len(texts)),
-                        pa.array([c + end for c in own.encode(texts)], pa.binary()),
-                        pa.array([deal + row + k for k in range(len(texts))], pa.int64()),
+                        pa.Array.from_buffers(pa.binary(), len(texts), [None, cuts, pa.py_buffer(ids)]),
+                        pa.array(np.arange(len(texts)) + deal + row, pa.int64()),
                     ],
                     names=["doc_id", "ids", "deal"],
                 )

@@ -200,7 +200,7 @@ def write_token_files(
             for batch in batches:
                 ids = batch.column(0)
                 for begin, texts in text_slices(batch.column(1)):
-                    for d, coded in zip(ids.slice(begin, len(texts)).to_pylist(), own.encode(texts)):
+                    for d, coded in zip(ids.slice(begin, len(texts)).to_pylist(), own.encode(texts.to_pylist())):
                         file.add(d, np.frombuffer(coded + tail, own.kind))
             file.close()
         store.move(attempt, name)

@@ -177,6 +177,51 @@ def test_encoder_gives_the_ids_of_the_library(name):
         assert np.frombuffer(got, own.kind).tolist() == own.library.encode(text, add_special_tokens=False).ids
 
 
+LETTERS_AND_SIGNS = ["a", "B", " ", "\n", "'", "s", "t", "re", "1", "é", "É", "ß", "ж", "×", "!", ",", "=", "\u0301", "\u0338", "\u0331", "\u0482", "日", "\xa0", "\u3000", "İ", "ǅ", "\x1c", "\t", "<|endoftext|>", "<|"]
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_sends_plain_words_to_the_model_once(name, monkeypatch):
+    """Words beside signs, digits and letters beyond ASCII go to the model alone, and a word counts once whatever stands beside it."""
+    own, seen = encode.UnitEncoder(encode.vocabulary(name)), []
+
+    class Watched:
+        def __init__(self, of):
+            self.of = of
+
+        def __getattr__(self, key):
+            return getattr(self.of, key)
+
+        def encode_batch_fast(self, texts, **how):
+            seen.append((self.of is library, sum(map(len, texts))))
+            return self.of.encode_batch_fast(texts, **how)
+
+    library = own.library
+    texts = [" ".join(f"{w}{s}" for s in ("", ",", ".", "!", "?", ";") for w in ("house", "Straße", "été", "дом", "thonerinea")) + "\nend"] * 40
+    for key in ("library", "model"):
+        if hasattr(own, key):
+            monkeypatch.setattr(own, key, Watched(getattr(own, key)))
+    got = own.encode(texts)
+    assert sum(n for whole, n in seen if whole) < 20 and sum(n for _, n in seen) < 200
+    monkeypatch.undo()
+    assert all(np.frombuffer(g, own.kind).tolist() == library.encode(t, add_special_tokens=False).ids for t, g in zip(texts, got))
+
+
+@pytest.mark.parametrize("name", ["byte_bpe_50k.json", "word_bpe_49k.json"])
+def test_encoder_cuts_only_where_the_library_does(name, monkeypatch):
+    own, rng = encode.UnitEncoder(encode.vocabulary(name)), random.Random(8)
+    monkeypatch.setattr(encode, "REMEMBERED", 300)  # generations change
+    monkeypatch.setattr(encode, "UNITS", 50)
+    letters = [chr(c) for c in (*range(0xC0, 0x280), *range(0x400, 0x480))]
+    texts = [None, "", *(f"a{c} {c}b {c}{c}," for c in letters)]
+    texts += ["".join(rng.choice(LETTERS_AND_SIGNS) for _ in range(rng.randint(1, 40))) for _ in range(3000)]
+    for column in (encode.pa.array(texts), encode.pa.array(["x", *texts], encode.pa.large_string()).slice(1), encode.pa.array(["", None]), encode.pa.array([], encode.pa.string())):
+        ids, sizes = own.encode_documents(column, 7)
+        want = [[*own.library.encode(t or "", add_special_tokens=False).ids, 7] for t in column.to_pylist()]
+        assert sizes.tolist() == [len(w) for w in want] and ids.tolist() == sum(want, [])
+        assert encode.pa.concat_arrays([s for _, s in encode.text_slices(column, 50)] or [column]).equals(column)
+
+
 def test_words_of_ids_round_trip():
     rng = np.random.default_rng(2)
     for k in range(300):
