@@ -112,8 +112,10 @@ class TokenFileWriter:
         self.blocks: list[tuple[int, int, int]] = []
         out.write(MAGIC)
 
-    def add(self, doc: int | None, ids: np.ndarray) -> None:
-        self.docs.extend((doc or 0, len(ids), doc is not None))
+    def add(self, docs: pa.Array, ids: np.ndarray, sizes: np.ndarray) -> None:
+        """Documents with their ids one after another."""
+        known = docs.is_valid().to_numpy(zero_copy_only=False)
+        self.docs.frombytes(np.stack([docs.fill_null(0).to_numpy(), sizes, known], axis=1).astype(np.int64).tobytes())
         self.pending.append(ids)
         self.waiting += len(ids)
         self.ids += len(ids)
@@ -194,14 +196,11 @@ def write_token_files(
         part, own = TaskContext.get().partitionId(), encoder(vocabulary)
         store.create_dir(folder, recursive=True)
         name, attempt = f"{folder}/part-{part:05d}.s8b", f"{folder}/.attempt-{uuid.uuid4().hex}"
-        tail = b"" if end_id is None else np.array([end_id], own.kind).tobytes()
         with store.open_output_stream(attempt) as out:
             file = TokenFileWriter(out)
             for batch in batches:
-                ids = batch.column(0)
                 for begin, texts in text_slices(batch.column(1)):
-                    for d, coded in zip(ids.slice(begin, len(texts)).to_pylist(), own.encode(texts.to_pylist())):
-                        file.add(d, np.frombuffer(coded + tail, own.kind))
+                    file.add(batch.column(0).slice(begin, len(texts)), *own.encode_documents(texts, end_id))
             file.close()
         store.move(attempt, name)
         yield pa.record_batch(

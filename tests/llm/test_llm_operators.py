@@ -232,6 +232,29 @@ def test_words_of_ids_round_trip():
     assert len(tokenids.pack(small.astype(np.uint16))) == 100
 
 
+def test_token_file_takes_documents_by_the_slice(monkeypatch):
+    """A file does not depend on how its documents are dealt to slices; null ids, empty documents and documents over many blocks."""
+    import io
+
+    pa = encode.pa
+    monkeypatch.setattr(tokenids, "BLOCK_IDS", 64)
+    rng = np.random.default_rng(12)
+    docs, sizes = pa.array([None, None, 0, 3, 3, 7, 8], pa.int64()), np.array([5, 0, 1, 700, 64, 0, 33])
+    ids = rng.integers(0, 50_000, sizes.sum()).astype("<u2")
+    ends = np.append(0, np.cumsum(sizes))
+    files = []
+    for cuts in ([0, 7], [0, 1, 2, 3, 4, 5, 6, 7], [0, 0, 3, 5, 7]):
+        writer = tokenids.TokenFileWriter(out := io.BytesIO())
+        for a, b in zip(cuts, cuts[1:]):
+            writer.add(docs.slice(a, b - a), ids[ends[a] : ends[b]], sizes[a:b])
+        writer.close()
+        files.append(out.getvalue())
+    assert files[0] == files[1] == files[2]
+    file = tokenids.TokenFile(pa.BufferReader(files[0]))
+    assert file.doc_ids.tolist() == [0, 0, 0, 3, 3, 7, 8] and file.known.tolist() == [False, False] + [True] * 5
+    assert file.tokens.tolist() == sizes.tolist() and (file.ids(0, file.n_ids) == ids).all()
+
+
 def test_token_files_hold_every_document_in_order(spark):
     path = common.shared_path(spark, "test-ids")
     files = tokenids.write_token_files(table(spark), path)
