@@ -14,7 +14,7 @@ import os
 import re
 import unicodedata
 from collections.abc import Iterator
-from itertools import repeat
+from itertools import compress, repeat
 
 import numpy as np
 import pyarrow as pa
@@ -36,12 +36,9 @@ CLASS[65:91] = CLASS[97:123] = LETTER
 LEADS = [*range(0xC3, 0xCA), 0xD0, 0xD1]
 IS_LEAD = np.isin(np.arange(256), LEADS)
 NO_LETTERS = [0xC397, 0xC3B7, 0xC4B0]  # times, divided by, and the I whose lower case is two characters
-_LETTER = rb"(?:[A-Za-z]|[\xc5-\xc9\xd0\xd1][\x80-\xbf]|\xc3[\x80-\x96\x98-\xb6\xb8-\xbf]|\xc4[\x80-\xaf\xb1-\xbf])+"
+_LETTER = "(?:[A-Za-z\\x{c0}-\\x{d6}\\x{d8}-\\x{f6}\\x{f8}-\\x{12f}\\x{131}-\\x{27f}\\x{400}-\\x{47f}]+)"
 #: Units that the tokenizer leaves in one piece.
-ONE_PIECE = {
-    "words": re.compile(rb" ?" + _LETTER),
-    "bytes": re.compile(rb" ?(?:" + _LETTER + rb"|[0-9]+|[^\sA-Za-z0-9\x80-\xff]+)|[\t-\r ]+"),
-}
+ONE_PIECE = {"words": f"^ ?{_LETTER}$", "bytes": f"^(?: ?(?:{_LETTER}|[0-9]+|[^\\t-\\r 0-9A-Za-z\\x{{80}}-\\x{{10ffff}}]+)|[\\t-\\r ]+)$"}
 #: Bytes as the characters that byte-level models have for them, with the separator of units as a space.
 SHOWN_BYTE = {b: chr(b) for b in [*range(33, 127), *range(161, 173), *range(174, 256)]}
 SHOWN_BYTE |= {b: chr(256 + k) for k, b in enumerate(b for b in range(256) if b not in SHOWN_BYTE)}
@@ -127,18 +124,14 @@ class UnitEncoder:
 
     def encode_joint(self, tokenizer, shown: list[str], sizes: list[int], joint: str, most: int) -> list[tuple[int, int, np.ndarray, np.ndarray] | None]:  # noqa: ANN001
         """From, to, ids and number of ids of each of runs of texts that ``tokenizer`` sees with ``joint`` between; no ids where it changes their sizes."""
-        out, at = [], 0
-        while at < len(shown):
-            stop, chars = at, 0
-            while stop < len(shown) and chars < most:
-                chars += len(shown[stop])
-                stop += 1
+        out, ends = [], np.cumsum(sizes)
+        cuts = [0, *(np.flatnonzero(np.diff(ends // most)) + 1).tolist(), len(shown)]
+        for at, stop in zip(cuts, cuts[1:]):
             ids = np.array(tokenizer.encode_batch_fast([joint.join(shown[at:stop])], add_special_tokens=False)[0].ids, self.kind)
-            ends, wanted = np.cumsum(self.width[ids]), np.cumsum(sizes[at:stop])
-            found = np.searchsorted(ends, wanted, "left")
-            fits = len(ids) and found[-1] == len(ends) - 1 and (ends[found] == wanted).all()
+            reached, wanted = np.cumsum(self.width[ids]), ends[at:stop] - (ends[at - 1] if at else 0)
+            found = np.searchsorted(reached, wanted, "left")
+            fits = len(ids) and found[-1] == len(ids) - 1 and (reached[found] == wanted).all()
             out.append((at, stop, ids, np.diff(found, prepend=-1)) if fits else (at, stop, None, None))
-            at = stop
         return out
 
     def learn_library(self, units: list[bytes], shown: list[str], sizes: list[int] | None, joint: str = "") -> None:
@@ -151,17 +144,14 @@ class UnitEncoder:
             self.memory.add(units[at:stop], ids, counts)
 
     def learn(self, units: list[bytes]) -> None:
-        one_piece = ONE_PIECE[self.mode].fullmatch
-        whole, rest = [], []
-        for u in units:
-            (whole if one_piece(u) else rest).append(u)
+        one_piece = pc.match_substring_regex(pa.array(units, pa.binary()).cast(pa.string()), ONE_PIECE[self.mode]).to_numpy(zero_copy_only=False)
+        whole, rest = list(compress(units, one_piece.tolist())), list(compress(units, (~one_piece).tolist()))
         if whole:
             if self.mode == WORDS:
-                lower = b" ".join([u.lstrip(b" ") for u in whole]).decode().lower().encode()
-                joined = lower.replace(b" ", b"\xff")
+                text = b" ".join(whole).decode().lower()
+                shown = (text if text.isascii() else text.encode().decode("latin-1").translate(SHOWN_BYTE | {32: " "})).split()
             else:
-                joined = b"\xff".join(whole)
-            shown = joined.decode("latin-1").translate(SHOWN_BYTE).split(" ")
+                shown = b"\xff".join(whole).decode("latin-1").translate(SHOWN_BYTE).split(" ")
             number: dict[str, int] = {}
             same = np.fromiter([number.setdefault(w, len(number)) for w in shown], np.int64, len(shown))
             words = list(number)
@@ -182,7 +172,8 @@ class UnitEncoder:
         elif rest:
             # a unit behind another one is cut off where a space follows something else
             joined = [u for u in rest if u[:1] == b" " and not u.decode()[-1].isspace()]
-            self.learn_library(joined, [u.decode() for u in joined], list(map(len, joined)))
+            if joined:
+                self.learn_library(joined, [u.decode() for u in joined], list(map(len, joined)))
             if len(joined) < len(rest):
                 alone = list(set(rest) - set(joined))
                 self.learn_library(alone, [u.decode() for u in alone], None)
@@ -255,7 +246,7 @@ class UnitEncoder:
             cuts = np.append(starts[k : k + UNITS], starts[k + UNITS] if k + UNITS < len(starts) else len(data))
             own = pa.py_buffer(np.ascontiguousarray(data[cuts[0] : cuts[-1]]))
             units = pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts - cuts[0]).astype(np.int32)), own]).dictionary_encode()
-            places = self.places(units.dictionary.to_pylist())[units.indices.to_numpy()]
+            places = self.places(units.dictionary.to_numpy(zero_copy_only=False).tolist())[units.indices.to_numpy()]
             ids, counts = self.memory.taken(places)
             parts.append(ids)
             sizes.append(counts)
